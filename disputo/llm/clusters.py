@@ -2,9 +2,9 @@
 
 Features (projections on the principal axes) are quantised into grid cells, several shifted grids at
 once; cells are counted and their vectors added up; a cell whose rows are mutually similar is dense, and joins
-the rows that fit it; dense cells of different grids are adjacent where they share rows; minimum labels are
-propagated over these adjacencies to convergence.  Rows joined so become one weighted row, and
-the next round quantises these on other grids, until two rounds join nothing.
+the rows that fit it; dense cells of different grids are adjacent where they share rows, and a row takes the smallest
+label of its cells in all grids.  Rows of one label become one weighted row, and the next round
+quantises these on other grids: minimum labels are propagated to convergence, until two rounds join nothing.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from disputo.llm.components import components
 from disputo.llm.vectors import Grid, matrix, principal_axes, unit, usable_vectors
 from disputo.runtime import cut
 
 TABLES = 6
 #: Unrelated rows that a row meets in a cell by chance, in the rounds that only look for dense cells and in those that also join neighbours.
-DENSE_CHANCE, JOIN_CHANCE = 4.0, 16.0
+DENSE_CHANCE, JOIN_CHANCE = 4.0, 4.0
 #: Rounds that only look for dense cells: they turn large clusters into few weighted rows.
 DENSE_ROUNDS = 2
 #: Distance of rows for which cells are made; wider pairs are joined through rows between them or in later rounds.
@@ -56,7 +55,7 @@ def _cells(rows: DataFrame, grid: Grid) -> DataFrame:
 
 
 def _joins(cells: DataFrame, size: int, least: float, neighbours: bool) -> DataFrame:
-    """(``a``, ``b``): rows to be joined.
+    """(``old``, ``new``): rows that take a smaller label.
 
     A cell is dense if it has at least two rows and the mean cosine of its pairs, known from the sum of its vectors, is at
     least ``least``; a row fits if its cosine with that sum is, and is joined to the smallest row of its cell that fits.  With
@@ -65,7 +64,7 @@ def _joins(cells: DataFrame, size: int, least: float, neighbours: bool) -> DataF
     counts = cut(_sum_vectors(cells.groupBy("cell"), size, F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     pure = (_dot("s", "s") - F.col("m")) / (F.col("m") * (F.col("m") - 1)) >= least
     dense = counts.where(pure).select("cell", F.col("s").alias("t"))
-    fit = cut(cells.join(dense, "cell").where(_dot("s", "t") / F.sqrt(_dot("s", "s") * _dot("t", "t")) >= least).select("cell", "id"))
+    fit = cells.join(dense, "cell").where(_dot("s", "t") / F.sqrt(_dot("s", "s") * _dot("t", "t")) >= least).select("cell", "id")
     heads = fit.groupBy("cell").agg(F.min("id").alias("b"))
     joined = fit.join(heads, "cell").select(F.col("id").alias("a"), "b").where("a <> b")
     if neighbours:
@@ -73,10 +72,10 @@ def _joins(cells: DataFrame, size: int, least: float, neighbours: bool) -> DataF
         mixed = cells.join(counts.where(~pure).select("cell"), "cell").withColumn("norm", norm).select("cell", "id", F.transform("s", lambda x: x / F.col("norm")).alias("u"))
         near = mixed.alias("x").join(mixed.alias("y"), "cell").where("x.id < y.id").where(_dot("x.u", "y.u") >= least)
         joined = joined.union(near.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
-    return joined.distinct()
+    return joined.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("new"))
 
 
-def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least: float = 0.8, seed: int = 3, max_rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least: float = 0.8, seed: int = 3, max_rounds: int = 24) -> tuple[DataFrame, DataFrame]:
     """(members, vectors): members has ``id``, ``cluster_key`` (smallest id), ``n_members``, ``typicality`` (cosine with the cluster's mean direction).
 
     Clusters of one are included; unusable vectors (see usable_vectors) are not.  Made for collections in which rows of one cluster have
@@ -87,28 +86,23 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least:
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
     singles = usable.withColumn("norm", norm).select("id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("s"), F.lit(1).cast("long").alias("n"))
     n, mean, axes, variances = principal_axes(usable, size)
-    rows, labels, quiet = singles, None, 0
+    rows, labels, quiet = singles, usable.select("id", F.col("id").alias("label")), 0
     for step in range(max_rounds):
         width = 8 * sqrt(2 - 2 * NEAR) / sqrt(size)
         dense_only = step < DENSE_ROUNDS
         grid = Grid(n if dense_only else rows.count(), mean, axes, variances, width, TABLES, DENSE_CHANCE if dense_only else JOIN_CHANCE, seed + step)
-        joined = cut(components(_joins(_cells(rows, grid), size, least, not dense_only)))
-        if joined.isEmpty():
+        moved = cut(_joins(_cells(rows, grid), size, least, not dense_only))
+        if moved.isEmpty():
             quiet += not dense_only
             if quiet == 2:
                 break
             continue
         quiet = 0
-        joined = joined.withColumnRenamed("node", "id")
-        moved = rows.join(joined, "id", "left").withColumn("id", F.coalesce("group_id", "id"))
-        rows = cut(_sum_vectors(moved.groupBy("id"), size, F.sum("n").alias("n")))
-        step_labels = joined.select(F.col("id").alias("old"), F.col("group_id").alias("new"))
-        if labels is None:
-            labels = cut(usable.select("id").join(step_labels, F.col("id") == F.col("old"), "left").select("id", F.coalesce("new", "id").alias("label")))
-        else:
-            labels = cut(labels.join(step_labels, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label")))
-    if labels is None:
-        labels = usable.select("id", F.col("id").alias("label"))
+        relabelled = rows.join(moved, F.col("id") == F.col("old"), "left").select(F.coalesce("new", "id").alias("id"), "s", "n")
+        rows = cut(_sum_vectors(relabelled.groupBy("id"), size, F.sum("n").alias("n")))
+        labels = labels.join(moved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+        if step % 3 == 2:
+            labels = cut(labels)
     clusters = rows.select(F.col("id").alias("label"), F.col("s").alias("total"), F.col("n").alias("n_members"))
     members = singles.join(labels, "id").join(clusters, "label")
     typicality = _dot("s", "total") / F.sqrt(_dot("total", "total"))
