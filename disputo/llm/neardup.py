@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from disputo.llm.copies import fingerprint, labelled_fields
 from disputo.llm.forms import consistent_form, words
-from disputo.runtime import cut
+from disputo.runtime import BROADCAST_ROWS, cut, remove, small, store
 
 #: Buckets of the table of word frequencies that orders words from rare to frequent: its size is fixed.
 FREQUENCY_BUCKETS = 1 << 18
@@ -29,7 +29,7 @@ LARGEST_COSTED = 4096
 
 
 def word_sets(df: DataFrame, src: str, key: str, text: str, shingle: int = 1) -> DataFrame:
-    """``src``, ``key``, ``fp_1``, ``fp_2`` (the copy fingerprint), ``tokens`` (hashes of the distinct words) and ``set_id``.
+    """``src``, ``key``, ``fp_1``, ``fp_2`` (the copy fingerprint), ``tokens`` (hashes of the distinct words), ``set_id`` and ``row_id``.
 
     ``shingle`` words in a row make one token (1: single words; 5 for shingles of five).  Records without letters
     or digits, NULL texts and NULL keys are left out.  Hashes hold the source, so records of two sources share no token.
@@ -45,7 +45,7 @@ def word_sets(df: DataFrame, src: str, key: str, text: str, shingle: int = 1) ->
     fields = labelled_fields(F.col("lowered"))
     hashed = formed.select("src", "key", fingerprint(fields, 11).alias("fp_1"), fingerprint(fields, 23).alias("fp_2"), F.transform(grams, lambda w: F.xxhash64("src", w)).alias("tokens"))
     halves = [F.aggregate("tokens", F.lit(0).cast("long"), lambda s, h: s + f(h)) for f in (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32))]
-    return hashed.withColumn("set_id", F.xxhash64("src", *halves)).dropDuplicates(["src", "key", "fp_1", "set_id"])
+    return hashed.withColumn("set_id", F.xxhash64("src", *halves)).withColumn("row_id", F.xxhash64("src", "key", "fp_1"))
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
@@ -100,8 +100,34 @@ def boundary(costs: list[tuple[int, float, float]]) -> int:
     return min(best, at)
 
 
-def _signatures(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
-    """Per set its subsets (``kind`` 2, light sets) and its list entries (``kind`` 1, sets that a heavy set may match)."""
+def _subsets(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
+    """(``signature``, ``set_id``, ``n``): all pairs of the rarest words of each set of at most ``light`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, _, _, _ = _ranked(batch, frequency.value)
+            ids = batch.column(batch.schema.get_field_index("set_id")).to_numpy()
+            n = batch.column(batch.schema.get_field_index("n")).to_numpy()
+            start = np.cumsum(n) - n
+            for size in np.unique(n):
+                rows = np.flatnonzero(n == size)
+                prefix = min(int(size - ceil(threshold * size - 1e-9) + 2), int(size))
+                i, j = np.triu_indices(prefix, 1)
+                step = max((1 << 16) // max(len(i), 1), 1)
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    block = tokens[start[some][:, None] + np.arange(prefix)[None, :]].view(np.uint64)
+                    with np.errstate(over="ignore"):
+                        pair = (block[:, i] * np.uint64(0x9E3779B97F4A7C15) + block[:, j]) * np.uint64(0xC2B2AE3D27D4EB4F)
+                        pair ^= pair >> np.uint64(29)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64).ravel()), pa.array(np.repeat(ids[some], len(i))), pa.array(np.full(pair.size, size, dtype=np.int32))], ["signature", "set_id", "n"])
+
+    small_sets = sets.where((F.col("n") <= light) & (F.ceil(threshold * F.col("n") - 1e-9) >= 2))
+    return small_sets.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, n int")
+
+
+def _lists(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
+    """(``signature``, ``set_id``, ``n``, ``position``, ``heavy``): the rarest words of the heavy sets and of all sets that one may match."""
     tiny = int(1 / threshold + 1e-9)  # sets of this size or less may share fewer than two words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,26 +136,15 @@ def _signatures(sets: DataFrame, frequency, threshold: float, light: int) -> Dat
             ids = batch.column(batch.schema.get_field_index("set_id")).to_numpy()
             n = batch.column(batch.schema.get_field_index("n")).to_numpy()
             least = np.ceil(threshold * n - 1e-9).astype(np.int64)
-            small = (n <= light) & (least >= 2)
-            listed = ~small | (n >= threshold * light) | (n <= tiny / threshold)
-            take = (position < (n - least + 1)[row]) & listed[row]
-            out = [(tokens[take], ids[row[take]], n[row[take]], position[take], np.ones(take.sum(), dtype=np.int32), ~small[row[take]])]
-            start = np.cumsum(n) - n
-            for size in np.unique(n[small]):
-                rows = np.flatnonzero(small & (n == size))
-                prefix = int(size - ceil(threshold * size - 1e-9) + 2)
-                block = tokens[start[rows][:, None] + np.arange(min(prefix, size))[None, :]].view(np.uint64)
-                i, j = np.triu_indices(block.shape[1], 1)
-                with np.errstate(over="ignore"):
-                    pair = (block[:, i] * np.uint64(0x9E3779B97F4A7C15) + block[:, j]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    pair ^= pair >> np.uint64(29)
-                count = pair.shape[1]
-                out.append((pair.view(np.int64).ravel(), np.repeat(ids[rows], count), np.full(len(rows) * count, size), np.tile(i, len(rows)), np.full(len(rows) * count, 2, dtype=np.int32), np.zeros(len(rows) * count, dtype=bool)))
-            columns = [np.concatenate(c) for c in zip(*out)]
-            for k in range(0, len(columns[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)], type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))], ["signature", "set_id", "n", "position", "kind", "heavy"])
-
-    return sets.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, n int, position int, kind int, heavy boolean")
+            heavy = (n > light) | (least < 2)
+            take = np.flatnonzero(position < (n - least + 1)[row])
+            at = row[take]
+            for k in range(0, len(take), 1 << 16):
+                part, own = take[k : k + (1 << 16)], at[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(ids[own]), pa.array(n[own].astype(np.int32)), pa.array(position[part].astype(np.int32)), pa.array(heavy[own])], ["signature", "set_id", "n", "position", "heavy"])
+
+    listed = sets.where((F.col("n") >= threshold * light - 1e-9) | (F.col("n") <= tiny / threshold))
+    return listed.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, n int, position int, heavy boolean")
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -140,20 +155,21 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """
     frequency = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
     light = boundary(_costs(sets, frequency, threshold))
-    signatures = cut(_signatures(sets, frequency, threshold, light))
     fits = f"least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9"
-    subsets = signatures.where("kind = 2").select("signature", "set_id", "n")
+    subsets = _subsets(sets, frequency, threshold, light)
     by_subset = subsets.alias("x").join(subsets.alias("y"), "signature").where(f"x.set_id < y.set_id AND {fits}").select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-    lists = signatures.where("kind = 1")
-    shared = f"1 + least(x.n - x.position, y.n - y.position) - 1 >= {threshold / (1 + threshold)!r} * (x.n + y.n) - 1e-9"
-    by_list = (
-        lists.where("heavy").alias("x").join(lists.alias("y"), "signature")
-        .where(f"x.set_id <> y.set_id AND (NOT y.heavy OR x.set_id < y.set_id) AND {fits} AND {shared}")
-        .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+    lists = _lists(sets, frequency, threshold, light)
+    enough = f"least(x.n - x.position, y.n - y.position) >= {threshold / (1 + threshold)!r} * (x.n + y.n) - 1e-9"
+    by_list = (  # both sides are the same table, so it is shuffled once
+        lists.alias("x").join(lists.alias("y"), "signature")
+        .where(f"x.set_id < y.set_id AND (x.heavy OR y.heavy) AND {fits} AND {enough}")
+        .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
     )
-    candidates = by_subset.union(by_list).distinct()
-    first = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    second = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
+    candidates = cut(by_subset.union(by_list).distinct())
+    involved = candidates.select(F.col("a").alias("set_id")).union(candidates.select("b")).distinct()
+    sought = sets.join(small(involved), "set_id", "left_semi")
+    first = sought.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
+    second = sought.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     verified = candidates.join(first, "a").join(second, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     similarity = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return verified.select("a", "b", "shared", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
@@ -167,9 +183,15 @@ def near_duplicates(df: DataFrame, src: str, key: str, text: str, threshold: flo
     ``similarity`` - pairs of classes at or above ``threshold``, each once; no link between different texts is lost and copies
     are not expanded.  NULL, empty and letterless texts have no row; identical word sets of different contents have similarity 1.
     """
-    records = cut(word_sets(df, src, key, text, shingle))
-    sets = records.select("set_id", "tokens").dropDuplicates(["set_id"]).withColumn("n", F.size("tokens"))
-    members = records.select("src", "key", "set_id", "fp_1", "fp_2")
+    records, path = store(word_sets(df, src, key, text, shingle))
+    members = cut(records.select("src", "key", "set_id", "fp_1", "row_id").distinct())
+    # one row stands for each set: rows of other records with the same words are left out, and the words themselves are not shuffled
+    spare = members.groupBy("set_id").agg(F.min("row_id").alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1").join(members, "set_id").where("row_id <> kept")
+    sets = records.join(small(spare.select("row_id").distinct()), "row_id", "left_anti").select("set_id", "tokens").withColumn("n", F.size("tokens"))
+    paths = [path]
+    if spare.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # the words had to be shuffled: once is enough
+        sets, path = store(sets)
+        paths.append(path)
     classes = members.select("set_id", "fp_1").distinct()
     several = classes.groupBy("set_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("set_id")
     moved = classes.join(several, "set_id")
@@ -177,7 +199,9 @@ def near_duplicates(df: DataFrame, src: str, key: str, text: str, threshold: flo
         moved.alias("x").join(moved.alias("y"), "set_id").where("x.fp_1 < y.fp_1")
         .select(F.col("set_id").alias("a_set"), F.col("x.fp_1").alias("a_fp"), F.col("set_id").alias("b_set"), F.col("y.fp_1").alias("b_fp"), F.lit(1.0).alias("similarity"))
     )
-    pairs = similar_sets(cut(sets), threshold)
+    pairs = cut(similar_sets(sets, threshold).distinct())
+    for path in paths:
+        remove(df.sparkSession, path)
     across = (
         pairs.join(classes.select(F.col("set_id").alias("a"), F.col("fp_1").alias("a_fp")), "a")
         .join(classes.select(F.col("set_id").alias("b"), F.col("fp_1").alias("b_fp")), "b")
