@@ -28,11 +28,11 @@ def symmetric(edges: DataFrame, nodes: DataFrame, weight: str | None = None, sco
 
 
 def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAULTS, iterations: int | None = None, every: int = 5, by: str | None = None) -> DataFrame:
-    """(``id``, ``rank``): power iteration with teleport; the mass of nodes without edges goes to the teleport, ranks are renormalised.
+    """(``id``, ``rank``): power iteration with teleport; the mass of nodes without edges goes to the teleport, ranks sum to 1.
 
     ``nodes``: id, and ``seed`` (weight of the teleport, uniform if missing).  With ``by`` every group of that column is its own graph, all
     groups at once (``nodes`` and ``adjacency`` both have it): personalised ranks of all policies are one job, and none is gathered in a task.
-    Stops when the L1 change (of the worst group) is below the tolerance, or after ``iterations``.
+    Stops when the L1 change (of the worst group), looked at every few steps, is below the tolerance, or after ``iterations``.
     """
     keys = [by] if by else []
     limit = iterations if iterations is not None else settings.iterations
@@ -50,20 +50,18 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAUL
         flow = links.join(ranks.where("out_w IS NOT NULL").select(*keys, "id", (F.col("rank") / F.col("out_w")).alias("share")), [*keys, "id"])
         arrived = flow.groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("w")).alias("arrived"))
         state = ranks.join(arrived, [*keys, "id"], "left")
-        state = state.join(F.broadcast(dangling), by) if by else state.join(F.broadcast(dangling))
-        moved = state.withColumn("next", (1 - d) * F.col("teleport") + d * (F.coalesce("arrived", F.lit(0.0)) + F.col("lost") * F.col("teleport")))
-        sums = moved.groupBy(*keys).agg(F.sum("next").alias("mass"))
-        moved = moved.join(F.broadcast(sums), by) if by else moved.join(F.broadcast(sums))
-        moved = moved.select(*keys, "id", "teleport", "out_w", F.col("rank").alias("former"), (F.col("next") / F.col("mass")).alias("rank"))
-        if step % every == 0 or step == limit:
-            moved = cut(moved)
-            if step < limit:
-                change = moved.groupBy(*keys).agg(F.sum(F.abs(F.col("rank") - F.col("former"))).alias("l1")).agg(F.max("l1")).first()[0]
-                if change is None or change < settings.tolerance:
-                    ranks = moved
-                    break
-        ranks = moved.drop("former")
-    return ranks.select(*keys, "id", "rank")
+        state = state.join(dangling, by) if by else state.join(F.broadcast(dangling))
+        moved = (1 - d) * F.col("teleport") + d * (F.coalesce("arrived", F.lit(0.0)) + F.col("lost") * F.col("teleport"))
+        # read three times by the next step, so it is written at every step
+        ranks = cut(state.select(*keys, "id", "teleport", "out_w", F.col("rank").alias("former"), moved.alias("rank")))
+        if step % every == 0 and step < limit:
+            change = ranks.groupBy(*keys).agg(F.sum(F.abs(F.col("rank") - F.col("former"))).alias("l1")).agg(F.max("l1")).first()[0]
+            if change is None or change < settings.tolerance:
+                break
+    # every step keeps the mass; what rounding took is put back once
+    mass = ranks.groupBy(*keys).agg(F.sum("rank").alias("mass"))
+    ranks = ranks.join(mass, by) if by else ranks.join(F.broadcast(mass))
+    return ranks.select(*keys, "id", (F.col("rank") / F.col("mass")).alias("rank"))
 
 
 def personalised(policies: DataFrame, adjacency: DataFrame, settings: Settings = DEFAULTS, iterations: int | None = None) -> DataFrame:

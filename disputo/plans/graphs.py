@@ -13,7 +13,7 @@ from disputo.schema import Settings
 
 query = Registry()
 STEPS = 5
-_ADJ = f"""{EDGES}, ce AS (SELECT a, b, 1.0::DOUBLE AS w FROM edges WHERE rel = 'CONTRADICTS' AND a IS NOT NULL AND a <> b AND a IN (SELECT arg_id FROM args) AND b IN (SELECT arg_id FROM args)),
+_ADJ = f"""{EDGES}, ce AS (SELECT a, b, 1.0::DOUBLE AS w FROM edges WHERE rel = 'CONTRADICTS' AND a IS NOT NULL AND a <> b AND a IN (SELECT arg_id FROM args WHERE stance IN (1, -1)) AND b IN (SELECT arg_id FROM args WHERE stance IN (1, -1))),
 adj AS (SELECT src, dst, sum(w) AS w FROM (SELECT a AS src, b AS dst, w FROM ce UNION ALL SELECT b, a, w FROM ce) GROUP BY ALL), outw AS (SELECT src AS id, sum(w) AS ow FROM adj GROUP BY 1)"""
 
 
@@ -24,10 +24,10 @@ def _rank_sql(nodes: str, steps: int = STEPS, by: str = "") -> str:
     total = f"sum(seed) OVER (PARTITION BY {by})" if by else "sum(seed) OVER ()"
     mass = f"sum(next) OVER (PARTITION BY {by})" if by else "sum(next) OVER ()"
     lost = f"sum(CASE WHEN ow IS NULL THEN rank ELSE 0 END) OVER (PARTITION BY {by})" if by else "sum(CASE WHEN ow IS NULL THEN rank ELSE 0 END) OVER ()"
-    out = [f"nodes AS ({nodes})", f"base AS (SELECT {g}id, seed / {total} AS t, ow FROM nodes LEFT JOIN outg {on})", f"r0 AS (SELECT *, t AS rank FROM base)"]
+    out = [f"nodes AS ({nodes})", f"base AS (SELECT {g}id, seed / {total} AS t, ow FROM nodes LEFT JOIN outg {on})", "r0 AS MATERIALIZED (SELECT *, t AS rank FROM base)"]
     for i in range(1, steps + 1):
         out.append(f"""f{i} AS (SELECT {'l.' + by + ', ' if by else ''}l.dst AS id, sum(r.rank / r.ow * l.w) AS arrived FROM links l JOIN r{i - 1} r ON r.id = l.src {'AND r.' + by + ' = l.' + by if by else ''} GROUP BY ALL),
-n{i} AS (SELECT {g}id, t, ow, 0.15 * t + 0.85 * (coalesce(arrived, 0) + {lost} * t) AS next FROM r{i - 1} LEFT JOIN f{i} {on}), r{i} AS (SELECT {g}id, t, ow, next / {mass} AS rank FROM n{i})""")
+n{i} AS (SELECT {g}id, t, ow, 0.15 * t + 0.85 * (coalesce(arrived, 0) + {lost} * t) AS next FROM r{i - 1} LEFT JOIN f{i} {on}), r{i} AS MATERIALIZED (SELECT {g}id, t, ow, next / {mass} AS rank FROM n{i})""")
     return ", ".join(out)
 
 
@@ -35,7 +35,7 @@ _RANKS = f"""{_ADJ}, links AS (SELECT src, dst, w FROM adj), outg AS (SELECT id,
 
 
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    nodes = arguments(spark, d).select(F.col("arg_id").alias("id"))
+    nodes = arguments(spark, d).where(F.col("stance").isin(1, -1)).select(F.col("arg_id").alias("id"))
     return graph.symmetric(edges(spark, d).where("rel = 'CONTRADICTS' AND a IS NOT NULL"), nodes)
 
 
@@ -64,8 +64,8 @@ def graph_personalised_pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HOP = """he AS (SELECT a, b, epoch_us(mined_at) AS edge_pos FROM edges WHERE rel = 'CONTRADICTS' AND a IS NOT NULL), both_ways AS (SELECT a, b, edge_pos FROM he UNION ALL SELECT b, a, edge_pos FROM he),
-direct AS (SELECT * FROM pool WHERE pool_pos < 10), found AS (SELECT o.policy, o.stance, o.arg_id, min((s.pool_pos, e.edge_pos)) AS at FROM both_ways e JOIN direct s ON s.arg_id = e.a JOIN pool o ON o.arg_id = e.b
-  WHERE o.policy = s.policy AND o.stance = -s.stance AND o.pool_pos >= 10 GROUP BY ALL), hops AS (SELECT *, row_number() OVER (PARTITION BY policy, stance ORDER BY at, arg_id) AS rn FROM found),
+direct AS (SELECT * FROM pool WHERE pool_pos < 10), found AS (SELECT o.policy, o.stance, o.arg_id, min((s.pool_pos, e.edge_pos)) AS first_at FROM both_ways e JOIN direct s ON s.arg_id = e.a JOIN pool o ON o.arg_id = e.b
+  WHERE o.policy = s.policy AND o.stance = -s.stance AND o.pool_pos >= 10 GROUP BY ALL), hops AS (SELECT *, row_number() OVER (PARTITION BY policy, stance ORDER BY first_at, arg_id) AS rn FROM found),
 sizes AS (SELECT policy, stance, count(*) AS n FROM direct GROUP BY ALL), expanded AS (SELECT policy, stance, arg_id, false AS is_hop, pool_pos::INTEGER AS pos FROM direct
   UNION ALL SELECT policy, stance, arg_id, true, (coalesce(n, 0) + rn - 1)::INTEGER FROM hops LEFT JOIN sizes USING (policy, stance) WHERE rn <= 5)"""
 
@@ -96,7 +96,7 @@ def graph_property_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(graph.coverage(table(spark, d, "arguments_clean"), "stance_confidence"))
 
 
-_CENTROID = """cen AS (SELECT policy, stance, list_transform(range(1, 65), lambda i: list_avg(list_transform(us, lambda v: v[i]))) AS c FROM (SELECT policy, stance, list(u) AS us FROM pvp GROUP BY ALL)),
+_CENTROID = """cen AS (SELECT policy, stance, list(m ORDER BY i) AS c FROM (SELECT policy, stance, i, avg(x) AS m FROM (SELECT policy, stance, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM pvp) GROUP BY ALL) GROUP BY ALL),
 sc AS (SELECT pvp.*, round(list_cosine_similarity(u, c), 9) AS score FROM pvp JOIN cen USING (policy, stance))"""
 _PV50 = f"{PV}, pvp AS (SELECT * FROM pv WHERE pool_pos < 50)"
 
