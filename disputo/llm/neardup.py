@@ -21,9 +21,9 @@ from disputo.llm.forms import consistent_form, words
 from disputo.runtime import BROADCAST_ROWS, cut, remove, small, store
 
 #: Buckets of the table of word frequencies that orders words from rare to frequent: its size is fixed.
-FREQUENCY_BUCKETS = 1 << 18
+FREQUENCY_BUCKETS = 1 << 20
 #: Cost of writing, shuffling and joining one subset, in steps of an inverted list.
-SUBSET_COST = 3.0
+SUBSET_COST = 10.0
 #: Sizes above this share one entry in the cost table (the join itself knows every size).
 LARGEST_COSTED = 4096
 
@@ -48,15 +48,40 @@ def word_sets(df: DataFrame, src: str, key: str, text: str, shingle: int = 1) ->
     return hashed.withColumn("set_id", F.xxhash64("src", *halves)).withColumn("row_id", F.xxhash64("src", "key", "fp_1"))
 
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How often words of each hash bucket occur in all sets: an array of fixed length, whatever the data's size."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy(F.pmod("token", F.lit(FREQUENCY_BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+def _bucket_counts(sets: DataFrame, pick) -> np.ndarray:
+    """How many of the tokens that ``pick`` takes from a batch fall into each hash bucket: an array of fixed length, whatever the data's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCY_BUCKETS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(pick(batch) % FREQUENCY_BUCKETS, minlength=FREQUENCY_BUCKETS)
+        some = np.flatnonzero(total)
+        for k in range(0, len(some), 1 << 16):
+            part = some[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+
+    rows = sets.select("tokens", "n").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(FREQUENCY_BUCKETS, dtype=np.int64)
-    rows = counts.toPandas()
     table[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
     return table
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the words of each hash bucket occur in all sets."""
+    return _bucket_counts(sets, lambda batch: batch.column(0).flatten().to_numpy(zero_copy_only=False))
+
+
+def _list_lengths(sets: DataFrame, frequency, threshold: float) -> np.ndarray:
+    """How long the inverted lists of each hash bucket are: only the rarest words of a set, those that it must share one of, are listed."""
+
+    def pick(batch: pa.RecordBatch) -> np.ndarray:
+        tokens, row, position, _ = _ranked(batch, frequency.value)
+        n = batch.column(1).to_numpy()
+        return tokens[position < (n - np.ceil(threshold * n - 1e-9) + 1)[row]]
+
+    return _bucket_counts(sets, pick)
+
+
 def _ranked(batch: pa.RecordBatch, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of a batch, each set's from rare to frequent; their row, their position in the set, their frequency."""
     lists = batch.column(batch.schema.get_field_index("tokens"))
@@ -68,16 +93,16 @@ def _ranked(batch: pa.RecordBatch, frequency: np.ndarray) -> tuple[np.ndarray, n
     return flat[order], row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), often[order]
 
 
-def _costs(sets: DataFrame, frequency, threshold: float) -> list[tuple[int, float, float]]:
+def _costs(sets: DataFrame, frequency, lengths, threshold: float) -> list[tuple[int, float, float]]:
     """(size, cost by subsets, cost by inverted lists) of all sets of that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((LARGEST_COSTED + 1, 2))
         for batch in batches:
-            _, row, position, often = _ranked(batch, frequency.value)
+            tokens, row, position, _ = _ranked(batch, frequency.value)
             n = batch.column(batch.schema.get_field_index("n")).to_numpy()
             prefix = n - np.ceil(threshold * n - 1e-9) + 1
-            scan = np.bincount(row, weights=often * (position < prefix[row]), minlength=len(n))
+            scan = np.bincount(row, weights=lengths.value[tokens % FREQUENCY_BUCKETS] * (position < prefix[row]), minlength=len(n))
             at = np.minimum(n, LARGEST_COSTED)
             np.add.at(total[:, 0], at, SUBSET_COST * (prefix + 1) * prefix / 2)
             np.add.at(total[:, 1], at, scan)
@@ -154,7 +179,8 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     (lists) or two (subsets).  Only the candidates' identifiers are shuffled; the words are joined to them once.
     """
     frequency = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
-    light = boundary(_costs(sets, frequency, threshold))
+    lengths = sets.sparkSession.sparkContext.broadcast(_list_lengths(sets, frequency, threshold))
+    light = boundary(_costs(sets, frequency, lengths, threshold))
     fits = f"least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9"
     subsets = _subsets(sets, frequency, threshold, light)
     by_subset = subsets.alias("x").join(subsets.alias("y"), "signature").where(f"x.set_id < y.set_id AND {fits}").select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
