@@ -128,13 +128,13 @@ def gain(grade: Column | str, exponential: bool = True) -> Column:
 
 def fmt(value: Column | str, digits: int = 3) -> Column:
     """A number as text with ``digits`` decimals, '-' for NULL."""
-    return F.coalesce(F.format_string(f"%.{digits}f", _col(value)), F.lit("-"))
+    return F.when(_col(value).isNull(), "-").otherwise(F.format_string(f"%.{digits}f", _col(value)))
 
 
 def percent(part: Column | str, whole: Column | str) -> Column:
     """'12.5%'; '(no data)' where the whole is 0 or NULL."""
     share = _col(part) / F.nullif(_col(whole), F.lit(0)) * 100
-    return F.coalesce(F.concat(F.format_string("%.1f", share), F.lit("%")), F.lit("(no data)"))
+    return F.when(share.isNull(), "(no data)").otherwise(F.concat(F.format_string("%.1f", share), F.lit("%")))
 
 
 def range_label(low: Column | str, high: Column | str) -> Column:

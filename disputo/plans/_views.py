@@ -81,7 +81,7 @@ ARGS = """args AS (SELECT * FROM arguments_clean WHERE arg_id IS NOT NULL QUALIF
 VECS = """vecs AS (SELECT arg_id, cluster_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS u FROM (
   SELECT arg_id, cluster_id, loaded_at, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM debater_dataset_with_clusters
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY arg_id ORDER BY loaded_at DESC) = 1)"""
-POOL = ARGS + """, pool AS (SELECT policy, stance, arg_id, argument AS text, coalesce(is_distractor, false) AS is_distractor,
+POOL = ARGS + """, pool AS MATERIALIZED (SELECT policy, stance, arg_id, argument AS text, coalesce(is_distractor, false) AS is_distractor,
   row_number() OVER (PARTITION BY policy, stance ORDER BY arg_id) - 1 AS pool_pos FROM args WHERE stance IN (1, -1) AND policy IS NOT NULL)"""
 PV = POOL + ", " + VECS + ", pv AS (SELECT pool.*, u FROM pool JOIN vecs USING (arg_id))"
 EDGES = """edges AS (SELECT *, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN s WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 END AS a,
@@ -92,4 +92,8 @@ RATED = """votes AS (SELECT item_id, annotator_id, arg_max(grade, (judged_at, gr
   FROM graded_judgments WHERE grade BETWEEN 0 AND 3 GROUP BY ALL), ordered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY annotator_id) AS rn FROM votes),
   rated AS (SELECT item_id, min(arg_id) AS arg_id, min(policy) AS policy, min(stance) AS stance, min(pos) AS pos, max(CASE WHEN rn = 1 THEN grade END) AS grade_primary,
   max(CASE WHEN rn = 2 AND item_id % 11 <> 0 THEN grade END) AS grade_secondary FROM ordered WHERE rn <= 2 GROUP BY item_id)"""
-DOT = "list_dot_product({0}, {1})"
+
+
+def stripped(x: str) -> str:
+    """SQL for a text without white space at its ends."""
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from disputo.functions.scalars import strip
 from disputo.functions.vectors import mean_vector
 from disputo.operators import metrics, retrieval
-from disputo.plans._views import ARGS, EDGES, PV, RATED, VECS, Registry, arguments, edges, pool_vectors, rated, rounded, vectors
+from disputo.plans._views import ARGS, EDGES, PV, RATED, VECS, Registry, arguments, edges, pool_vectors, rated, rounded, stripped, vectors
 from disputo.plans.judged import _CONSENSUS, graded
 from disputo.runtime import table
 from disputo.sources import files
@@ -17,14 +18,14 @@ BY = ["policy", "stance"]
 K = 5
 
 # the judged lists: items of each policy and stance in their given position order, as the system "given"
-_LISTS = f"""{_CONSENSUS}, {ARGS}, {VECS}, gt AS (SELECT c.policy, c.stance, trim(a.argument) AS text, max(c.grade) AS grade FROM cons c JOIN args a USING (arg_id) WHERE c.item_id % 3 <> 0 GROUP BY ALL),
+_LISTS = f"""{_CONSENSUS}, {ARGS}, {VECS}, gt AS (SELECT c.policy, c.stance, {stripped('a.argument')} AS text, max(c.grade) AS grade FROM cons c JOIN args a USING (arg_id) WHERE c.item_id % 3 <> 0 GROUP BY ALL),
 li AS (SELECT c.policy, c.stance, c.arg_id, a.argument AS text, u, row_number() OVER (PARTITION BY c.policy, c.stance ORDER BY c.pos, c.item_id)::INTEGER AS rank FROM cons c JOIN args a USING (arg_id) LEFT JOIN vecs USING (arg_id)),
-gu AS (SELECT c.policy, c.stance, trim(a.argument) AS text, arg_max(u, c.grade) AS gu FROM cons c JOIN args a USING (arg_id) LEFT JOIN vecs USING (arg_id) WHERE c.item_id % 3 <> 0 GROUP BY ALL),
-near AS (SELECT l.policy, l.stance, trim(l.text) AS key, gt.text AS gt_text, gt.grade, round(list_cosine_similarity(l.u, gu.gu), 9) AS cs FROM li l JOIN gt USING (policy, stance) JOIN gu ON gu.policy = gt.policy AND gu.stance = gt.stance AND gu.text = gt.text
-  WHERE l.u IS NOT NULL AND gu.gu IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gt g WHERE g.policy = l.policy AND g.stance = l.stance AND g.text = trim(l.text))),
+gu AS (SELECT c.policy, c.stance, {stripped('a.argument')} AS text, arg_max(u, c.grade) AS gu FROM cons c JOIN args a USING (arg_id) LEFT JOIN vecs USING (arg_id) WHERE c.item_id % 3 <> 0 GROUP BY ALL),
+near AS (SELECT l.policy, l.stance, {stripped('l.text')} AS key, gt.text AS gt_text, gt.grade, round(list_cosine_similarity(l.u, gu.gu), 9) AS cs FROM li l JOIN gt USING (policy, stance) JOIN gu ON gu.policy = gt.policy AND gu.stance = gt.stance AND gu.text = gt.text
+  WHERE l.u IS NOT NULL AND gu.gu IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gt g WHERE g.policy = l.policy AND g.stance = l.stance AND g.text = {stripped('l.text')})),
 best AS (SELECT policy, stance, key, arg_max(gt_text, (cs, -grade, gt_text)) AS gt_text, arg_max(grade, (cs, -grade, gt_text)) AS grade FROM near WHERE cs >= 0.75 GROUP BY ALL),
 m AS (SELECT l.policy, l.stance, l.arg_id, l.text, l.u, l.rank, coalesce(gt.grade, b.grade, 0) AS grade, CASE WHEN gt.grade IS NOT NULL THEN 'exact' WHEN b.gt_text IS NOT NULL THEN 'semantic' ELSE 'none' END AS match, coalesce(gt.text, b.gt_text) AS match_text
-  FROM li l LEFT JOIN gt ON gt.policy = l.policy AND gt.stance = l.stance AND gt.text = trim(l.text) LEFT JOIN best b ON b.policy = l.policy AND b.stance = l.stance AND b.key = trim(l.text))"""
+  FROM li l LEFT JOIN gt ON gt.policy = l.policy AND gt.stance = l.stance AND gt.text = {stripped('l.text')} LEFT JOIN best b ON b.policy = l.policy AND b.stance = l.stance AND b.key = {stripped('l.text')})"""
 
 
 def judged_items(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +51,7 @@ def matched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truth_texts(spark: SparkSession, d: str) -> DataFrame:
-    return ground_truth(spark, d).withColumn("text", F.trim("text")).groupBy(*BY, "text").agg(F.max("grade").alias("grade"))
+    return ground_truth(spark, d).withColumn("text", strip("text")).groupBy(*BY, "text").agg(F.max("grade").alias("grade"))
 
 
 @query(f"WITH {_LISTS} SELECT policy, stance, arg_id, rank, grade, match FROM m")
@@ -100,7 +101,7 @@ def eval_diversity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(each)
 
 
-@query(f"""WITH {_LISTS}, mf AS (SELECT DISTINCT policy, stance, trim(argument) AS key FROM args WHERE is_distractor) SELECT m.policy, m.stance, round(avg((mf.key IS NOT NULL)::INTEGER), 6) AS distractor_rate FROM m LEFT JOIN mf ON mf.policy = m.policy AND mf.stance = m.stance AND mf.key = trim(m.text) GROUP BY ALL""")
+@query(f"""WITH {_LISTS}, mf AS (SELECT DISTINCT policy, stance, {stripped('argument')} AS key FROM args WHERE is_distractor) SELECT m.policy, m.stance, round(avg((mf.key IS NOT NULL)::INTEGER), 6) AS distractor_rate FROM m LEFT JOIN mf ON mf.policy = m.policy AND mf.stance = m.stance AND mf.key = {stripped('m.text')} GROUP BY ALL""")
 def eval_distractor_rate(spark: SparkSession, d: str) -> DataFrame:
     manifest = arguments(spark, d).where("is_distractor").select("policy", "stance", F.col("argument").alias("text"))
     return rounded(metrics.distractor_rate(given_lists(spark, d), manifest, BY))

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disputo.operators import distractors, ml
-from disputo.plans._views import ARGS, EDGES, POOL, PV, VECS, Registry, arguments, edges, policy_table, pool, pool_vectors, rounded, vectors
+from disputo.plans._views import ARGS, EDGES, POOL, PV, VECS, Registry, arguments, edges, policy_table, pool, pool_vectors, rounded, stripped, vectors
 from disputo.schema import Settings
 
 query = Registry()
 _DIM = "dim AS (SELECT policy, any_value(metapolicy_id) AS metapolicy_id FROM policies WHERE policy IS NOT NULL GROUP BY 1), sib AS (SELECT a.policy, b.policy AS sibling FROM dim a JOIN dim b USING (metapolicy_id) WHERE a.policy <> b.policy)"
 _CENT = """pm AS (SELECT policy, i, avg(x) AS m FROM (SELECT policy, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM pv) GROUP BY ALL), pl AS (SELECT policy, sqrt(sum(m * m)) AS n FROM pm GROUP BY 1), cent AS (SELECT policy, list(m / n ORDER BY i) AS c FROM pm JOIN pl USING (policy) GROUP BY 1)"""
-_CAND = """own AS (SELECT DISTINCT policy, trim(text) AS text FROM pool), cand AS (SELECT s.policy, p.stance, p.arg_id, trim(p.text) AS text, p.u FROM pv p JOIN sib s ON s.sibling = p.policy WHERE trim(p.text) <> '' AND NOT EXISTS (SELECT 1 FROM own o WHERE o.policy = s.policy AND o.text = trim(p.text))
-  QUALIFY row_number() OVER (PARTITION BY s.policy, p.stance, trim(p.text) ORDER BY p.arg_id) = 1), ranked AS (SELECT c.*, round(list_dot_product(u, cent.c), 9) AS score, row_number() OVER (PARTITION BY c.policy, stance ORDER BY round(list_dot_product(u, cent.c), 9) DESC, arg_id)::INTEGER AS rank FROM cand c JOIN cent USING (policy))"""
+_CAND = f"""own AS (SELECT DISTINCT policy, {stripped('text')} AS text FROM pool), cand AS (SELECT s.policy, p.stance, p.arg_id, {stripped('p.text')} AS text, p.u FROM pv p JOIN sib s ON s.sibling = p.policy WHERE {stripped('p.text')} <> '' AND NOT EXISTS (SELECT 1 FROM own o WHERE o.policy = s.policy AND o.text = {stripped('p.text')})
+  QUALIFY row_number() OVER (PARTITION BY s.policy, p.stance, {stripped('p.text')} ORDER BY p.arg_id) = 1), ranked AS (SELECT c.*, round(list_dot_product(u, cent.c), 9) AS score, row_number() OVER (PARTITION BY c.policy, stance ORDER BY round(list_dot_product(u, cent.c), 9) DESC, arg_id)::INTEGER AS rank FROM cand c JOIN cent USING (policy))"""
 LEVELS = Settings(levels=(0, 5, -1))
 
 

@@ -61,7 +61,7 @@ agree AS (SELECT policy, n::BIGINT AS n_pairs, CASE WHEN e = 0 THEN 1.0 ELSE 1 -
   CASE WHEN n < 2 THEN NULL WHEN dex.s = 0 THEN 1.0 ELSE 1 - (dob.s / n) / (dex.s / (2 * n * (2 * n - 1))) END AS alpha_ordinal FROM n JOIN obs USING (policy) JOIN ex USING (policy) JOIN dob USING (policy) JOIN dex USING (policy))"""
 
 
-@query(f"WITH {_AGREE} SELECT policy, n_pairs, round(qwk, 6) AS qwk, round(binary_kappa, 6) AS binary_kappa, round(alpha_ordinal, 6) AS alpha_ordinal FROM agree")
+@query(f"WITH {_AGREE} SELECT policy, n_pairs, round(qwk, 6) + 0.0 AS qwk, round(binary_kappa, 6) + 0.0 AS binary_kappa, round(alpha_ordinal, 6) + 0.0 AS alpha_ordinal FROM agree")
 def judged_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Weighted kappa, binary kappa and ordinal alpha of two raters per policy."""
     return rounded(judgments.agreement(rated(spark, d), ["policy"]))
