@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Keep the texts of plans short meanwhile: the driver retains one per execution, and iterations have many."""
+    name = "spark.sql.maxPlanStringLength"
+    former = spark.conf.get(name)
+    spark.conf.set(name, "4096")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, former)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
@@ -38,7 +52,8 @@ def cut(df: DataFrame) -> DataFrame:
     only the tasks it ran, and the lineage does not grow with the number of iterations.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with short_plans(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> tuple[DataFrame, str]:
@@ -47,7 +62,8 @@ def store(df: DataFrame) -> tuple[DataFrame, str]:
     For wide intermediate results that are read several times: smaller than a checkpoint, and columns can be pruned.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with short_plans(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
