@@ -21,7 +21,7 @@ from disputo.llm.forms import consistent_form, words
 from disputo.runtime import BROADCAST_ROWS, cut, remove, small, store
 
 #: Buckets of the table of word frequencies that orders words from rare to frequent: its size is fixed.
-FREQUENCY_BUCKETS = 1 << 20
+FREQUENCY_BUCKETS = 1 << 18
 #: Cost of writing, shuffling and joining one subset, in steps of an inverted list.
 SUBSET_COST = 10.0
 #: Sizes above this share one entry in the cost table (the join itself knows every size).
@@ -60,9 +60,9 @@ def _bucket_counts(sets: DataFrame, pick) -> np.ndarray:
             part = some[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
 
-    rows = sets.select("tokens", "n").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sets.select("tokens", "n").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(FREQUENCY_BUCKETS, dtype=np.int64)
-    table[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
+    table[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return table
 
 

@@ -137,4 +137,15 @@ def p10_consistent_texts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in list(globals().items()) if callable(f) and name[0] == "p" and name[1:].split("_")[0].isdigit()
 }
-ORACLES: dict[str, str] = {}
+# Brute force in SQL where that is feasible on whole tables.
+_VECS = """v AS (SELECT arg_id, any_value(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM debater_dataset_with_clusters
+  WHERE arg_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+p AS (SELECT a.arg_id AS a, b.arg_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.arg_id <> b.arg_id WHERE list_cosine_similarity(a.e, b.e) >= 0.8)"""
+ORACLES: dict[str, str] = {
+    "p2_found": """WITH RECURSIVE n AS (SELECT lower(trim(rel)) AS rel, nullif(lower(trim(source)), '') AS s, nullif(lower(trim(target)), '') AS t, nullif(lower(trim(arg1_id)), '') AS x, nullif(lower(trim(arg2_id)), '') AS y FROM relations_generated),
+e AS (SELECT CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN s ELSE x END AS a, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN t ELSE y END AS b FROM n WHERE rel = 'equivalent' AND ((s IS NOT NULL AND t IS NOT NULL) OR (x IS NOT NULL AND y IS NOT NULL))),
+l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT node AS arg_id, min(seen) AS group_id FROM r GROUP BY 1""",
+    "p3_found": f"WITH {_VECS} SELECT a AS arg_id, least(a, min(b)) AS cluster_key FROM p GROUP BY a",
+    "p4_found": f"WITH {_VECS}, k AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5) SELECT DISTINCT least(a, b) AS arg_id_a, greatest(a, b) AS arg_id_b FROM k",
+}
