@@ -22,8 +22,8 @@ from disputo.runtime import BROADCAST_ROWS, cut, remove, small, store
 
 #: Buckets of the table of word frequencies that orders words from rare to frequent: its size is fixed.
 FREQUENCY_BUCKETS = 1 << 18
-#: Cost of writing, shuffling and joining one subset, in steps of an inverted list.
-SUBSET_COST = 10.0
+#: Cost of writing, shuffling and joining one subset, in steps of an inverted list (a step compares two bitmaps and mostly ends there).
+SUBSET_COST = 60.0
 #: Sizes above this share one entry in the cost table (the join itself knows every size).
 LARGEST_COSTED = 4096
 
@@ -152,7 +152,11 @@ def _subsets(sets: DataFrame, frequency, threshold: float, light: int) -> DataFr
 
 
 def _lists(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
-    """(``signature``, ``set_id``, ``n``, ``position``, ``heavy``): the rarest words of the heavy sets and of all sets that one may match."""
+    """(``signature``, ``set_id``, ``meta``, ``b1``, ``b2``): the rarest words of the heavy sets and of all sets that one may match.
+
+    meta holds n * 2^33 + position * 2 + heavy; b1 and b2 are a bitmap of all the set's words: words in which two sets differ
+    flip at most one bit each, so pairs whose bitmaps differ too much cannot be similar enough and go no further.
+    """
     tiny = int(1 / threshold + 1e-9)  # sets of this size or less may share fewer than two words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +168,17 @@ def _lists(sets: DataFrame, frequency, threshold: float, light: int) -> DataFram
             heavy = (n > light) | (least < 2)
             take = np.flatnonzero(position < (n - least + 1)[row])
             at = row[take]
+            bit = np.left_shift(np.uint64(1), (tokens & 63).view(np.uint64))
+            upper = (tokens >> 6) & 1 == 1
+            starts = np.cumsum(n) - n
+            b1, b2 = (np.bitwise_or.reduceat(np.where(upper == half, bit, np.uint64(0)), starts).view(np.int64) if len(n) else np.empty(0, np.int64) for half in (False, True))
             for k in range(0, len(take), 1 << 16):
                 part, own = take[k : k + (1 << 16)], at[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(ids[own]), pa.array(n[own].astype(np.int32)), pa.array(position[part].astype(np.int32)), pa.array(heavy[own])], ["signature", "set_id", "n", "position", "heavy"])
+                meta = n[own].astype(np.int64) * (1 << 33) + position[part] * 2 + heavy[own]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(ids[own]), pa.array(meta), pa.array(b1[own]), pa.array(b2[own])], ["signature", "set_id", "meta", "b1", "b2"])
 
     listed = sets.where((F.col("n") >= threshold * light - 1e-9) | (F.col("n") <= tiny / threshold))
-    return listed.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, n int, position int, heavy boolean")
+    return listed.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, meta long, b1 long, b2 long")
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -185,10 +194,13 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     subsets = _subsets(sets, frequency, threshold, light)
     by_subset = subsets.alias("x").join(subsets.alias("y"), "signature").where(f"x.set_id < y.set_id AND {fits}").select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
     lists = _lists(sets, frequency, threshold, light)
-    enough = f"least(x.n - x.position, y.n - y.position) >= {threshold / (1 + threshold)!r} * (x.n + y.n) - 1e-9"
+    xn, yn, xp, yp = "shiftright(x.meta, 33)", "shiftright(y.meta, 33)", "(shiftright(x.meta, 1) & 4294967295)", "(shiftright(y.meta, 1) & 4294967295)"
+    share = threshold / (1 + threshold)
     by_list = (  # both sides are the same table, so it is shuffled once
         lists.alias("x").join(lists.alias("y"), "signature")
-        .where(f"x.set_id < y.set_id AND (x.heavy OR y.heavy) AND {fits} AND {enough}")
+        .where(f"x.set_id < y.set_id AND ((x.meta | y.meta) & 1) = 1 AND least({xn}, {yn}) >= {threshold} * greatest({xn}, {yn}) - 1e-9")
+        .where(f"least({xn} - {xp}, {yn} - {yp}) >= {share!r} * ({xn} + {yn}) - 1e-9")
+        .where(f"bit_count(x.b1 ^ y.b1) + bit_count(x.b2 ^ y.b2) <= {1 - 2 * share!r} * ({xn} + {yn}) + 1e-9")
         .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
     )
     candidates = cut(by_subset.union(by_list).distinct())
