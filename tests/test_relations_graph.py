@@ -69,7 +69,7 @@ def test_personalised_is_one_graph_per_policy(spark):
     policies = spark.createDataFrame([("p", 0), ("p", 1), ("p", 2), ("q", 3), ("q", 4)], "policy string, id long")
     adjacency = graph.symmetric(spark.createDataFrame([(0, 1), (1, 2), (3, 4), (2, 3)], "a long, b long"), policies.select("id"))
     got = {r.id: r.rank for r in graph.personalised(policies, adjacency, iterations=40).collect()}
-    assert np.allclose([got[i] for i in range(3)], dense_ranks(3, [(0, 1), (1, 2)], [1] * 3), atol=1e-4)
+    assert np.allclose([got[i] for i in range(3)], dense_ranks(3, [(0, 1), (1, 2)], [1] * 3), atol=1e-3)
     assert np.allclose([got[3], got[4]], [0.5, 0.5], atol=1e-6)
 
 
