@@ -14,6 +14,8 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,12 +33,12 @@ NEAR = 0.955
 
 
 def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _sum_vectors(grouped, size: int, *others: Column) -> DataFrame:
-    summed = grouped.agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size)], *others)
-    return summed.withColumn("s", F.array(*[F.col(f"s{i}") for i in range(size)])).drop(*[f"s{i}" for i in range(size)])
+def _sum_vectors(grouped, *others: Column) -> DataFrame:
+    """``s``, the sum of the group's vectors, by one aggregate that is combined on the map side."""
+    return grouped.agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), *others)
 
 
 def _cells(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -47,21 +49,22 @@ def _cells(rows: DataFrame, grid: Grid) -> DataFrame:
             if not len(batch):
                 continue
             x = unit(matrix(batch.column(1)))
+            single = batch.column(1).cast(pa.list_(pa.float32()))
             for table in range(grid.tables):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grid.keys(x, table))], ["id", "s", "n", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), single, batch.column(2), pa.array(grid.keys(x, table))], ["id", "s", "n", "cell"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "s", "n").mapInArrow(run, f"id {kind}, s array<double>, n long, cell long")
+    return rows.select("id", "s", "n").mapInArrow(run, f"id {kind}, s array<float>, n long, cell long")
 
 
-def _joins(cells: DataFrame, size: int, least: float, neighbours: bool) -> DataFrame:
+def _joins(cells: DataFrame, least: float, neighbours: bool) -> DataFrame:
     """(``old``, ``new``): rows that take a smaller label.
 
     A cell is dense if it has at least two rows and the mean cosine of its pairs, known from the sum of its vectors, is at
     least ``least``; a row fits if its cosine with that sum is, and is joined to the smallest row of its cell that fits.  With
     ``neighbours`` the rows of the other cells, weighted rows standing for what was joined before, are compared within their cell.
     """
-    counts = cut(_sum_vectors(cells.groupBy("cell"), size, F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    counts = cut(_sum_vectors(cells.groupBy("cell"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     pure = (_dot("s", "s") - F.col("m")) / (F.col("m") * (F.col("m") - 1)) >= least
     dense = counts.where(pure).select("cell", F.col("s").alias("t"))
     fit = cells.join(dense, "cell").where(_dot("s", "t") / F.sqrt(_dot("s", "s") * _dot("t", "t")) >= least).select("cell", "id")
@@ -91,7 +94,7 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least:
         width = 8 * sqrt(2 - 2 * NEAR) / sqrt(size)
         dense_only = step < DENSE_ROUNDS
         grid = Grid(n if dense_only else rows.count(), mean, axes, variances, width, TABLES, DENSE_CHANCE if dense_only else JOIN_CHANCE, seed + step)
-        moved = cut(_joins(_cells(rows, grid), size, least, not dense_only))
+        moved = cut(_joins(_cells(rows, grid), least, not dense_only))
         if moved.isEmpty():
             quiet += not dense_only
             if quiet == 2:
@@ -99,7 +102,7 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least:
             continue
         quiet = 0
         relabelled = rows.join(moved, F.col("id") == F.col("old"), "left").select(F.coalesce("new", "id").alias("id"), "s", "n")
-        rows = cut(_sum_vectors(relabelled.groupBy("id"), size, F.sum("n").alias("n")))
+        rows = cut(_sum_vectors(relabelled.groupBy("id"), F.sum("n").alias("n")))
         labels = labels.join(moved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
         if step % 3 == 2:
             labels = cut(labels)
