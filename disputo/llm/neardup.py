@@ -24,6 +24,8 @@ from disputo.runtime import BROADCAST_ROWS, cut, remove, small, store
 FREQUENCY_BUCKETS = 1 << 18
 #: Cost of writing, shuffling and joining one subset, in steps of an inverted list (a step compares two bitmaps and mostly ends there).
 SUBSET_COST = 60.0
+#: Longs of the bitmap that stands for a set's words in the list join; large sets need many bits to differ.
+BITMAP = 4
 #: Sizes above this share one entry in the cost table (the join itself knows every size).
 LARGEST_COSTED = 4096
 
@@ -152,12 +154,13 @@ def _subsets(sets: DataFrame, frequency, threshold: float, light: int) -> DataFr
 
 
 def _lists(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
-    """(``signature``, ``set_id``, ``meta``, ``b1``, ``b2``): the rarest words of the heavy sets and of all sets that one may match.
+    """(``signature``, ``set_id``, ``meta``, ``b0`` and so on): the rarest words of the heavy sets and of all sets that one may match.
 
-    meta holds n * 2^33 + position * 2 + heavy; b1 and b2 are a bitmap of all the set's words: words in which two sets differ
+    meta holds n * 2^33 + position * 2 + heavy; the b columns are a bitmap of all the set's words: words in which two sets differ
     flip at most one bit each, so pairs whose bitmaps differ too much cannot be similar enough and go no further.
     """
     tiny = int(1 / threshold + 1e-9)  # sets of this size or less may share fewer than two words
+    names = [f"b{k}" for k in range(BITMAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,16 +172,16 @@ def _lists(sets: DataFrame, frequency, threshold: float, light: int) -> DataFram
             take = np.flatnonzero(position < (n - least + 1)[row])
             at = row[take]
             bit = np.left_shift(np.uint64(1), (tokens & 63).view(np.uint64))
-            upper = (tokens >> 6) & 1 == 1
+            word = (tokens >> 6) & (BITMAP - 1)
             starts = np.cumsum(n) - n
-            b1, b2 = (np.bitwise_or.reduceat(np.where(upper == half, bit, np.uint64(0)), starts).view(np.int64) if len(n) else np.empty(0, np.int64) for half in (False, True))
+            bits = [np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts).view(np.int64) if len(n) else np.empty(0, np.int64) for k in range(BITMAP)]
             for k in range(0, len(take), 1 << 16):
                 part, own = take[k : k + (1 << 16)], at[k : k + (1 << 16)]
                 meta = n[own].astype(np.int64) * (1 << 33) + position[part] * 2 + heavy[own]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(ids[own]), pa.array(meta), pa.array(b1[own]), pa.array(b2[own])], ["signature", "set_id", "meta", "b1", "b2"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(ids[own]), pa.array(meta), *[pa.array(b[own]) for b in bits]], ["signature", "set_id", "meta", *names])
 
     listed = sets.where((F.col("n") >= threshold * light - 1e-9) | (F.col("n") <= tiny / threshold))
-    return listed.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, meta long, b1 long, b2 long")
+    return listed.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, meta long, " + ", ".join(f"{b} long" for b in names))
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -200,7 +203,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         lists.alias("x").join(lists.alias("y"), "signature")
         .where(f"x.set_id < y.set_id AND ((x.meta | y.meta) & 1) = 1 AND least({xn}, {yn}) >= {threshold} * greatest({xn}, {yn}) - 1e-9")
         .where(f"least({xn} - {xp}, {yn} - {yp}) >= {share!r} * ({xn} + {yn}) - 1e-9")
-        .where(f"bit_count(x.b1 ^ y.b1) + bit_count(x.b2 ^ y.b2) <= {1 - 2 * share!r} * ({xn} + {yn}) + 1e-9")
+        .where(" + ".join(f"bit_count(x.b{k} ^ y.b{k})" for k in range(BITMAP)) + f" <= {1 - 2 * share!r} * ({xn} + {yn}) + 1e-9")
         .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
     )
     candidates = cut(by_subset.union(by_list).distinct())
