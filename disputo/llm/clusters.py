@@ -4,7 +4,7 @@ Features (projections on the principal axes) are quantised into grid cells, seve
 once; cells are counted and their vectors added up; a cell whose rows are mutually similar is dense, and joins
 the rows that fit it; dense cells of different grids are adjacent where they share rows, and a row takes the smallest
 label of its cells in all grids.  Rows of one label become one weighted row, and the next round
-quantises these on other grids: minimum labels are propagated to convergence, until two rounds join nothing.
+quantises these on other grids: minimum labels are propagated to convergence, until a round joins nothing.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +21,8 @@ from pyspark.sql import functions as F
 from disputo.llm.vectors import Grid, matrix, principal_axes, unit, usable_vectors
 from disputo.runtime import cut
 
-TABLES = 6
+#: Grids per round: a few while large clusters are found, many once neighbours are joined, so that one round misses hardly a pair.
+DENSE_TABLES, JOIN_TABLES = 6, 24
 #: Unrelated rows that a row meets in a cell by chance, in the rounds that only look for dense cells and in those that also join neighbours.
 DENSE_CHANCE, JOIN_CHANCE = 4.0, 4.0
 #: Rounds that only look for dense cells: they turn large clusters into few weighted rows.
@@ -36,9 +35,10 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _sum_vectors(grouped, *others: Column) -> DataFrame:
+def _sum_vectors(grouped, size: int, *others: Column) -> DataFrame:
     """``s``, the sum of the group's vectors, by one aggregate that is combined on the map side."""
-    return grouped.agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), *others)
+    summed = grouped.agg(*[F.sum(F.col("s")[i].cast("double")).alias(f"s{i}") for i in range(size)], *others)
+    return summed.withColumn("s", F.array(*[F.col(f"s{i}") for i in range(size)])).drop(*[f"s{i}" for i in range(size)])
 
 
 def _cells(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -57,14 +57,14 @@ def _cells(rows: DataFrame, grid: Grid) -> DataFrame:
     return rows.select("id", "s", "n").mapInArrow(run, f"id {kind}, s array<float>, n long, cell long")
 
 
-def _joins(cells: DataFrame, least: float, neighbours: bool) -> DataFrame:
+def _joins(cells: DataFrame, size: int, least: float, neighbours: bool) -> DataFrame:
     """(``old``, ``new``): rows that take a smaller label.
 
     A cell is dense if it has at least two rows and the mean cosine of its pairs, known from the sum of its vectors, is at
     least ``least``; a row fits if its cosine with that sum is, and is joined to the smallest row of its cell that fits.  With
     ``neighbours`` the rows of the other cells, weighted rows standing for what was joined before, are compared within their cell.
     """
-    counts = cut(_sum_vectors(cells.groupBy("cell"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    counts = cut(_sum_vectors(cells.groupBy("cell"), size, F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     pure = (_dot("s", "s") - F.col("m")) / (F.col("m") * (F.col("m") - 1)) >= least
     dense = counts.where(pure).select("cell", F.col("s").alias("t"))
     fit = cells.join(dense, "cell").where(_dot("s", "t") / F.sqrt(_dot("s", "s") * _dot("t", "t")) >= least).select("cell", "id")
@@ -89,20 +89,18 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least:
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
     singles = usable.withColumn("norm", norm).select("id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("s"), F.lit(1).cast("long").alias("n"))
     n, mean, axes, variances = principal_axes(usable, size)
-    rows, labels, quiet = singles, usable.select("id", F.col("id").alias("label")), 0
+    rows, labels = singles, usable.select("id", F.col("id").alias("label"))
     for step in range(max_rounds):
         width = 8 * sqrt(2 - 2 * NEAR) / sqrt(size)
         dense_only = step < DENSE_ROUNDS
-        grid = Grid(n if dense_only else rows.count(), mean, axes, variances, width, TABLES, DENSE_CHANCE if dense_only else JOIN_CHANCE, seed + step)
-        moved = cut(_joins(_cells(rows, grid), least, not dense_only))
+        grid = Grid(n if dense_only else rows.count(), mean, axes, variances, width, DENSE_TABLES if dense_only else JOIN_TABLES, DENSE_CHANCE if dense_only else JOIN_CHANCE, seed + step)
+        moved = cut(_joins(_cells(rows, grid), size, least, not dense_only))
         if moved.isEmpty():
-            quiet += not dense_only
-            if quiet == 2:
+            if not dense_only:
                 break
             continue
-        quiet = 0
         relabelled = rows.join(moved, F.col("id") == F.col("old"), "left").select(F.coalesce("new", "id").alias("id"), "s", "n")
-        rows = cut(_sum_vectors(relabelled.groupBy("id"), F.sum("n").alias("n")))
+        rows = cut(_sum_vectors(relabelled.groupBy("id"), size, F.sum("n").alias("n")))
         labels = labels.join(moved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
         if step % 3 == 2:
             labels = cut(labels)
