@@ -22,10 +22,14 @@ from disputo.runtime import BROADCAST_ROWS, cut, remove, small, store
 
 #: Buckets of the table of word frequencies that orders words from rare to frequent: its size is fixed.
 FREQUENCY_BUCKETS = 1 << 18
-#: Cost of writing, shuffling and joining one subset, in steps of an inverted list (a step compares two bitmaps and mostly ends there).
-SUBSET_COST = 60.0
-#: Longs of the bitmap that stands for a set's words in the list join; large sets need many bits to differ.
-BITMAP = 4
+#: Cost of writing, shuffling and sorting one posting, in steps of an inverted list (a step compares 64 bits of two bitmaps and mostly ends there).
+POSTING_COST = 100.0
+#: Longs of the bitmap that stands for a set's words in the scan; large sets need many bits to differ.
+BITMAP = 2
+#: Postings of one signature above which its list is cut into chunks that are scanned pair by pair in tasks of their own.
+CHUNK = 1 << 15
+#: Pairs compared at a time within a task.
+STEP = 1 << 20
 #: Sizes above this share one entry in the cost table (the join itself knows every size).
 LARGEST_COSTED = 4096
 
@@ -95,31 +99,32 @@ def _ranked(batch: pa.RecordBatch, frequency: np.ndarray) -> tuple[np.ndarray, n
     return flat[order], row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), often[order]
 
 
-def _costs(sets: DataFrame, frequency, lengths, threshold: float) -> list[tuple[int, float, float]]:
-    """(size, cost by subsets, cost by inverted lists) of all sets of that size."""
+def _costs(sets: DataFrame, frequency, lengths, threshold: float) -> list[tuple[int, float, float, int]]:
+    """(size, cost by subsets, cost by inverted lists, frequency of the most frequent word in a subset) of all sets of that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((LARGEST_COSTED + 1, 2))
+        total, widest = np.zeros((LARGEST_COSTED + 1, 2)), np.zeros(LARGEST_COSTED + 1, dtype=np.int64)
         for batch in batches:
-            tokens, row, position, _ = _ranked(batch, frequency.value)
+            tokens, row, position, often = _ranked(batch, frequency.value)
             n = batch.column(batch.schema.get_field_index("n")).to_numpy()
             prefix = n - np.ceil(threshold * n - 1e-9) + 1
             scan = np.bincount(row, weights=lengths.value[tokens % FREQUENCY_BUCKETS] * (position < prefix[row]), minlength=len(n))
             at = np.minimum(n, LARGEST_COSTED)
-            np.add.at(total[:, 0], at, SUBSET_COST * (prefix + 1) * prefix / 2)
-            np.add.at(total[:, 1], at, scan)
+            np.add.at(total[:, 0], at, POSTING_COST * (prefix + 1) * prefix / 2)
+            np.add.at(total[:, 1], at, POSTING_COST * prefix + scan / 2)
+            np.maximum.at(widest, at[row], often * (position <= prefix[row]))
         size = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(total[size, 0]), pa.array(total[size, 1])], ["n", "subsets", "lists"])
+        yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(total[size, 0]), pa.array(total[size, 1]), pa.array(widest[size])], ["n", "subsets", "lists", "widest"])
 
-    costs = sets.select("tokens", "n").mapInArrow(run, "n long, subsets double, lists double").groupBy("n").agg(F.sum("subsets"), F.sum("lists"))
-    return sorted((int(n), a, b) for n, a, b in costs.collect())
+    costs = sets.select("tokens", "n").mapInArrow(run, "n long, subsets double, lists double, widest long").groupBy("n").agg(F.sum("subsets"), F.sum("lists"), F.max("widest"))
+    return sorted((int(n), a, b, w) for n, a, b, w in costs.collect())
 
 
-def boundary(costs: list[tuple[int, float, float]]) -> int:
+def boundary(costs: list[tuple]) -> int:
     """The largest size handled by subsets: the one that makes the sum of both ways' costs smallest."""
-    best, at, total = 0, 0, sum(b for _, _, b in costs)
+    best, at, total = 0, 0, sum(c[2] for c in costs)
     least = total
-    for n, subsets, lists in costs:
+    for n, subsets, lists, *_ in costs:
         total += subsets - lists
         if total < least:
             least, best = total, n
@@ -127,86 +132,139 @@ def boundary(costs: list[tuple[int, float, float]]) -> int:
     return min(best, at)
 
 
-def _subsets(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
-    """(``signature``, ``set_id``, ``n``): all pairs of the rarest words of each set of at most ``light`` words."""
+def _postings(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
+    """(``signature``, ``set_id``, ``meta``, ``b0`` and so on): the subsets of the light sets, the list entries of all that a heavy set may match.
+
+    A light set (at most ``light`` words) has one posting for each pair of its rarest words, a heavy one for each of its rarest
+    words; light sets that a heavy one may match have list entries as well.  meta holds n * 2^33 + position * 8 + side * 2 + free,
+    where two postings without free do not meet (light sets met by their subsets) and side is 0 until a list is cut (:func:`_cut_lists`).
+    The b columns are a bitmap of all the set's words: words in which two sets differ flip at most one bit each.
+    """
+    tiny = int(1 / threshold + 1e-9)  # sets of this size or less may share fewer than two words
+    names = [f"b{k}" for k in range(BITMAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, _, _, _ = _ranked(batch, frequency.value)
+            tokens, row, position, _ = _ranked(batch, frequency.value)
             ids = batch.column(batch.schema.get_field_index("set_id")).to_numpy()
-            n = batch.column(batch.schema.get_field_index("n")).to_numpy()
-            start = np.cumsum(n) - n
-            for size in np.unique(n):
+            n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
+            if not len(n):
+                continue
+            least = np.ceil(threshold * n - 1e-9).astype(np.int64)
+            heavy = (n > light) | (least < 2)
+            starts = np.cumsum(n) - n
+            bit, word = np.left_shift(np.uint64(1), (tokens & 63).view(np.uint64)), (tokens >> 6) & (BITMAP - 1)
+            bits = [np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts).view(np.int64) for k in range(BITMAP)]
+            listed = (n >= threshold * light - 1e-9) | (n <= tiny / threshold)
+            take = np.flatnonzero((position < (n - least + 1)[row]) & listed[row])
+            for k in range(0, len(take), 1 << 16):
+                part = take[k : k + (1 << 16)]
+                own = row[part]
+                meta = (n[own] << 33) + position[part] * 8 + heavy[own]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(ids[own]), pa.array(meta), *[pa.array(b[own]) for b in bits]], ["signature", "set_id", "meta", *names])
+            for size in np.unique(n[~heavy]):
                 rows = np.flatnonzero(n == size)
-                prefix = min(int(size - ceil(threshold * size - 1e-9) + 2), int(size))
-                i, j = np.triu_indices(prefix, 1)
+                i, j = np.triu_indices(min(int(size - ceil(threshold * size - 1e-9) + 2), int(size)), 1)
                 step = max((1 << 16) // max(len(i), 1), 1)
                 for at in range(0, len(rows), step):
                     some = rows[at : at + step]
-                    block = tokens[start[some][:, None] + np.arange(prefix)[None, :]].view(np.uint64)
+                    first, second = (tokens[starts[some][:, None] + x[None, :]].view(np.uint64) for x in (i, j))
                     with np.errstate(over="ignore"):
-                        pair = (block[:, i] * np.uint64(0x9E3779B97F4A7C15) + block[:, j]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                        pair ^= pair >> np.uint64(29)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64).ravel()), pa.array(np.repeat(ids[some], len(i))), pa.array(np.full(pair.size, size, dtype=np.int32))], ["signature", "set_id", "n"])
+                        pair = (first * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    pair = (pair ^ (pair >> np.uint64(29))).view(np.int64).ravel()
+                    own = np.repeat(some, len(i))
+                    meta = np.full(len(own), (int(size) << 33) + 1, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(ids[own]), pa.array(meta), *[pa.array(b[own]) for b in bits]], ["signature", "set_id", "meta", *names])
 
-    small_sets = sets.where((F.col("n") <= light) & (F.ceil(threshold * F.col("n") - 1e-9) >= 2))
-    return small_sets.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, n int")
+    return sets.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, meta long, " + ", ".join(f"{b} long" for b in names))
 
 
-def _lists(sets: DataFrame, frequency, threshold: float, light: int) -> DataFrame:
-    """(``signature``, ``set_id``, ``meta``, ``b0`` and so on): the rarest words of the heavy sets and of all sets that one may match.
+def _cut_lists(postings: DataFrame) -> DataFrame:
+    """Postings whose signature has more than CHUNK of them, spread over one signature per pair of chunks; all others as they are.
 
-    meta holds n * 2^33 + position * 2 + heavy; the b columns are a bitmap of all the set's words: words in which two sets differ
-    flip at most one bit each, so pairs whose bitmaps differ too much cannot be similar enough and go no further.
+    A list of r chunks becomes r * (r + 1) / 2 lists of at most two chunks: rows of the same chunk meet in the
+    chunk's own list, rows of different chunks (side 1 and side 2) in the list of both.  No pair is lost, and none takes one task too long.
     """
-    tiny = int(1 / threshold + 1e-9)  # sets of this size or less may share fewer than two words
-    names = [f"b{k}" for k in range(BITMAP)]
+    hot = cut(postings.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("_r")).where("_r > 1"))
+    chunk = F.pmod(F.xxhash64("set_id"), F.col("_r"))
+    placed = postings.join(small(hot), "signature", "left").withColumn("_own", F.when(F.col("_r").isNotNull(), chunk))
+    placed = placed.withColumn("_other", F.explode(F.when(F.col("_r").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1))))
+    side = F.when(F.col("_own") < F.col("_other"), 2).when(F.col("_own") > F.col("_other"), 4).otherwise(0)
+    moved = F.xxhash64("signature", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return placed.select(
+        F.when(F.col("_r").isNull(), F.col("signature")).otherwise(moved).alias("signature"), "set_id", (F.col("meta") + F.coalesce(side, F.lit(0))).alias("meta"), *[f"b{k}" for k in range(BITMAP)]
+    )
+
+
+def _meetings(rows: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of one batch of whole lists that pass the filters on size, position and bitmap."""
+    signature, ids, meta = rows[:3]
+    bits = rows[3:].view(np.uint64)
+    n, position, side, free = meta >> 33, (meta >> 3) & ((1 << 30) - 1), (meta >> 1) & 3, meta & 1
+    group = np.concatenate([[0], np.cumsum(signature[1:] != signature[:-1])])
+    wide = int(n.max()) + 2
+    # within a list sizes ascend: a row meets the later rows up to the largest size that can be similar enough
+    upto = np.searchsorted(group * wide + n, group * wide + np.minimum(np.floor(n / threshold + 1e-9).astype(np.int64), wide - 1), side="right")
+    partners = upto - np.arange(len(n)) - 1
+    some = np.flatnonzero(partners > 0)
+    ends = np.cumsum(partners[some])
+    share = threshold / (1 + threshold)
+    at = 0
+    while at < len(some):
+        stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")), at + 1)
+        own, count = some[at:stop], partners[some[at:stop]]
+        left = np.repeat(own, count)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+        total = n[left] + n[right]
+        differ = np.bitwise_count(bits[0][left] ^ bits[0][right]).astype(np.int64)
+        keep = differ <= (1 - 2 * share) * total + 1e-9
+        left, right, total, differ = left[keep], right[keep], total[keep], differ[keep]
+        for b in bits[1:]:
+            differ += np.bitwise_count(b[left] ^ b[right])
+        keep = (differ <= (1 - 2 * share) * total + 1e-9) & ((free[left] | free[right]) == 1) & (ids[left] != ids[right])
+        keep &= ((side[left] | side[right]) == 0) | ((side[left] ^ side[right]) == 3)
+        keep &= np.minimum(n[left] - position[left], n[right] - position[right]) >= share * total - 1e-9
+        x, y = ids[left[keep]], ids[right[keep]]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        at = stop
+
+
+def _scan(postings: DataFrame, threshold: float) -> DataFrame:
+    """(``a``, ``b``), each once: the sets that meet in a list and pass the filters.  Lists arrive sorted and are scanned one after the other."""
+    names = ["signature", "set_id", "meta", *[f"b{k}" for k in range(BITMAP)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((len(names), 0), dtype=np.int64)
         for batch in batches:
-            tokens, row, position, _ = _ranked(batch, frequency.value)
-            ids = batch.column(batch.schema.get_field_index("set_id")).to_numpy()
-            n = batch.column(batch.schema.get_field_index("n")).to_numpy()
-            least = np.ceil(threshold * n - 1e-9).astype(np.int64)
-            heavy = (n > light) | (least < 2)
-            take = np.flatnonzero(position < (n - least + 1)[row])
-            at = row[take]
-            bit = np.left_shift(np.uint64(1), (tokens & 63).view(np.uint64))
-            word = (tokens >> 6) & (BITMAP - 1)
-            starts = np.cumsum(n) - n
-            bits = [np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts).view(np.int64) if len(n) else np.empty(0, np.int64) for k in range(BITMAP)]
-            for k in range(0, len(take), 1 << 16):
-                part, own = take[k : k + (1 << 16)], at[k : k + (1 << 16)]
-                meta = n[own].astype(np.int64) * (1 << 33) + position[part] * 2 + heavy[own]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(ids[own]), pa.array(meta), *[pa.array(b[own]) for b in bits]], ["signature", "set_id", "meta", *names])
+            rows = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(len(names))])], axis=1)
+            whole = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0  # the last list may go on in the next batch
+            if whole:
+                yield from _meetings(rows[:, :whole], threshold)
+            rest = rows[:, whole:].copy()
+        if rest.shape[1]:
+            yield from _meetings(rest, threshold)
 
-    listed = sets.where((F.col("n") >= threshold * light - 1e-9) | (F.col("n") <= tiny / threshold))
-    return listed.select("set_id", "tokens", "n").mapInArrow(run, "signature long, set_id long, meta long, " + ", ".join(f"{b} long" for b in names))
+    ordered = postings.repartition("signature").sortWithinPartitions("signature", "meta")
+    return ordered.select(*names).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(``a``, ``b``, ``shared``, ``similarity``) with a < b: sets of ``sets`` (set_id, tokens, n) with Jaccard similarity >= threshold.
 
     Exact.  Sets share at least ceil(t * n) words of the larger one, so their rarest words must share one word
-    (lists) or two (subsets).  Only the candidates' identifiers are shuffled; the words are joined to them once.
+    (lists) or two (subsets).  Postings of both kinds are shuffled once by signature and scanned there; every pair that
+    passes the filters is verified on its words.
     """
     frequency = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
     lengths = sets.sparkSession.sparkContext.broadcast(_list_lengths(sets, frequency, threshold))
-    light = boundary(_costs(sets, frequency, lengths, threshold))
-    fits = f"least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9"
-    subsets = _subsets(sets, frequency, threshold, light)
-    by_subset = subsets.alias("x").join(subsets.alias("y"), "signature").where(f"x.set_id < y.set_id AND {fits}").select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-    lists = _lists(sets, frequency, threshold, light)
-    xn, yn, xp, yp = "shiftright(x.meta, 33)", "shiftright(y.meta, 33)", "(shiftright(x.meta, 1) & 4294967295)", "(shiftright(y.meta, 1) & 4294967295)"
-    share = threshold / (1 + threshold)
-    by_list = (  # both sides are the same table, so it is shuffled once
-        lists.alias("x").join(lists.alias("y"), "signature")
-        .where(f"x.set_id < y.set_id AND ((x.meta | y.meta) & 1) = 1 AND least({xn}, {yn}) >= {threshold} * greatest({xn}, {yn}) - 1e-9")
-        .where(f"least({xn} - {xp}, {yn} - {yp}) >= {share!r} * ({xn} + {yn}) - 1e-9")
-        .where(" + ".join(f"bit_count(x.b{k} ^ y.b{k})" for k in range(BITMAP)) + f" <= {1 - 2 * share!r} * ({xn} + {yn}) + 1e-9")
-        .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-    )
-    candidates = cut(by_subset.union(by_list).distinct())
+    costs = _costs(sets, frequency, lengths, threshold)
+    light = boundary(costs)
+    postings = _postings(sets, frequency, threshold, light)
+    longest = max([int(lengths.value.max()), *[w for n, _, _, w in costs if n <= light]])  # no list can be longer
+    if longest > CHUNK:
+        postings = _cut_lists(postings)
+    candidates = cut(_scan(postings, threshold))
     involved = candidates.select(F.col("a").alias("set_id")).union(candidates.select("b")).distinct()
     sought = sets.join(small(involved), "set_id", "left_semi")
     first = sought.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
