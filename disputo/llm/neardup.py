@@ -49,7 +49,8 @@ def word_sets(df: DataFrame, src: str, key: str, text: str, shingle: int = 1) ->
         starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (shingle - 1), F.lit(1)))
         grams = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, shingle), " ")))
     fields = labelled_fields(F.col("lowered"))
-    hashed = formed.select("src", "key", fingerprint(fields, 11).alias("fp_1"), fingerprint(fields, 23).alias("fp_2"), F.transform(grams, lambda w: F.xxhash64("src", w)).alias("tokens"))
+    split = formed.select("src", "key", fields.alias("fields"), F.transform(grams, lambda w: F.xxhash64("src", w)).alias("tokens"))  # used twice, made once
+    hashed = split.select("src", "key", fingerprint(F.col("fields"), 11).alias("fp_1"), fingerprint(F.col("fields"), 23).alias("fp_2"), "tokens")
     halves = [F.aggregate("tokens", F.lit(0).cast("long"), lambda s, h: s + f(h)) for f in (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32))]
     return hashed.withColumn("set_id", F.xxhash64("src", *halves)).withColumn("row_id", F.xxhash64("src", "key", "fp_1"))
 
