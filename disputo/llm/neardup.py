@@ -96,7 +96,12 @@ def _ranked(batch: pa.RecordBatch, frequency: np.ndarray) -> tuple[np.ndarray, n
     size = np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(len(size)), size)
     often = frequency[flat % FREQUENCY_BUCKETS]
-    order = np.lexsort((flat, often, row))
+    # row, frequency and token in one number: sorted several times faster than by three keys, which decide where two numbers are alike
+    width = max(62 - int(len(size)).bit_length() - int(often.max(initial=0)).bit_length(), 0)
+    packed = ((row * (int(often.max(initial=0)) + 1) + often) << width) | (flat.view(np.uint64) >> np.uint64(64 - width)).astype(np.int64) if width else np.zeros(len(flat), np.int64)
+    order = np.argsort(packed)
+    if (np.diff(packed[order]) == 0).any():
+        order = np.lexsort((flat.view(np.uint64), often, row))
     return flat[order], row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), often[order]
 
 
