@@ -111,6 +111,9 @@ def _form_udf(texts: pd.Series) -> pd.Series:
     return texts.map(form, na_action="ignore")
 
 
+_form_udf = _form_udf.asNondeterministic()  # not repeated where filters are pushed down: each text is formed once
+
+
 def consistent_form(text: Column | str) -> Column:
     """``text`` with compatibility forms as plain characters, accents composed, invisible characters gone,
     every kind of space a plain space, line breaks as ``\\n``, and letters of another alphabet inside a word with Latin
