@@ -80,9 +80,11 @@ def brute(rows, threshold):
     return {(a[0], a[1], b[1]) for i, a in enumerate(keys) for b in keys[i + 1 :] if a[0] == b[0] and content[a] != content[b] and len(words[a] & words[b]) >= threshold * len(words[a] | words[b])}
 
 
-@pytest.mark.parametrize("light", [0, 25, 10_000])
-def test_near_duplicates_lose_nothing(spark, monkeypatch, light):
+@pytest.mark.parametrize(("light", "chunk"), [(0, 1 << 15), (25, 1 << 15), (10_000, 1 << 15), (0, 3), (25, 3)])
+def test_near_duplicates_lose_nothing(spark, monkeypatch, light, chunk):
     monkeypatch.setattr(neardup, "boundary", lambda costs: light)
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "STEP", 50)
     rows = near_table()
     df = spark.createDataFrame([*rows, ("s", "null", None), ("s", None, "w1"), ("s", "empty", ""), ("s", "dots", "..."), rows[0]], "src string, key string, text string").withColumns({"tokens": F.lit(1), "n": F.lit(1), "set_id": F.lit("x")})
     links, members = neardup.near_duplicates(df, "src", "key", "text", 0.75, 1)
@@ -102,6 +104,21 @@ def test_near_duplicates_odd_tables(spark):
     assert got == {"a": 1, "b": 1, "c": 1, "d": 0}
 
 
+def test_words_have_one_order_in_all_sets():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    frequency = np.minimum(r.integers(0, 3, neardup.FREQUENCY_BUCKETS), 1)  # many ties
+    words = [r.integers(-(2**63), 2**63 - 1, size=k) for k in (1, 5, 40, 700)]
+    words.append(words[3][::2].copy())
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64()))], ["tokens"])
+    tokens, row, position, _ = neardup._ranked(batch, frequency)
+    ranked = [list(tokens[row == k]) for k in range(5)]
+    assert [set(x) for x in ranked] == [set(x) for x in words] and list(position[row == 3]) == list(range(700))
+    assert [x for x in ranked[3] if x in set(ranked[4])] == ranked[4]
+
+
 def test_boundary_takes_the_cheaper_way():
     assert neardup.boundary([(5, 1.0, 10.0), (9, 2.0, 10.0), (30, 500.0, 10.0)]) == 9
     assert neardup.boundary([(5, 10.0, 1.0)]) == 0 and neardup.boundary([]) == 0
