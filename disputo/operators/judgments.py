@@ -20,6 +20,13 @@ def consensus(primary: Column | str, secondary: Column | str, rule: str = "min")
     return F.when(a.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(a, b))
 
 
+def consensus_of_all(grades: Column | str, rule: str = "min") -> Column:
+    """One grade of a list of any length: min, max, mean (halves up) or primary (the first); an unknown rule is min."""
+    g = F.col(grades) if isinstance(grades, str) else grades
+    total = F.aggregate(g, F.lit(0.0), lambda s, x: s + x)
+    return {"max": F.array_max(g), "mean": half_up(total / F.nullif(F.size(g), F.lit(0))), "primary": F.try_element_at(g, F.lit(1))}.get(rule, F.array_min(g))
+
+
 def histogram(df: DataFrame, by: list[str], grade: str) -> DataFrame:
     """n_0 .. n_3 (0 where a grade does not occur), ``n_graded`` and ``n_relevant`` (grade >= 2) per group."""
     g = F.col(grade)
@@ -52,6 +59,28 @@ def agreement(df: DataFrame, by: list[str], a: str = "grade_primary", b: str = "
     c = _confusion(df, by, a, b)
     n = F.col("n_pairs")
     o = {(i, j): F.col(f"o_{i}{j}") for i in GRADES for j in GRADES}
+    qwk, binary = _kappas(o, n)
+    return c.select(*by, "n_pairs", qwk.alias("qwk"), binary.alias("binary_kappa"), _alpha(o, n).alias("alpha_ordinal"))
+
+
+def agreement_of_all(df: DataFrame, by: list[str], grades: str = "grades") -> DataFrame:
+    """The same of any number of raters per item (``grades``: list): every pair of raters of an item counts, half in either order.
+
+    Raters have no first and second place here, so both margins of kappa are the same.  Alpha weighs an item's pairs by 1 / (raters - 1),
+    as Krippendorff does.  All from each item's grade counts, so no pair is formed.
+    """
+    k = {f"k_{g}": F.size(grades) - F.size(F.array_remove(grades, g)) for g in GRADES}
+    rows = df.where(F.size(grades) > 1).withColumns(k | {"m": F.size(grades)})
+    pair = {(i, j): F.col(f"k_{i}") * (F.col(f"k_{j}") - (1 if i == j else 0)) / 2 for i in GRADES for j in GRADES}
+    cells = [F.sum(p).alias(f"o_{i}{j}") for (i, j), p in pair.items()] + [F.sum(p / (F.col("m") - 1)).alias(f"w_{i}{j}") for (i, j), p in pair.items()]
+    c = rows.groupBy(*by).agg(*cells, F.sum(F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("n_pairs"), (F.sum("m") / 2).alias("half"))
+    qwk, binary = _kappas({p: F.col(f"o_{p[0]}{p[1]}") for p in pair}, F.col("n_pairs"))
+    alpha = _alpha({p: F.col(f"w_{p[0]}{p[1]}") for p in pair}, F.col("half"), F.col("n_pairs"))
+    return c.select(*by, "n_pairs", qwk.alias("qwk"), binary.alias("binary_kappa"), alpha.alias("alpha_ordinal"))
+
+
+def _kappas(o: dict[tuple[int, int], Column], n: Column) -> tuple[Column, Column]:
+    """qwk and binary kappa from the counts of grade pairs."""
     row = {i: _plus(o[i, j] for j in GRADES) for i in GRADES}
     column = {j: _plus(o[i, j] for i in GRADES) for j in GRADES}
     weight = {(i, j): (i - j) ** 2 / (len(GRADES) - 1) ** 2 for i in GRADES for j in GRADES}
@@ -62,13 +91,16 @@ def agreement(df: DataFrame, by: list[str], a: str = "grade_primary", b: str = "
     same = _plus(o[i, j] for i in GRADES for j in GRADES if (i in yes) == (j in yes)) / n
     pa, pb = _plus(row[i] for i in yes) / n, _plus(column[j] for j in yes) / n
     chance = pa * pb + (1 - pa) * (1 - pb)
-    binary = F.when(F.abs(1 - chance) < 1e-12, 1.0).otherwise((same - chance) / (1 - chance))
-    total = {g: row[g] + column[g] for g in GRADES}
+    return qwk, F.when(F.abs(1 - chance) < 1e-12, 1.0).otherwise((same - chance) / (1 - chance))
+
+
+def _alpha(o: dict[tuple[int, int], Column], n: Column, pairs: Column | None = None) -> Column:
+    """Ordinal alpha from (weighted) counts of grade pairs; ``n``: half the number of grades in them."""
+    total = {g: _plus(o[g, j] for j in GRADES) + _plus(o[i, g] for i in GRADES) for g in GRADES}
     gap = {(g, h): F.pow((total[g] + total[h]) / 2 + _plus(total[v] for v in range(g + 1, h)), 2) for g in GRADES for h in GRADES if g < h}
     do = _plus((o[g, h] + o[h, g]) * d for (g, h), d in gap.items()) / n
     de = _plus(2 * total[g] * total[h] * d for (g, h), d in gap.items()) / (2 * n * (2 * n - 1))
-    alpha = F.when(n < 2, F.lit(None).cast("double")).when(de == 0, 1.0).otherwise(1 - do / de)
-    return c.select(*by, "n_pairs", qwk.alias("qwk"), binary.alias("binary_kappa"), alpha.alias("alpha_ordinal"))
+    return F.when((n if pairs is None else pairs) < 2, F.lit(None).cast("double")).when(de == 0, 1.0).otherwise(1 - do / de)
 
 
 def flag(kappa: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,9 +24,13 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
 
-    def __call__(self, sql: str | None = None):
+    def __call__(self, sql: str | None = None, whole: bool = False):
+        """``whole``: the function is also registered as NAME_whole, called with ``whole=True`` (all rows; no SQL)."""
+
         def register(f):
             self.queries[f.__name__] = f
+            if whole:
+                self.queries[f"{f.__name__}_whole"] = partial(f, whole=True)
             if sql:
                 self.oracles[f.__name__] = sql
             return f
@@ -73,6 +78,14 @@ def rated(spark: SparkSession, d: str) -> DataFrame:
     return two.groupBy("item_id").agg(*[F.min(c).alias(c) for c in ("arg_id", "policy", "stance", "pos")], F.max(F.when(F.col("rn") == 1, F.col("grade"))).alias("grade_primary"), second.alias("grade_secondary"))
 
 
+def raters(spark: SparkSession, d: str) -> DataFrame:
+    """One row per graded item with ``grades``: the latest possible grade of every annotator, in the order of their ids."""
+    rows = table(spark, d, "graded_judgments").where(F.col("grade").between(0, 3))
+    votes = rows.groupBy("item_id", "annotator_id").agg(F.max(F.struct("judged_at", "grade"))["grade"].alias("grade"), *[F.min(c).alias(c) for c in ("arg_id", "policy", "stance", "pos")])
+    every = F.array_sort(F.collect_list(F.struct("annotator_id", "grade")))
+    return votes.groupBy("item_id").agg(*[F.min(c).alias(c) for c in ("arg_id", "policy", "stance", "pos")], F.transform(every, lambda x: x["grade"]).alias("grades"))
+
+
 def policy_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "policies").where("policy IS NOT NULL").dropDuplicates(["policy"])
 
