@@ -1,10 +1,10 @@
-"""Problem 3: clusters of mutually similar vectors, by grid density clustering in SQL.
+"""Problem 3: clusters of mutually similar vectors: grids propose, rows decide, an exact pass ends.
 
 Features (projections on the principal axes) are quantised into grid cells, several shifted grids at
-once; cells are counted and their vectors added up; a cell whose rows are mutually similar is dense, and joins
-the rows that fit it; dense cells of different grids are adjacent where they share rows, and a row takes the smallest
-label of its cells in all grids.  Rows of one label become one weighted row, and the next round
-quantises these on other grids: minimum labels are propagated to convergence, until a round joins nothing.
+once.  Grids only propose: a row joins the smallest row of its cell if the cosine of these two rows is high enough, so sums of vectors never
+decide.  Every cluster goes on as its smallest row, which by the definition of the clusters is as similar to all rows of its own cluster, and
+as different from all others, as any other row of it.  What remains after the grids is compared pair by pair in blocks, so no
+cluster depends on a grid's luck.
 """
 
 from __future__ import annotations
@@ -18,17 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from disputo.llm.components import components
 from disputo.llm.vectors import Grid, matrix, principal_axes, unit, usable_vectors
 from disputo.runtime import cut
 
-#: Grids per round: a few while large clusters are found, many once neighbours are joined, so that one round misses hardly a pair.
-DENSE_TABLES, JOIN_TABLES = 6, 24
-#: Unrelated rows that a row meets in a cell by chance, in the rounds that only look for dense cells and in those that also join neighbours.
-DENSE_CHANCE, JOIN_CHANCE = 4.0, 4.0
-#: Rounds that only look for dense cells: they turn large clusters into few weighted rows.
-DENSE_ROUNDS = 2
-#: Distance of rows for which cells are made; wider pairs are joined through rows between them or in later rounds.
+#: Grids per round, and unrelated rows that a row meets in a cell by chance.
+TABLES, CHANCE = 6, 4.0
+#: Rounds of grids: they turn large clusters into few rows and so only save work; the exact pass finds what they leave.
+ROUNDS = 3
+#: Cosine for which cells are made.
 NEAR = 0.955
+#: Rows of one block of the exact pass; rows of it compared at once.
+BLOCK, _ROWS = 8192, 512
 
 
 def _dot(a: str, b: str) -> Column:
@@ -42,70 +43,91 @@ def _sum_vectors(grouped, size: int, *others: Column) -> DataFrame:
 
 
 def _cells(rows: DataFrame, grid: Grid) -> DataFrame:
-    """Rows (id, s, n) once per grid, with the cell of their mean direction."""
+    """Rows (id, v) once per grid, with their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            x = unit(matrix(batch.column(1)))
-            single = batch.column(1).cast(pa.list_(pa.float32()))
+            x = matrix(batch.column(1))
             for table in range(grid.tables):
-                yield pa.RecordBatch.from_arrays([batch.column(0), single, batch.column(2), pa.array(grid.keys(x, table))], ["id", "s", "n", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grid.keys(unit(x), table))], ["id", "v", "cell"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "s", "n").mapInArrow(run, f"id {kind}, s array<float>, n long, cell long")
+    return rows.select("id", "v").mapInArrow(run, f"id {kind}, v array<float>, cell long")
 
 
-def _joins(cells: DataFrame, size: int, least: float, neighbours: bool) -> DataFrame:
-    """(``old``, ``new``): rows that take a smaller label.
+def _joins(cells: DataFrame, least: float) -> DataFrame:
+    """(``old``, ``new``): rows that join the smallest row of one of their cells, the cosine of the two rows being at least ``least``."""
+    heads = cells.groupBy("cell").agg(F.min(F.struct("id", "v")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("cell", "h")
+    met = cells.join(heads, "cell").where("id <> h.id").select("id", "v", F.col("h.id").alias("b"), F.col("h.v").alias("w"))
+    near = met.where(_dot("v", "w") / F.sqrt(_dot("v", "v") * _dot("w", "w")) >= least)
+    return near.groupBy(F.col("id").alias("old")).agg(F.min("b").alias("new"))
 
-    A cell is dense if it has at least two rows and the mean cosine of its pairs, known from the sum of its vectors, is at
-    least ``least``; a row fits if its cosine with that sum is, and is joined to the smallest row of its cell that fits.  With
-    ``neighbours`` the rows of the other cells, weighted rows standing for what was joined before, are compared within their cell.
+
+def close_pairs(rows: DataFrame, n: int, least: float) -> DataFrame:
+    """(``a``, ``b``): all pairs of rows (id, v) with a cosine of at least ``least``, each once, by comparing every block with every block.
+
+    Work grows with the square of the rows, a task holds two blocks.  Products in single precision propose, double precision decides.
     """
-    counts = cut(_sum_vectors(cells.groupBy("cell"), size, F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1"))
-    pure = (_dot("s", "s") - F.col("m")) / (F.col("m") * (F.col("m") - 1)) >= least
-    dense = counts.where(pure).select("cell", F.col("s").alias("t"))
-    fit = cells.join(dense, "cell").where(_dot("s", "t") / F.sqrt(_dot("s", "s") * _dot("t", "t")) >= least).select("cell", "id")
-    heads = fit.groupBy("cell").agg(F.min("id").alias("b"))
-    joined = fit.join(heads, "cell").select(F.col("id").alias("a"), "b").where("a <> b")
-    if neighbours:
-        norm = F.sqrt(_dot("s", "s"))
-        mixed = cells.join(counts.where(~pure).select("cell"), "cell").withColumn("norm", norm).select("cell", "id", F.transform("s", lambda x: x / F.col("norm")).alias("u"))
-        near = mixed.alias("x").join(mixed.alias("y"), "cell").where("x.id < y.id").where(_dot("x.u", "y.u") >= least)
-        joined = joined.union(near.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
-    return joined.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("new"))
-
-
-def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least: float = 0.8, seed: int = 3, max_rounds: int = 24) -> tuple[DataFrame, DataFrame]:
+    parts = max(1, -(-n // BLOCK))
+    kind = dict(rows.dtypes)["id"]
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    blocks = other.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "v")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, own = table.column("id").combine_chunks(), table.column("own").to_numpy()
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        u = unit(matrix(table.column("v").combine_chunks()))
+        single = u.astype(np.float32)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = []
+        for at in range(0, len(left), _ROWS):
+            part = left[at : at + _ROWS]
+            i, j = np.nonzero(single[part] @ single[right].T >= least - 1e-5)
+            i, j = part[i], right[j]
+            keep = i < j if x == y else np.ones(len(i), dtype=bool)
+            i, j = i[keep], j[keep]
+            keep = np.einsum("ij,ij->i", u[i], u[j]) >= least
+            found.append(np.stack([i[keep], j[keep]]))
+        i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
+
+    return blocks.groupBy("x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def similarity_clusters(df: DataFrame, key: str, vector: str, size: int, least: float = 0.8, seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, vectors): members has ``id``, ``cluster_key`` (smallest id), ``n_members``, ``typicality`` (cosine with the cluster's mean direction).
 
     Clusters of one are included; unusable vectors (see usable_vectors) are not.  Made for collections in which rows of one cluster have
-    cosine of at least ``least`` and rows of different clusters less.  Vectors enter with length 1.  Cells are combined on the map side, so a
-    cluster that holds a third of all rows costs its cells, not its pairs.
+    cosine of at least ``least`` and rows of different clusters less; there the result is exact.  A cluster that holds a third of all rows
+    costs its cells, not its pairs; clusters and single rows are compared with each other, which grows with the square of their number.
     """
     usable = cut(usable_vectors(df, key, vector, size))
-    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    singles = usable.withColumn("norm", norm).select("id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("s"), F.lit(1).cast("long").alias("n"))
     n, mean, axes, variances = principal_axes(usable, size)
-    rows, labels = singles, usable.select("id", F.col("id").alias("label"))
-    for step in range(max_rounds):
-        width = 8 * sqrt(2 - 2 * NEAR) / sqrt(size)
-        dense_only = step < DENSE_ROUNDS
-        grid = Grid(n if dense_only else rows.count(), mean, axes, variances, width, DENSE_TABLES if dense_only else JOIN_TABLES, DENSE_CHANCE if dense_only else JOIN_CHANCE, seed + step)
-        moved = cut(_joins(_cells(rows, grid), size, least, not dense_only))
+    rows, labels = usable.select("id", "v"), usable.select("id", F.col("id").alias("label"))
+
+    def follow(moved: DataFrame) -> DataFrame:
+        return labels.join(moved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+
+    for step in range(ROUNDS):
+        grid = Grid(n, mean, axes, variances, 8 * sqrt(2 - 2 * NEAR) / sqrt(size), TABLES, CHANCE, seed + step)
+        # who joins may be joined by others in another cell, so the joins are followed to their ends
+        moved = cut(_joins(_cells(rows, grid), least))
         if moved.isEmpty():
-            if not dense_only:
-                break
             continue
-        relabelled = rows.join(moved, F.col("id") == F.col("old"), "left").select(F.coalesce("new", "id").alias("id"), "s", "n")
-        rows = cut(_sum_vectors(relabelled.groupBy("id"), size, F.sum("n").alias("n")))
-        labels = labels.join(moved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
-        if step % 3 == 2:
-            labels = cut(labels)
-    clusters = rows.select(F.col("id").alias("label"), F.col("s").alias("total"), F.col("n").alias("n_members"))
-    members = singles.join(labels, "id").join(clusters, "label")
+        ends = cut(components(moved.select(F.col("old").alias("a"), F.col("new").alias("b"))).where("node <> group_id").select(F.col("node").alias("old"), F.col("group_id").alias("new")))
+        rows = cut(rows.join(ends.select(F.col("old").alias("id")), "id", "left_anti"))
+        labels = follow(ends)
+    left = cut(close_pairs(rows, rows.count(), least))
+    if not left.isEmpty():
+        labels = follow(cut(components(left)).select(F.col("node").alias("old"), F.col("group_id").alias("new")))
+    labels = cut(labels)
+    norm = F.sqrt(_dot("v", "v"))
+    singles = usable.withColumn("norm", norm).select("id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("s")).join(labels, "id")
+    clusters = _sum_vectors(singles.groupBy("label"), size, F.count(F.lit(1)).alias("n_members")).withColumnRenamed("s", "total")
+    members = singles.join(clusters, "label")
     typicality = _dot("s", "total") / F.sqrt(_dot("total", "total"))
     return members.select("id", F.col("label").alias("cluster_key"), "n_members", typicality.alias("typicality")), usable
 

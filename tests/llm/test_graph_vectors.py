@@ -85,6 +85,33 @@ def test_clusters_against_brute_force(spark):
     assert [r.id for r in typical] == [f"v{i:03}" for i in np.argsort(-(u[:40] @ mean))[:2]] and typical[0].n_members == 40
 
 
+def tight_pair(inner, cross, size=16):
+    """Two pairs with cosine ``inner`` within and ``cross`` between."""
+    g = np.full((4, 4), cross)
+    g[:2, :2] = g[2:, 2:] = inner
+    np.fill_diagonal(g, 1.0)
+    x = np.zeros((4, size))
+    x[:, :4] = np.linalg.cholesky(g)
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_rows_decide_not_sums(spark, monkeypatch, rounds):
+    monkeypatch.setattr(clusters, "ROUNDS", rounds, raising=False)
+    members = clusters.similarity_clusters(frame(spark, tight_pair(0.81, 0.79)), "id", "v", 16)[0].collect()
+    assert {r.id: (r.cluster_key, r.n_members) for r in members} == {"v000": ("v000", 2), "v001": ("v000", 2), "v002": ("v002", 2), "v003": ("v002", 2)}
+
+
+def test_exact_pass_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "ROUNDS", 0, raising=False)
+    monkeypatch.setattr(clusters, "BLOCK", 7, raising=False)
+    x, label = cloud([9, 6, 3, 2, 2, 1, 1, 1], seed=4)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = unions([(f"v{i:03}", f"v{j:03}") for i in range(len(x)) for j in range(len(x)) if u[i] @ u[j] >= 0.8])
+    got = {r.id: r.cluster_key for r in clusters.similarity_clusters(frame(spark, x), "id", "v", 16)[0].collect()}
+    assert got == want
+
+
 def test_empty_vectors(spark):
     empty = spark.createDataFrame([], "id string, v array<float>")
     assert clusters.similarity_clusters(empty, "id", "v", 16)[0].count() == 0
