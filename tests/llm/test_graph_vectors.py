@@ -139,6 +139,16 @@ def test_neighbours_recall(spark, monkeypatch, block):
     assert {r.a < r.b for r in similar.neighbour_pairs(similar.most_similar(frame(spark, x), "id", "v", 64, 2, least=0.8)).collect()} == {True}
 
 
+@pytest.mark.parametrize("block", [16384, 40])
+def test_neighbours_are_complete_beyond_one_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BUCKET", 2, raising=False)  # as many rows a bucket as a far larger table would have axes for
+    monkeypatch.setattr(similar, "BLOCK", block)
+    x, _ = cloud([40, 30, 20, 8, 4, 2, 1, 1], size=64, seed=3, noise=0.1)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = truth(u, 5, 0.8)
+    assert len(want) > 400 and {(r.q, r.o) for r in similar.most_similar(frame(spark, x), "id", "v", 64, 5, least=0.8).collect()} == want
+
+
 def test_queries_get_all_their_partners(spark):
     x, _ = cloud([6, 3, 1, 1, 1, 1, 1], size=64, seed=6)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
