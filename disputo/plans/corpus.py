@@ -189,10 +189,10 @@ def text_keywords(spark: SparkSession, d: str) -> DataFrame:
     return rounded(corpus.tf_idf(texts, "cluster_id", "argument", STOP_WORDS))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', '', 'g'), '<.*?>', '', 'g'), '\\[\\d+\\]', '', 'g'), '[\\s\\x{00A0}\\x{2007}\\x{2009}\\x{202F}\\x{3000}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents""")
-def text_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Documents without URLs, tags, references and surplus space (NFKD left out here, as SQL has none)."""
-    return table(spark, d, "documents").select("doc_id", scalars.clean_text("text", decompose=False).alias("text"))
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', '', 'g'), '<.*?>', '', 'g'), '\\[\\d+\\]', '', 'g'), '[\\s\\x{00A0}\\x{2007}\\x{2009}\\x{202F}\\x{3000}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents""", whole=True)
+def text_cleaned(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Documents without URLs, tags, references and surplus space (NFKD left out here, as SQL has none; ``whole``: with it)."""
+    return table(spark, d, "documents").select("doc_id", scalars.clean_text("text", decompose=whole).alias("text"))
 
 
 @query("""SELECT policy, trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS slug, replace(lower(policy), ' ', '_') AS safe_name FROM policies""")

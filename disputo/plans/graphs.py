@@ -39,7 +39,7 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return graph.symmetric(edges(spark, d).where("rel = 'CONTRADICTS' AND a IS NOT NULL"), nodes)
 
 
-def ranks(spark: SparkSession, d: str, steps: int = STEPS) -> DataFrame:
+def ranks(spark: SparkSession, d: str, steps: int | None = STEPS) -> DataFrame:
     nodes = arguments(spark, d).where(F.col("stance").isin(1, -1)).select(F.col("arg_id").alias("id"))
     return graph.pagerank(nodes, cut(adjacency(spark, d)), iterations=steps)
 
@@ -50,17 +50,17 @@ def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     return rounded(adjacency(spark, d).groupBy("src").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("weight")))
 
 
-@query(f"""WITH {POOL}, {_RANKS} SELECT id, round(rank, 9) AS rank FROM r{STEPS}""")
-def graph_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    """Global PageRank after five steps (the converged one is tested against numpy)."""
-    return rounded(ranks(spark, d), 9)
+@query(f"""WITH {POOL}, {_RANKS} SELECT id, round(rank, 9) AS rank FROM r{STEPS}""", whole=True)
+def graph_pagerank(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Global PageRank after five steps; ``whole``: run until it converges."""
+    return rounded(ranks(spark, d, None if whole else STEPS), 9)
 
 
 @query(f"""WITH {POOL}, {_ADJ}, links AS (SELECT p.policy, src, dst, w FROM adj JOIN pool p ON p.arg_id = src JOIN pool q ON q.arg_id = dst AND p.policy = q.policy),
-outg AS (SELECT policy, src AS id, sum(w) AS ow FROM links GROUP BY ALL), {_rank_sql("SELECT policy, arg_id AS id, 1.0::DOUBLE AS seed FROM pool", STEPS, "policy")} SELECT policy, id, round(rank, 9) AS rank FROM r{STEPS}""")
-def graph_personalised_pagerank(spark: SparkSession, d: str) -> DataFrame:
+outg AS (SELECT policy, src AS id, sum(w) AS ow FROM links GROUP BY ALL), {_rank_sql("SELECT policy, arg_id AS id, 1.0::DOUBLE AS seed FROM pool", STEPS, "policy")} SELECT policy, id, round(rank, 9) AS rank FROM r{STEPS}""", whole=True)
+def graph_personalised_pagerank(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     policies = pool(spark, d).select("policy", F.col("arg_id").alias("id"))
-    return rounded(graph.personalised(cut(policies), cut(adjacency(spark, d)), iterations=STEPS), 9)
+    return rounded(graph.personalised(cut(policies), cut(adjacency(spark, d)), iterations=None if whole else STEPS), 9)
 
 
 _HOP = """he AS (SELECT a, b, epoch_us(mined_at) AS edge_pos FROM edges WHERE rel = 'CONTRADICTS' AND a IS NOT NULL), both_ways AS (SELECT a, b, edge_pos FROM he UNION ALL SELECT b, a, edge_pos FROM he),
@@ -80,11 +80,11 @@ def graph_one_hop_pool(spark: SparkSession, d: str) -> DataFrame:
     return graph.one_hop(pool(spark, d), hop_edges(spark, d), 10)
 
 
-@query(f"""WITH {POOL}, {_RANKS}, x AS (SELECT id, rank, ow FROM r{STEPS} WHERE ow IS NOT NULL), k AS (SELECT row_number() OVER (ORDER BY rank, id) AS a, row_number() OVER (ORDER BY ow, id) AS b FROM (SELECT id, round(rank, 9) AS rank, ow FROM x)) SELECT round(corr(a, b), 6) AS rho FROM k""")
-def graph_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""WITH {POOL}, {_RANKS}, x AS (SELECT id, rank, ow FROM r{STEPS} WHERE ow IS NOT NULL), k AS (SELECT row_number() OVER (ORDER BY rank, id) AS a, row_number() OVER (ORDER BY ow, id) AS b FROM (SELECT id, round(rank, 9) AS rank, ow FROM x)) SELECT round(corr(a, b), 6) AS rho FROM k""", whole=True)
+def graph_rank_correlation(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Spearman's rho of PageRank and degree."""
     degree = adjacency(spark, d).groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("degree"))
-    joined = ranks(spark, d).withColumn("rank", F.round("rank", 9)).join(degree, "id")
+    joined = ranks(spark, d, None if whole else STEPS).withColumn("rank", F.round("rank", 9)).join(degree, "id")
     return rounded(graph.spearman(joined, "rank", "degree", "id"))
 
 

@@ -168,9 +168,11 @@ def judged_parsed_answers(spark: SparkSession, d: str, whole: bool = False) -> D
     return parsed.select(key["annotator_id"].alias("annotator_id"), key["batch"].alias("batch"), "id", "grade")
 
 
-@query("""SELECT doc_id, upper(substr(regexp_extract(text, '^\\s*([AaBb])(?:[^A-Za-z]|$)', 1), 1, 1)) AS verdict FROM documents WHERE regexp_matches(text, '^\\s*[AaBb](?:[^A-Za-z]|$)')""")
-def text_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose first line starts with a lone A or B."""
+@query("""SELECT doc_id, upper(substr(regexp_extract(text, '^\\s*([AaBb])(?:[^A-Za-z]|$)', 1), 1, 1)) AS verdict FROM documents WHERE regexp_matches(text, '^\\s*[AaBb](?:[^A-Za-z]|$)')""", whole=True)
+def text_verdicts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Documents whose first line starts with a lone A or B; ``whole``: all documents in which a verdict can be read."""
+    if whole:
+        return table(spark, d, "documents").select("doc_id", parsing.parse_ab("text").alias("verdict")).where("verdict IS NOT NULL")
     docs = table(spark, d, "documents").where(F.col("text").rlike(r"^\s*[AaBb](?:[^A-Za-z]|$)"))
     return docs.select("doc_id", parsing.parse_ab("text").alias("verdict"))
 
