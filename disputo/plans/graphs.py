@@ -13,6 +13,8 @@ from disputo.schema import Settings
 
 query = Registry()
 STEPS = 5
+#: The pool of the _whole forms: the largest of the settings.
+POOL_SIZE = max(Settings().pools)
 _ADJ = f"""{EDGES}, ce AS (SELECT a, b, 1.0::DOUBLE AS w FROM edges WHERE rel = 'CONTRADICTS' AND a IS NOT NULL AND a <> b AND a IN (SELECT arg_id FROM args WHERE stance IN (1, -1)) AND b IN (SELECT arg_id FROM args WHERE stance IN (1, -1))),
 adj AS (SELECT src, dst, sum(w) AS w FROM (SELECT a AS src, b AS dst, w FROM ce UNION ALL SELECT b, a, w FROM ce) GROUP BY ALL), outw AS (SELECT src AS id, sum(w) AS ow FROM adj GROUP BY 1)"""
 
@@ -74,10 +76,10 @@ def hop_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).where("rel = 'CONTRADICTS' AND a IS NOT NULL").select("a", "b", F.unix_micros(F.col("mined_at").cast("timestamp")).alias("edge_pos"))
 
 
-@query(f"WITH {POOL}, {EDGES}, {_HOP} SELECT * FROM expanded")
-def graph_one_hop_pool(spark: SparkSession, d: str) -> DataFrame:
-    """Direct pools of ten and up to five counter-arguments found by one hop."""
-    return graph.one_hop(pool(spark, d), hop_edges(spark, d), 10)
+@query(f"WITH {POOL}, {EDGES}, {_HOP} SELECT * FROM expanded", whole=True)
+def graph_one_hop_pool(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Direct pools of ten and up to five counter-arguments found by one hop; ``whole``: of 200 and 100."""
+    return graph.one_hop(pool(spark, d), hop_edges(spark, d), POOL_SIZE if whole else 10)
 
 
 @query(f"""WITH {POOL}, {_RANKS}, x AS (SELECT id, rank, ow FROM r{STEPS} WHERE ow IS NOT NULL), k AS (SELECT row_number() OVER (ORDER BY rank, id) AS a, row_number() OVER (ORDER BY ow, id) AS b FROM (SELECT id, round(rank, 9) AS rank, ow FROM x)) SELECT round(corr(a, b), 6) AS rho FROM k""", whole=True)
@@ -105,10 +107,10 @@ def centroid_pool(spark: SparkSession, d: str, size: int = 50) -> DataFrame:
     return retrieval.centroid_scores(retrieval.constrained_pool(pool(spark, d), vectors(spark, d), size))
 
 
-@query(f"WITH {_PV50}, {_CENTROID} SELECT policy, stance, arg_id, row_number() OVER (PARTITION BY policy, stance ORDER BY score DESC, arg_id)::INTEGER AS rank, round(score, 6) AS score FROM sc QUALIFY rank <= 5")
-def retrieval_centroid_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship list: five arguments per policy and stance closest to the pool's centroid."""
-    return rounded(retrieval.top_k(centroid_pool(spark, d), 5).select("policy", "stance", "arg_id", "rank", "score"))
+@query(f"WITH {_PV50}, {_CENTROID} SELECT policy, stance, arg_id, row_number() OVER (PARTITION BY policy, stance ORDER BY score DESC, arg_id)::INTEGER AS rank, round(score, 6) AS score FROM sc QUALIFY rank <= 5", whole=True)
+def retrieval_centroid_top_k(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """The flagship list: five arguments per policy and stance closest to the pool's centroid (of 50; ``whole``: of 200)."""
+    return rounded(retrieval.top_k(centroid_pool(spark, d, POOL_SIZE if whole else 50), 5).select("policy", "stance", "arg_id", "rank", "score"))
 
 
 @query(f"""WITH {PV}, q AS (SELECT policy, arg_min(u, arg_id) AS q FROM pv GROUP BY 1), sc AS (SELECT pv.policy, stance, arg_id, round(coalesce(list_cosine_similarity(u, q), 0), 9) AS score FROM pv JOIN q USING (policy))
@@ -130,18 +132,18 @@ c3 AS (SELECT c.* REPLACE (greatest(c.near, list_dot_product(c.u, s.u)) AS near)
 SELECT policy, stance, arg_id, rank FROM small UNION ALL SELECT policy, stance, arg_id, 1::INTEGER FROM s1 UNION ALL SELECT policy, stance, arg_id, 2::INTEGER FROM s2 UNION ALL SELECT policy, stance, arg_id, 3::INTEGER FROM s3"""
 
 
-@query(f"WITH {_PV50}, {_CENTROID}, {_mmr_sql('sc')}")
-def retrieval_diverse(spark: SparkSession, d: str) -> DataFrame:
-    """Maximal marginal relevance on closeness to the centroid, three per pool."""
-    return retrieval.mmr(centroid_pool(spark, d), 3).select("policy", "stance", "arg_id", "rank")
+@query(f"WITH {_PV50}, {_CENTROID}, {_mmr_sql('sc')}", whole=True)
+def retrieval_diverse(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Maximal marginal relevance on closeness to the centroid, three of 50 per pool; ``whole``: five of 200."""
+    return retrieval.mmr(centroid_pool(spark, d, POOL_SIZE if whole else 50), 5 if whole else 3).select("policy", "stance", "arg_id", "rank")
 
 
-@query(f"""WITH {PV}, {EDGES}, {_HOP}, {_RANKS.replace(EDGES + ',', '').strip()}, hp AS (SELECT e.policy, e.stance, e.arg_id, e.pos AS pool_pos, v.u, coalesce(round(r.rank, 9), 0) AS score FROM expanded e JOIN vecs v USING (arg_id) LEFT JOIN r{STEPS} r ON r.id = e.arg_id), {_mmr_sql('hp')}""")
-def retrieval_hop_diverse(spark: SparkSession, d: str) -> DataFrame:
-    """Maximal marginal relevance on global PageRank over pools expanded by one contradiction hop, three per pool."""
-    expanded = graph.one_hop(pool(spark, d), hop_edges(spark, d), 10).withColumnRenamed("pos", "pool_pos")
-    scored = expanded.join(vectors(spark, d).select("arg_id", "u"), "arg_id").join(ranks(spark, d).select(F.col("id").alias("arg_id"), F.round("rank", 9).alias("score")), "arg_id", "left").fillna(0.0, ["score"])
-    return retrieval.mmr(scored, 3).select("policy", "stance", "arg_id", "rank")
+@query(f"""WITH {PV}, {EDGES}, {_HOP}, {_RANKS.replace(EDGES + ',', '').strip()}, hp AS (SELECT e.policy, e.stance, e.arg_id, e.pos AS pool_pos, v.u, coalesce(round(r.rank, 9), 0) AS score FROM expanded e JOIN vecs v USING (arg_id) LEFT JOIN r{STEPS} r ON r.id = e.arg_id), {_mmr_sql('hp')}""", whole=True)
+def retrieval_hop_diverse(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Maximal marginal relevance on global PageRank over pools expanded by one contradiction hop, three per pool; ``whole``: five of 200 and 100 hops, on converged ranks."""
+    expanded = graph.one_hop(pool(spark, d), hop_edges(spark, d), POOL_SIZE if whole else 10).withColumnRenamed("pos", "pool_pos")
+    scored = expanded.join(vectors(spark, d).select("arg_id", "u"), "arg_id").join(ranks(spark, d, None if whole else STEPS).select(F.col("id").alias("arg_id"), F.round("rank", 9).alias("score")), "arg_id", "left").fillna(0.0, ["score"])
+    return retrieval.mmr(scored, 5 if whole else 3).select("policy", "stance", "arg_id", "rank")
 
 
 @query(f"""WITH {POOL} SELECT policy, stance, arg_id, row_number() OVER (PARTITION BY policy, stance ORDER BY md5('42|' || policy || '|' || arg_id), arg_id)::INTEGER AS rank FROM pool WHERE pool_pos < 200 QUALIFY rank <= 5""")

@@ -49,20 +49,20 @@ def hard_candidate_counts(spark: SparkSession, d: str) -> DataFrame:
     return distractors.candidates(rows, siblings).groupBy("policy", "stance").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND} SELECT policy, stance, arg_id || '__distractor_into__' || trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS new_id, arg_id AS distractor_source_id, rank FROM ranked WHERE rank <= 10""")
-def hard_distractors(spark: SparkSession, d: str) -> DataFrame:
-    """The ten sibling arguments closest to each policy's centroid, copied into its pools."""
+@query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND} SELECT policy, stance, arg_id || '__distractor_into__' || trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS new_id, arg_id AS distractor_source_id, rank FROM ranked WHERE rank <= 10""", whole=True)
+def hard_distractors(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """The ten sibling arguments closest to each policy's centroid, copied into its pools; ``whole``: the hundred."""
     rows, siblings, centroids = hard_parts(spark, d)
-    return distractors.copies(distractors.nearest(distractors.candidates(rows, siblings), centroids, 10)).select("policy", "stance", "new_id", "distractor_source_id", "rank")
+    return distractors.copies(distractors.nearest(distractors.candidates(rows, siblings), centroids, 100 if whole else 10)).select("policy", "stance", "new_id", "distractor_source_id", "rank")
 
 
 @query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND}, lv AS (SELECT unnest([0, 5, -1]) AS level), inj AS (SELECT level, policy, stance, arg_id || '__distractor_into__' || trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS arg_id FROM ranked, lv WHERE level < 0 OR rank <= level),
 u2 AS (SELECT level, policy, stance, arg_id, false AS is_distractor, pool_pos AS at_pos FROM pool, lv UNION ALL SELECT level, policy, stance, arg_id, true, NULL FROM inj), f AS (SELECT *, bool_or(is_distractor) OVER (PARTITION BY level, policy, stance) AS injected FROM u2)
-SELECT level, policy, stance, arg_id, is_distractor, (row_number() OVER (PARTITION BY level, policy, stance ORDER BY CASE WHEN injected THEN 0 ELSE at_pos END, md5('42|' || policy || '|' || stance || '|' || level || '|' || arg_id), arg_id) - 1)::INTEGER AS pool_pos FROM f""")
-def hard_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Pools of three levels: native, five distractors a side, all of them."""
+SELECT level, policy, stance, arg_id, is_distractor, (row_number() OVER (PARTITION BY level, policy, stance ORDER BY CASE WHEN injected THEN 0 ELSE at_pos END, md5('42|' || policy || '|' || stance || '|' || level || '|' || arg_id), arg_id) - 1)::INTEGER AS pool_pos FROM f""", whole=True)
+def hard_levels(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Pools of three levels: native, five distractors a side, all of them; ``whole``: the levels of the settings."""
     rows, siblings, centroids = hard_parts(spark, d)
-    return distractors.levels(rows, siblings, centroids, LEVELS).select("level", "policy", "stance", "arg_id", "is_distractor", "pool_pos")
+    return distractors.levels(rows, siblings, centroids, Settings() if whole else LEVELS).select("level", "policy", "stance", "arg_id", "is_distractor", "pool_pos")
 
 
 @query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND}, n AS (SELECT policy, count(*) AS n_native FROM pool GROUP BY 1), c AS (SELECT policy, count(*) AS n_candidates FROM cand GROUP BY 1), i AS (SELECT policy, count(*) AS n_injected FROM ranked WHERE rank <= 10 GROUP BY 1)
