@@ -147,6 +147,16 @@ def positive_weight(*candidates: Column | str) -> Column:
     return F.when(weight > 0, weight).otherwise(F.lit(1.0))
 
 
+def exact_sum(value: Column | str) -> Column:
+    """Sum of a double column in decimals: the same whatever the order of the rows, so it does not depend on partitioning."""
+    return F.sum(_col(value).cast("decimal(30,15)"))
+
+
+def exact_mean(value: Column | str) -> Column:
+    """Mean from :func:`exact_sum`; NULL without values."""
+    return exact_sum(value).cast("double") / F.nullif(F.count(_col(value)), F.lit(0))
+
+
 def half_up(value: Column | str) -> Column:
     """Rounded to an integer, halves upward."""
     return F.floor(_col(value) + 0.5).cast("int")

@@ -10,10 +10,15 @@ from disputo.functions.scalars import stance_label, strip
 from disputo.runtime import cut, small
 
 
-def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """One row per key, the one that arrived last; rows of the same time are ordered by their content, NULL keys dropped."""
-    order = W.partitionBy(key).orderBy(F.desc(at), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]))
-    return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+def latest(df: DataFrame, key: str, at: str, columns: list[str] | None = None) -> DataFrame:
+    """One row per key, the one that arrived last: ``key``, ``at`` and ``columns`` (all others if not given, no maps); NULL keys are dropped.
+
+    Rows of the same time are ordered by the columns asked for, NULL first.  A combined aggregate, so only these columns are read and
+    shuffled and a key with many rows meets in no single task.
+    """
+    others = columns if columns is not None else [c for c in df.columns if c not in (key, at)]
+    last = F.max(F.struct(at, *[c for c in others if c not in (key, at)])).alias("_last")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "_last.*")
 
 
 def clean_arguments(df: DataFrame, text: str = "argument", least: int = 35) -> DataFrame:
@@ -30,19 +35,26 @@ def union_splits(splits: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def positional_ids(df: DataFrame, order: list[str], to: str = "position", parts: int | None = None) -> DataFrame:
-    """``df`` with its 0-based position in the given order (which must be total).
+def positional_ids(df: DataFrame, order: list[str], to: str = "position", parts: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """``df`` with its 0-based position in the given order (which must be total), within each group of ``by`` if given.
 
-    Range-partitioned: rows are numbered within each range and shifted by the sizes of the ranges before, of which
-    there are only as many as partitions; no task sees all rows, as a window without partitions would.
+    Range-partitioned by group and order: a row's place in its partition less the group's first place there, shifted by the group's rows in
+    the partitions before.  Only counts per group and partition are gathered, so no task sees a whole table or a whole large group,
+    as a window would.
     """
-    spark = df.sparkSession
+    spark, by = df.sparkSession, by or []
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(to, (F.col("_within") + F.col("_before")).cast("long")).drop("_part", "_within", "_before")
+    ranged = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    # the id holds the partition and, in its lower 33 bits, the place in it
+    placed = cut(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(*by, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = small(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).drop("_n", "_first").withColumnsRenamed({c: f"_by_{c}" for c in by}))
+    on = part == F.col("_part")
+    for c in by:
+        on = on & placed[c].eqNullSafe(F.col(f"_by_{c}"))
+    return placed.join(shifts, on).withColumn(to, (F.col("_place") + F.col("_before")).cast("long")).drop("_place", "_part", "_before", *[f"_by_{c}" for c in by])
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from disputo.functions.scalars import positive_weight
 from disputo.operators.corpus import positional_ids
-from disputo.runtime import cut
+from disputo.runtime import cut, small
 from disputo.schema import DEFAULTS, Settings
 
 
@@ -27,41 +27,41 @@ def symmetric(edges: DataFrame, nodes: DataFrame, weight: str | None = None, sco
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAULTS, iterations: int | None = None, every: int = 5, by: str | None = None) -> DataFrame:
-    """(``id``, ``rank``): power iteration with teleport; the mass of nodes without edges goes to the teleport, ranks sum to 1.
+def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAULTS, iterations: int | None = None, every: int = 10, by: str | None = None) -> DataFrame:
+    """(``id``, ``rank``): PageRank with teleport; the mass of nodes without edges goes to the teleport, ranks sum to 1.
 
     ``nodes``: id, and ``seed`` (weight of the teleport, uniform if missing).  With ``by`` every group of that column is its own graph, all
     groups at once (``nodes`` and ``adjacency`` both have it): personalised ranks of all policies are one job, and none is gathered in a task.
-    Stops when the L1 change (of the worst group), looked at every few steps, is below the tolerance, or after ``iterations``.
+
+    Mass that returns to the teleport only scales the ranks, so it is left out of the steps and put back by the norm at the end: a step is one join with
+    the links and one combined aggregate, without a total over all nodes.  ``every`` steps are one plan, in which the links are shuffled once;
+    then the ranks are stored.  Ends when ``every`` steps change less than the tolerance (L1, of the worst group), or after ``iterations``.
     """
-    keys = [by] if by else []
+    keys = [*([by] if by else []), "id"]
     limit = iterations if iterations is not None else settings.iterations
     d = settings.damping
     if "seed" not in nodes.columns:
         nodes = nodes.withColumn("seed", F.lit(1.0))
-    totals = nodes.groupBy(*keys).agg(F.sum("seed").alias("all_seeds"))
-    out = adjacency.groupBy(*keys, F.col("src").alias("id")).agg(F.sum("w").alias("out_w"))
-    base = (nodes.join(totals, by) if by else nodes.join(F.broadcast(totals))).select(*keys, "id", (F.col("seed") / F.col("all_seeds")).alias("teleport"))
-    base = cut(base.join(out, [*keys, "id"], "left"))
-    links = cut(adjacency.select(*keys, F.col("src").alias("id"), "dst", "w"))
-    ranks = base.withColumn("rank", F.col("teleport"))
-    for step in range(1, limit + 1):
-        dangling = ranks.groupBy(*keys).agg(F.sum(F.when(F.col("out_w").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
-        flow = links.join(ranks.where("out_w IS NOT NULL").select(*keys, "id", (F.col("rank") / F.col("out_w")).alias("share")), [*keys, "id"])
-        arrived = flow.groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("w")).alias("arrived"))
-        state = ranks.join(arrived, [*keys, "id"], "left")
-        state = state.join(dangling, by) if by else state.join(F.broadcast(dangling))
-        moved = (1 - d) * F.col("teleport") + d * (F.coalesce("arrived", F.lit(0.0)) + F.col("lost") * F.col("teleport"))
-        # read three times by the next step, so it is written at every step
-        ranks = cut(state.select(*keys, "id", "teleport", "out_w", F.col("rank").alias("former"), moved.alias("rank")))
-        if step % every == 0 and step < limit:
-            change = ranks.groupBy(*keys).agg(F.sum(F.abs(F.col("rank") - F.col("former"))).alias("l1")).agg(F.max("l1")).first()[0]
-            if change is None or change < settings.tolerance:
-                break
-    # every step keeps the mass; what rounding took is put back once
-    mass = ranks.groupBy(*keys).agg(F.sum("rank").alias("mass"))
-    ranks = ranks.join(mass, by) if by else ranks.join(F.broadcast(mass))
-    return ranks.select(*keys, "id", (F.col("rank") / F.col("mass")).alias("rank"))
+    nodes = nodes.groupBy(*keys).agg(F.max("seed").alias("seed"))
+    totals = nodes.groupBy(*keys[:-1]).agg(F.sum("seed").alias("all_seeds"))
+    base = nodes.join(small(totals), by) if by else nodes.join(F.broadcast(totals))
+    base = cut(base.select(*keys, ((1 - d) * F.col("seed") / F.col("all_seeds")).alias("x")))
+    out = adjacency.groupBy(*keys[:-1], "src").agg(F.sum("w").alias("out_w"))
+    links = cut(adjacency.join(out, [*keys[:-1], "src"]).select(*keys[:-1], F.col("src").alias("id"), "dst", (d * F.col("w") / F.col("out_w")).alias("share")))
+    ranks, step = base, 0
+    while step < limit:
+        former, until = ranks, min(step + every, limit)
+        for _ in range(step, until):
+            sent = links.join(ranks, keys).select(*keys[:-1], F.col("dst").alias("id"), (F.col("x") * F.col("share")).alias("x"))
+            ranks = base.union(sent).groupBy(*keys).agg(F.sum("x").alias("x"))
+        ranks, step = cut(ranks), until
+        both = ranks.join(former.withColumnRenamed("x", "y"), keys)
+        change = both.groupBy(*keys[:-1]).agg((F.sum(F.abs(F.col("x") - F.col("y"))) / F.sum("x")).alias("l1")).agg(F.max("l1")).first()[0]
+        if change is None or change < settings.tolerance:
+            break
+    mass = ranks.groupBy(*keys[:-1]).agg(F.sum("x").alias("mass"))
+    ranks = ranks.join(small(mass), by) if by else ranks.join(F.broadcast(mass))
+    return ranks.select(*keys, (F.col("x") / F.col("mass")).alias("rank"))
 
 
 def personalised(policies: DataFrame, adjacency: DataFrame, settings: Settings = DEFAULTS, iterations: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from disputo.functions.scalars import gain, strip
+from disputo.functions.scalars import exact_sum, gain, strip
 from disputo.functions.vectors import cosine, dot, mean_vector
 from disputo.schema import DEFAULTS
 
@@ -103,7 +103,7 @@ def conflict(lists: DataFrame, scores: DataFrame, by: list[str], bar: float = 0.
     pro = lists.where("stance = 1").select(*by, F.col("arg_id").alias("premise"))
     con = lists.where("stance = -1").select(*by, F.col("arg_id").alias("hypothesis"))
     scored = scores.join(pro, "premise").join(con, [*by, "hypothesis"])
-    sums = scored.groupBy(*by).agg(F.sum("contra").alias("total"), F.count_if(F.col("contra") > bar).alias("n_conflicts"))
+    sums = scored.groupBy(*by).agg(exact_sum("contra").cast("double").alias("total"), F.count_if(F.col("contra") > bar).alias("n_conflicts"))
     pairs = F.col("n_pro") * F.col("n_con")
     return sides.join(sums, by, "left").select(*by, F.when(pairs > 0, F.coalesce("total", F.lit(0.0)) / pairs).otherwise(0.0).alias("conflict_density"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
 

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disputo.functions.vectors import unit, usable
-from disputo.operators.corpus import latest
+from disputo.operators.corpus import latest, positional_ids
 from disputo.operators.relations import clean_ends
-from disputo.runtime import blank, table
+from disputo.runtime import blank, cut, table
 
 SIZE = 64
 
@@ -24,13 +22,9 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
 
-    def __call__(self, sql: str | None = None, whole: bool = False):
-        """``whole``: the function is also registered as NAME_whole, called with ``whole=True`` (all rows; no SQL)."""
-
+    def __call__(self, sql: str | None = None):
         def register(f):
             self.queries[f.__name__] = f
-            if whole:
-                self.queries[f"{f.__name__}_whole"] = partial(f, whole=True)
             if sql:
                 self.oracles[f.__name__] = sql
             return f
@@ -43,23 +37,28 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
 
 
-def arguments(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "arguments_clean"), "arg_id", "loaded_at")
+def arguments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest delivery of every argument: ``arg_id``, ``loaded_at`` and the named columns, the only ones that are read."""
+    return latest(table(spark, d, "arguments_clean"), "arg_id", "loaded_at", list(columns))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "debater_dataset_with_clusters").where(usable("embedding", SIZE))
-    return unit(latest(rows, "arg_id", "loaded_at"), "embedding").select("arg_id", "cluster_id", "u")
+    return unit(latest(rows, "arg_id", "loaded_at", ["cluster_id", "embedding"]), "embedding").select("arg_id", "cluster_id", "u")
 
 
-def pool(spark: SparkSession, d: str) -> DataFrame:
-    rows = arguments(spark, d).where(F.col("stance").isin(1, -1) & F.col("policy").isNotNull())
-    order = W.partitionBy("policy", "stance").orderBy("arg_id")
-    return rows.select("policy", "stance", "arg_id", F.col("argument").alias("text"), F.coalesce("is_distractor", F.lit(False)).alias("is_distractor"), (F.row_number().over(order) - 1).alias("pool_pos"))
+def pool(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    """The pools (policy, stance) with ``pool_pos``, each argument's place by id; stored, as queries read it several times."""
+    wanted = ["policy", "stance", "is_distractor", *(["argument"] if text else [])]
+    rows = arguments(spark, d, *wanted).where(F.col("stance").isin(1, -1) & F.col("policy").isNotNull())
+    texts = [F.col("argument").alias("text")] if text else []
+    rows = rows.select("policy", "stance", "arg_id", *texts, F.coalesce("is_distractor", F.lit(False)).alias("is_distractor"))
+    return positional_ids(rows, ["arg_id"], "pool_pos", by=["policy", "stance"])
 
 
-def pool_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return pool(spark, d).join(vectors(spark, d).select("arg_id", "u"), "arg_id")
+def pool_vectors(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    """The pools' arguments that have a vector, stored."""
+    return cut(pool(spark, d, text).join(vectors(spark, d).select("arg_id", "u"), "arg_id"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -68,16 +67,6 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return clean_ends(rows.withColumn("rel", F.upper(blank("rel"))))
 
 
-def rated(spark: SparkSession, d: str) -> DataFrame:
-    """One row per graded item with the grades of two raters: the first two annotators by id; the second is missing for every eleventh item."""
-    rows = table(spark, d, "graded_judgments").where(F.col("grade").between(0, 3))
-    votes = rows.groupBy("item_id", "annotator_id").agg(F.max(F.struct("judged_at", "grade"))["grade"].alias("grade"), *[F.min(c).alias(c) for c in ("arg_id", "policy", "stance", "pos")])
-    order = W.partitionBy("item_id").orderBy("annotator_id")
-    two = votes.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
-    second = F.max(F.when((F.col("rn") == 2) & (F.col("item_id") % 11 != 0), F.col("grade")))
-    return two.groupBy("item_id").agg(*[F.min(c).alias(c) for c in ("arg_id", "policy", "stance", "pos")], F.max(F.when(F.col("rn") == 1, F.col("grade"))).alias("grade_primary"), second.alias("grade_secondary"))
-
-
 def raters(spark: SparkSession, d: str) -> DataFrame:
     """One row per graded item with ``grades``: the latest possible grade of every annotator, in the order of their ids."""
     rows = table(spark, d, "graded_judgments").where(F.col("grade").between(0, 3))
@@ -102,9 +91,8 @@ EDGES = """edges AS (SELECT *, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN s
   SELECT upper(nullif(trim(rel), '')) AS rel, nullif(lower(trim(source)), '') AS s, nullif(lower(trim(target)), '') AS t, nullif(lower(trim(arg1_id)), '') AS a1, nullif(lower(trim(arg2_id)), '') AS a2,
   policy, method, cosine, confidence, contra_fwd, contra_bwd, entail_fwd, entail_bwd, mined_at FROM relations_generated))"""
 RATED = """votes AS (SELECT item_id, annotator_id, arg_max(grade, (judged_at, grade)) AS grade, min(arg_id) AS arg_id, min(policy) AS policy, min(stance) AS stance, min(pos) AS pos
-  FROM graded_judgments WHERE grade BETWEEN 0 AND 3 GROUP BY ALL), ordered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY annotator_id) AS rn FROM votes),
-  rated AS (SELECT item_id, min(arg_id) AS arg_id, min(policy) AS policy, min(stance) AS stance, min(pos) AS pos, max(CASE WHEN rn = 1 THEN grade END) AS grade_primary,
-  max(CASE WHEN rn = 2 AND item_id % 11 <> 0 THEN grade END) AS grade_secondary FROM ordered WHERE rn <= 2 GROUP BY item_id)"""
+  FROM graded_judgments WHERE grade BETWEEN 0 AND 3 GROUP BY ALL),
+  rated AS (SELECT item_id, min(arg_id) AS arg_id, min(policy) AS policy, min(stance) AS stance, min(pos) AS pos, list(grade ORDER BY annotator_id) AS grades FROM votes GROUP BY item_id)"""
 
 
 def stripped(x: str) -> str:

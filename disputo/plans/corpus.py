@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from disputo.functions import scalars
 from disputo.operators import corpus
+from disputo.functions.scalars import exact_mean
 from disputo.plans._views import ARGS, Registry, arguments, policy_table, rounded, vectors
 from disputo.runtime import table
 from disputo.sources import files
@@ -29,21 +30,21 @@ def corpus_split_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT arg_id, text, length(text)::INTEGER AS n_chars, policy, CASE stance WHEN 1 THEN 'PRO' WHEN -1 THEN 'CON' WHEN 0 THEN 'NEUTRAL' END AS stance_label FROM clean WHERE length(text) >= 35""")
 def corpus_clean(spark: SparkSession, d: str) -> DataFrame:
     """Renamed, trimmed, filtered by length, labelled."""
-    rows = arguments(spark, d).drop("wa", "mace_p", "stance_label").withColumnsRenamed({"argument": "text"})
+    rows = arguments(spark, d, "argument", "policy", "stance").withColumnsRenamed({"argument": "text"})
     return corpus.clean_arguments(rows, "text").select("arg_id", "text", F.length("text").alias("n_chars"), "policy", "stance_label")
 
 
 @query(f"""WITH {ARGS} SELECT arg_id, 'arg_' || (row_number() OVER (ORDER BY arg_id) - 1) AS new_id, row_number() OVER (ORDER BY arg_id) - 1 AS position FROM args WHERE length(trim(argument)) >= 100""")
 def corpus_positional_ids(spark: SparkSession, d: str) -> DataFrame:
     """New ids by position after filtering."""
-    rows = arguments(spark, d).where(F.length(F.trim("argument")) >= 100).select("arg_id")
+    rows = arguments(spark, d, "argument").where(F.length(F.trim("argument")) >= 100).select("arg_id")
     return corpus.positional_ids(rows, ["arg_id"]).withColumn("new_id", F.concat(F.lit("arg_"), F.col("position").cast("string")))
 
 
 @query(f"""WITH {ARGS} SELECT count(*) FILTER (stance = 0) AS n_neutral, count(*) FILTER (stance = 1) AS n_pro, count(*) FILTER (stance = -1) AS n_con, count(*) FILTER (stance IS NULL) AS n_missing,
   count(*) FILTER (stance_confidence < 0.7) AS n_unsure, count(*) FILTER (argument <> '') AS n_texts, count(DISTINCT policy) AS n_policies, count(DISTINCT argument) AS n_distinct_texts FROM args""")
 def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = arguments(spark, d)
+    rows = arguments(spark, d, "stance", "stance_confidence", "argument", "policy")
     stance = F.col("stance")
     return rows.agg(
         F.count_if(stance == 0).alias("n_neutral"), F.count_if(stance == 1).alias("n_pro"), F.count_if(stance == -1).alias("n_con"), F.count_if(stance.isNull()).alias("n_missing"),
@@ -53,13 +54,13 @@ def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {ARGS} SELECT policy, stance, count(*) AS n FROM args GROUP BY ALL""")
 def corpus_policy_stance_counts(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.value_counts(arguments(spark, d), "policy", "stance")
+    return corpus.value_counts(arguments(spark, d, "policy", "stance"), "policy", "stance")
 
 
 @query(f"""WITH {ARGS}, c AS (SELECT policy, count(*) AS n_args FROM args GROUP BY 1) SELECT count(n_args) AS n, round(avg(n_args), 6) AS mean, round(stddev_samp(n_args), 6) AS std, min(n_args) AS low,
   round(quantile_cont(n_args, 0.25), 6) AS q25, round(quantile_cont(n_args, 0.5), 6) AS median, round(quantile_cont(n_args, 0.75), 6) AS q75, max(n_args) AS high FROM c""")
 def corpus_policy_size_describe(spark: SparkSession, d: str) -> DataFrame:
-    sizes = arguments(spark, d).groupBy("policy").agg(F.count(F.lit(1)).alias("n_args"))
+    sizes = arguments(spark, d, "policy").groupBy("policy").agg(F.count(F.lit(1)).alias("n_args"))
     return rounded(sizes.agg(*corpus.describe_columns("n_args")))
 
 
@@ -90,13 +91,13 @@ def corpus_topic_names(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {ARGS}, dim AS (SELECT policy, any_value(metapolicy_id) AS metapolicy_id FROM policies GROUP BY 1) SELECT dim.metapolicy_id, t.metapolicy_name, t.topic, count(*) AS n FROM args LEFT JOIN dim USING (policy) LEFT JOIN taxonomy t ON t.metapolicy_id = dim.metapolicy_id GROUP BY ALL""")
 def corpus_taxonomy_counts(spark: SparkSession, d: str) -> DataFrame:
     """Arguments per metapolicy and topic; unmapped ones have NULLs."""
-    joined = corpus.with_taxonomy(arguments(spark, d).select("arg_id", "policy"), policy_table(spark, d), table(spark, d, "taxonomy"))
+    joined = corpus.with_taxonomy(arguments(spark, d, "policy").select("arg_id", "policy"), policy_table(spark, d), table(spark, d, "taxonomy"))
     return corpus.value_counts(joined, "metapolicy_id", "metapolicy_name", "topic")
 
 
 @query(f"""WITH {ARGS} SELECT arg_id, policy FROM args a WHERE policy IS NULL OR NOT EXISTS (SELECT 1 FROM policies p WHERE p.policy = a.policy AND p.metapolicy_id IS NOT NULL)""")
 def corpus_unmapped(spark: SparkSession, d: str) -> DataFrame:
-    joined = corpus.with_taxonomy(arguments(spark, d).select("arg_id", "policy"), policy_table(spark, d), table(spark, d, "taxonomy"))
+    joined = corpus.with_taxonomy(arguments(spark, d, "policy").select("arg_id", "policy"), policy_table(spark, d), table(spark, d, "taxonomy"))
     return joined.where("metapolicy_id IS NULL").select("arg_id", "policy")
 
 
@@ -117,18 +118,18 @@ def corpus_cluster_topics(spark: SparkSession, d: str) -> DataFrame:
     return corpus.value_counts(joined.select(F.when(F.col("cluster_id") == -1, "Noise").otherwise(F.col("name")).alias("topic")), "topic")
 
 
-@query(f"""WITH {ARGS} SELECT CASE WHEN stance = 1 THEN 'SUPPORTS' ELSE 'ATTACKS' END AS rel, a.policy AS target, count(*) AS n, round(avg(stance_confidence), 6) AS confidence
+@query(f"""WITH {ARGS} SELECT CASE WHEN stance = 1 THEN 'SUPPORTS' ELSE 'ATTACKS' END AS rel, a.policy AS target, count(*) AS n, round((sum(stance_confidence::DECIMAL(30,15)) / count(stance_confidence))::DOUBLE, 6) AS confidence
   FROM args a JOIN (SELECT DISTINCT policy FROM policies) p USING (policy) WHERE stance IN (1, -1) GROUP BY ALL""")
 def graph_stance_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = corpus.stance_edges(arguments(spark, d), policy_table(spark, d))
-    return rounded(found.groupBy("rel", "target").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence")))
+    found = corpus.stance_edges(arguments(spark, d, "policy", "stance", "stance_confidence"), policy_table(spark, d))
+    return rounded(found.groupBy("rel", "target").agg(F.count(F.lit(1)).alias("n"), exact_mean("confidence").alias("confidence")))
 
 
 @query(f"""WITH {ARGS}, e AS (SELECT arg_id, policy FROM args JOIN (SELECT DISTINCT policy FROM policies) p USING (policy) WHERE stance IN (1, -1))
 SELECT 'argument' AS label, arg_id AS node FROM args WHERE arg_id NOT IN (SELECT arg_id FROM e) UNION ALL SELECT 'policy', policy FROM policies WHERE policy NOT IN (SELECT policy FROM e)""")
 def graph_orphans(spark: SparkSession, d: str) -> DataFrame:
     """Arguments and policies without an edge between them."""
-    rows, policies = arguments(spark, d), policy_table(spark, d)
+    rows, policies = arguments(spark, d, "policy", "stance", "stance_confidence"), policy_table(spark, d)
     found = corpus.stance_edges(rows, policies)
     lone_arguments = corpus.orphans(rows.select("arg_id"), "arg_id", found, "source").select(F.lit("argument").alias("label"), F.col("arg_id").alias("node"))
     return lone_arguments.union(corpus.orphans(policies.select("policy"), "policy", found, "target").select(F.lit("policy"), "policy"))
@@ -185,14 +186,20 @@ SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY score DES
 def text_keywords(spark: SparkSession, d: str) -> DataFrame:
     """The three strongest terms of every cluster."""
     clusters = table(spark, d, "debater_dataset_with_clusters").where("cluster_id IS NOT NULL").groupBy("arg_id").agg(F.max("cluster_id").alias("cluster_id"))
-    texts = arguments(spark, d).select("arg_id", "argument").join(clusters, "arg_id")
+    texts = arguments(spark, d, "argument").join(clusters, "arg_id")
     return rounded(corpus.tf_idf(texts, "cluster_id", "argument", STOP_WORDS))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', '', 'g'), '<.*?>', '', 'g'), '\\[\\d+\\]', '', 'g'), '[\\s\\x{00A0}\\x{2007}\\x{2009}\\x{202F}\\x{3000}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents""", whole=True)
-def text_cleaned(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Documents without URLs, tags, references and surplus space (NFKD left out here, as SQL has none; ``whole``: with it)."""
-    return table(spark, d, "documents").select("doc_id", scalars.clean_text("text", decompose=whole).alias("text"))
+@query()
+def text_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in NFKD without URLs, tags, references and surplus space (SQL has no NFKD; tested against unicodedata)."""
+    return table(spark, d, "documents").select("doc_id", scalars.clean_text("text").alias("text"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', '', 'g'), '<.*?>', '', 'g'), '\\[\\d+\\]', '', 'g'), '[\\s\\x{00A0}\\x{2007}\\x{2009}\\x{202F}\\x{3000}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents""")
+def text_cleaned_composed(spark: SparkSession, d: str) -> DataFrame:
+    """The same cleaning with characters left as they are, which SQL can follow."""
+    return table(spark, d, "documents").select("doc_id", scalars.clean_text("text", decompose=False).alias("text"))
 
 
 @query("""SELECT policy, trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS slug, replace(lower(policy), ' ', '_') AS safe_name FROM policies""")

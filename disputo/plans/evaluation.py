@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from disputo.functions.scalars import strip
 from disputo.functions.vectors import mean_vector
-from disputo.operators import metrics, retrieval
-from disputo.plans._views import ARGS, EDGES, PV, RATED, VECS, Registry, arguments, edges, pool_vectors, rated, rounded, stripped, vectors
+from disputo.operators import corpus, metrics
+from disputo.plans._views import ARGS, EDGES, PV, VECS, Registry, arguments, edges, pool, rounded, stripped, vectors
 from disputo.plans.judged import _CONSENSUS, graded
-from disputo.runtime import table
+from disputo.runtime import cut, table
 from disputo.sources import files
 
 query = Registry()
@@ -18,9 +18,9 @@ BY = ["policy", "stance"]
 K = 5
 
 # the judged lists: items of each policy and stance in their given position order, as the system "given"
-_LISTS = f"""{_CONSENSUS}, {ARGS}, {VECS}, gt AS (SELECT c.policy, c.stance, {stripped('a.argument')} AS text, max(c.grade) AS grade FROM cons c JOIN args a USING (arg_id) WHERE c.item_id % 3 <> 0 GROUP BY ALL),
+_LISTS = f"""{_CONSENSUS}, {ARGS}, {VECS}, gt AS (SELECT c.policy, c.stance, {stripped('a.argument')} AS text, max(c.grade) AS grade FROM cons c JOIN args a USING (arg_id) GROUP BY ALL),
 li AS (SELECT c.policy, c.stance, c.arg_id, a.argument AS text, u, row_number() OVER (PARTITION BY c.policy, c.stance ORDER BY c.pos, c.item_id)::INTEGER AS rank FROM cons c JOIN args a USING (arg_id) LEFT JOIN vecs USING (arg_id)),
-gu AS (SELECT c.policy, c.stance, {stripped('a.argument')} AS text, arg_max(u, c.grade) AS gu FROM cons c JOIN args a USING (arg_id) LEFT JOIN vecs USING (arg_id) WHERE c.item_id % 3 <> 0 GROUP BY ALL),
+gu AS (SELECT c.policy, c.stance, {stripped('a.argument')} AS text, arg_max(u, c.grade) AS gu FROM cons c JOIN args a USING (arg_id) LEFT JOIN vecs USING (arg_id) GROUP BY ALL),
 near AS (SELECT l.policy, l.stance, {stripped('l.text')} AS key, gt.text AS gt_text, gt.grade, round(list_cosine_similarity(l.u, gu.gu), 9) AS cs FROM li l JOIN gt USING (policy, stance) JOIN gu ON gu.policy = gt.policy AND gu.stance = gt.stance AND gu.text = gt.text
   WHERE l.u IS NOT NULL AND gu.gu IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gt g WHERE g.policy = l.policy AND g.stance = l.stance AND g.text = {stripped('l.text')})),
 best AS (SELECT policy, stance, key, arg_max(gt_text, (cs, -grade, gt_text)) AS gt_text, arg_max(grade, (cs, -grade, gt_text)) AS grade FROM near WHERE cs >= 0.75 GROUP BY ALL),
@@ -28,37 +28,35 @@ m AS (SELECT l.policy, l.stance, l.arg_id, l.text, l.u, l.rank, coalesce(gt.grad
   FROM li l LEFT JOIN gt ON gt.policy = l.policy AND gt.stance = l.stance AND gt.text = {stripped('l.text')} LEFT JOIN best b ON b.policy = l.policy AND b.stance = l.stance AND b.key = {stripped('l.text')})"""
 
 
-def judged_items(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    texts = arguments(spark, d).select("arg_id", F.col("argument").alias("text"))
-    return graded(spark, d, whole).join(texts, "arg_id").join(vectors(spark, d).select("arg_id", "u"), "arg_id", "left")
+def judged_items(spark: SparkSession, d: str) -> DataFrame:
+    """All graded items with text and vector, stored: lists and truth are both made of them."""
+    texts = arguments(spark, d, "argument").select("arg_id", F.col("argument").alias("text"))
+    return cut(graded(spark, d).join(texts, "arg_id").join(vectors(spark, d).select("arg_id", "u"), "arg_id", "left"))
 
 
-def ground_truth(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """The graded texts that lists are held against: all of them if ``whole``, else two thirds, so that the SQL meets all kinds of match."""
-    rows = judged_items(spark, d, whole)
-    return (rows if whole else rows.where("item_id % 3 <> 0")).select("policy", "stance", "text", "grade", "u")
+def ground_truth(items: DataFrame) -> DataFrame:
+    """The graded texts that lists are held against."""
+    return items.select("policy", "stance", "text", "grade", "u")
 
 
-def given_lists(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def given_lists(items: DataFrame) -> DataFrame:
     """All judged items as lists, in their given order."""
-    from pyspark.sql import Window as W
+    places = corpus.positional_ids(items.select(*BY, "arg_id", "pos", "item_id", "text", "u"), ["pos", "item_id"], "place", by=BY)
+    return places.select(*BY, "arg_id", "text", "u", (F.col("place") + 1).cast("int").alias("rank"))
 
-    order = W.partitionBy(*BY).orderBy("pos", "item_id")
-    return judged_items(spark, d, whole).withColumn("rank", F.row_number().over(order)).select(*BY, "arg_id", "text", "u", "rank")
 
+def matched(items: DataFrame) -> DataFrame:
+    return metrics.match_grades(given_lists(items), ground_truth(items))
 
-def matched(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return metrics.match_grades(given_lists(spark, d, whole), ground_truth(spark, d, whole))
 
+def truth_texts(items: DataFrame) -> DataFrame:
+    return ground_truth(items).withColumn("text", strip("text")).groupBy(*BY, "text").agg(F.max("grade").alias("grade"))
 
-def truth_texts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return ground_truth(spark, d, whole).withColumn("text", strip("text")).groupBy(*BY, "text").agg(F.max("grade").alias("grade"))
 
-
-@query(f"WITH {_LISTS} SELECT policy, stance, arg_id, rank, grade, match FROM m", whole=True)
-def eval_matches(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+@query(f"WITH {_LISTS} SELECT policy, stance, arg_id, rank, grade, match FROM m")
+def eval_matches(spark: SparkSession, d: str) -> DataFrame:
     """Exact, then nearest, then no match of every listed argument."""
-    return matched(spark, d, whole).select(*BY, "arg_id", "rank", "grade", "match")
+    return matched(judged_items(spark, d)).select(*BY, "arg_id", "rank", "grade", "match")
 
 
 def _ranking_sql(gain: str) -> str:
@@ -69,43 +67,46 @@ def _ranking_sql(gain: str) -> str:
  round(1 - exact_share - semantic_share, 6) + 0.0 AS none_share FROM x LEFT JOIN rel USING (policy, stance) LEFT JOIN ideal USING (policy, stance)"""
 
 
-@query("WITH " + _ranking_sql("(power(2.0::DOUBLE, {0}) - 1)"), whole=True)
-def eval_ranking(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+@query("WITH " + _ranking_sql("(power(2.0::DOUBLE, {0}) - 1)"))
+def eval_ranking(spark: SparkSession, d: str) -> DataFrame:
     """nDCG, precision, recall, mean relevance and match shares at 5."""
-    return rounded(metrics.ranking_metrics(matched(spark, d, whole), truth_texts(spark, d, whole), BY, K))
+    items = judged_items(spark, d)
+    return rounded(metrics.ranking_metrics(matched(items), truth_texts(items), BY, K))
 
 
-@query("WITH " + _ranking_sql("{0}::DOUBLE"), whole=True)
-def eval_ranking_linear(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+@query("WITH " + _ranking_sql("{0}::DOUBLE"))
+def eval_ranking_linear(spark: SparkSession, d: str) -> DataFrame:
     """The same with linear gains."""
-    return rounded(metrics.ranking_metrics(matched(spark, d, whole), truth_texts(spark, d, whole), BY, K, exponential=False))
+    items = judged_items(spark, d)
+    return rounded(metrics.ranking_metrics(matched(items), truth_texts(items), BY, K, exponential=False))
 
 
 @query(f"""WITH {_LISTS}, cl AS (SELECT gt.policy, gt.stance, gt.text, length(gt.text) % 4 AS cluster FROM gt WHERE grade >= 2), t AS (SELECT policy, stance, count(DISTINCT cluster) AS n FROM cl GROUP BY ALL),
 h AS (SELECT m.policy, m.stance, count(DISTINCT cluster) AS k FROM m JOIN cl ON cl.policy = m.policy AND cl.stance = m.stance AND cl.text = m.match_text WHERE rank <= {K} AND m.grade >= 2 GROUP BY ALL)
-SELECT policy, stance, round(CASE WHEN n >= 2 THEN coalesce(k, 0) / n::DOUBLE END, 6) AS s_recall FROM t LEFT JOIN h USING (policy, stance)""", whole=True)
-def eval_subtopic_recall(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+SELECT policy, stance, round(CASE WHEN n >= 2 THEN coalesce(k, 0) / n::DOUBLE END, 6) AS s_recall FROM t LEFT JOIN h USING (policy, stance)""")
+def eval_subtopic_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of relevant subtopics hit (subtopics given by text length here, as input)."""
-    clusters = truth_texts(spark, d, whole).where("grade >= 2").withColumn("cluster", F.length("text") % 4).drop("grade")
-    return rounded(metrics.subtopic_recall(matched(spark, d, whole), clusters, BY, K))
+    items = judged_items(spark, d)
+    clusters = truth_texts(items).where("grade >= 2").withColumn("cluster", F.length("text") % 4).drop("grade")
+    return rounded(metrics.subtopic_recall(matched(items), clusters, BY, K))
 
 
 _PAIRS = "SELECT a.policy, a.stance, avg(list_dot_product(a.u, b.u)) AS c FROM {0} a JOIN {0} b ON a.policy = b.policy AND a.stance = b.stance AND a.arg_id < b.arg_id GROUP BY ALL"
 
 
 @query(f"""WITH {_LISTS}, v AS (SELECT * FROM m WHERE u IS NOT NULL), r AS (SELECT * FROM v WHERE grade >= 2), p AS ({_PAIRS.format('v')}), q AS ({_PAIRS.format('r')}), g AS (SELECT DISTINCT policy, stance FROM m)
-SELECT policy, stance, round(coalesce(1 - p.c, 0), 6) AS ild, round(coalesce(1 - q.c, 0), 6) AS eild FROM g LEFT JOIN p USING (policy, stance) LEFT JOIN q USING (policy, stance)""", whole=True)
-def eval_diversity(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+SELECT policy, stance, round(coalesce(1 - p.c, 0), 6) AS ild, round(coalesce(1 - q.c, 0), 6) AS eild FROM g LEFT JOIN p USING (policy, stance) LEFT JOIN q USING (policy, stance)""")
+def eval_diversity(spark: SparkSession, d: str) -> DataFrame:
     """Diversity of the lists, and of their relevant items."""
-    rows = matched(spark, d, whole)
+    rows = cut(matched(judged_items(spark, d)))
     each = metrics.diversity(rows, BY).join(metrics.diversity(rows, BY, True).withColumnRenamed("ild", "eild"), BY)
     return rounded(each)
 
 
-@query(f"""WITH {_LISTS}, mf AS (SELECT DISTINCT policy, stance, {stripped('argument')} AS key FROM args WHERE is_distractor) SELECT m.policy, m.stance, round(avg((mf.key IS NOT NULL)::INTEGER), 6) AS distractor_rate FROM m LEFT JOIN mf ON mf.policy = m.policy AND mf.stance = m.stance AND mf.key = {stripped('m.text')} GROUP BY ALL""", whole=True)
-def eval_distractor_rate(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    manifest = arguments(spark, d).where("is_distractor").select("policy", "stance", F.col("argument").alias("text"))
-    return rounded(metrics.distractor_rate(given_lists(spark, d, whole), manifest, BY))
+@query(f"""WITH {_LISTS}, mf AS (SELECT DISTINCT policy, stance, {stripped('argument')} AS key FROM args WHERE is_distractor) SELECT m.policy, m.stance, round(avg((mf.key IS NOT NULL)::INTEGER), 6) AS distractor_rate FROM m LEFT JOIN mf ON mf.policy = m.policy AND mf.stance = m.stance AND mf.key = {stripped('m.text')} GROUP BY ALL""")
+def eval_distractor_rate(spark: SparkSession, d: str) -> DataFrame:
+    manifest = arguments(spark, d, "is_distractor", "policy", "stance", "argument").where("is_distractor").select("policy", "stance", F.col("argument").alias("text"))
+    return rounded(metrics.distractor_rate(given_lists(judged_items(spark, d)), manifest, BY))
 
 
 _SCORES = f"""{EDGES}, sc AS (SELECT a AS premise, b AS hypothesis, max(contra_fwd) AS contra FROM edges WHERE rel = 'CONTRADICTS' AND a IS NOT NULL AND contra_fwd IS NOT NULL GROUP BY ALL)"""
@@ -116,34 +117,32 @@ def contra_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("a").alias("premise"), F.col("b").alias("hypothesis")).agg(F.max("contra_fwd").alias("contra"))
 
 
-@query(f"""WITH {PV}, {_SCORES}, s AS (SELECT policy, count(*) FILTER (stance = 1) AS p, count(*) FILTER (stance = -1) AS c FROM pool GROUP BY 1), x AS (SELECT p.policy, sum(contra) AS t, count(*) FILTER (contra > 0.5) AS k FROM sc JOIN pool p ON p.arg_id = premise AND p.stance = 1 JOIN pool c ON c.arg_id = hypothesis AND c.stance = -1 AND c.policy = p.policy GROUP BY 1)
+@query(f"""WITH {PV}, {_SCORES}, s AS (SELECT policy, count(*) FILTER (stance = 1) AS p, count(*) FILTER (stance = -1) AS c FROM pool GROUP BY 1), x AS (SELECT p.policy, sum(contra::DECIMAL(30,15))::DOUBLE AS t, count(*) FILTER (contra > 0.5) AS k FROM sc JOIN pool p ON p.arg_id = premise AND p.stance = 1 JOIN pool c ON c.arg_id = hypothesis AND c.stance = -1 AND c.policy = p.policy GROUP BY 1)
 SELECT policy, round(CASE WHEN p * c > 0 THEN coalesce(t, 0) / (p * c) ELSE 0 END, 6) AS conflict_density, coalesce(k, 0) AS n_conflicts FROM s LEFT JOIN x USING (policy)""")
 def eval_conflict(spark: SparkSession, d: str) -> DataFrame:
     """Conflict density and count of whole policies, from scored pairs."""
-    from disputo.plans._views import pool
-
     return rounded(metrics.conflict(pool(spark, d), contra_scores(spark, d), ["policy"]))
 
 
 @query(f"""WITH {_LISTS}, x AS (SELECT policy, max(CASE WHEN stance = 1 THEN g END) AS pro, max(CASE WHEN stance = -1 THEN g END) AS con FROM (SELECT policy, stance, avg(grade) AS g FROM m WHERE rank <= {K} GROUP BY ALL) GROUP BY 1)
-SELECT policy, round((pro + con) / 2, 6) AS strict, round(coalesce((pro + con) / 2, pro, con), 6) AS lenient FROM x""", whole=True)
-def eval_pair_means(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+SELECT policy, round((pro + con) / 2, 6) AS strict, round(coalesce((pro + con) / 2, pro, con), 6) AS lenient FROM x""")
+def eval_pair_means(spark: SparkSession, d: str) -> DataFrame:
     """Means of PRO and CON, NULL if one is missing or of what there is."""
-    sides = matched(spark, d, whole).where(F.col("rank") <= K).groupBy(*BY).agg(F.avg("grade").alias("g"))
+    sides = matched(judged_items(spark, d)).where(F.col("rank") <= K).groupBy(*BY).agg(F.avg("grade").alias("g"))
     wide = sides.groupBy("policy").agg(*[F.max(F.when(F.col("stance") == s, F.col("g"))).alias(n) for s, n in ((1, "pro"), (-1, "con"))])
     return rounded(wide.select("policy", metrics.pair_mean("pro", "con").alias("strict"), metrics.pair_mean("pro", "con", True).alias("lenient")))
 
 
-@query(f"""WITH {_LISTS} SELECT stance, round(avg(g), 6) AS grade_mean, round(stddev_pop(g), 6) AS grade_std, round(avg(p), 6) AS precision_mean, round(stddev_pop(p), 6) AS precision_std FROM (SELECT policy, stance, avg(grade) AS g, avg((grade >= 2)::INTEGER) AS p FROM m WHERE rank <= {K} GROUP BY ALL) GROUP BY 1""", whole=True)
-def eval_system_means(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    lists = matched(spark, d, whole).where(F.col("rank") <= K).groupBy(*BY).agg(F.avg("grade").alias("grade"), F.avg((F.col("grade") >= 2).cast("double")).alias("precision"))
+@query(f"""WITH {_LISTS} SELECT stance, round(avg(g), 6) AS grade_mean, round(stddev_pop(g), 6) AS grade_std, round(avg(p), 6) AS precision_mean, round(stddev_pop(p), 6) AS precision_std FROM (SELECT policy, stance, avg(grade) AS g, avg((grade >= 2)::INTEGER) AS p FROM m WHERE rank <= {K} GROUP BY ALL) GROUP BY 1""")
+def eval_system_means(spark: SparkSession, d: str) -> DataFrame:
+    lists = matched(judged_items(spark, d)).where(F.col("rank") <= K).groupBy(*BY).agg(F.avg("grade").alias("grade"), F.avg((F.col("grade") >= 2).cast("double")).alias("precision"))
     return rounded(metrics.system_means(lists, ["stance"], ["grade", "precision"]))
 
 
-@query(f"""WITH {_LISTS}, x AS (SELECT policy, stance, avg(grade) AS g, count(*) AS n FROM m GROUP BY ALL) SELECT policy, round(max(CASE WHEN stance = 1 THEN g END), 6) AS grade_pro, round(max(CASE WHEN stance = -1 THEN g END), 6) AS grade_con, NULL::VARCHAR AS note FROM x GROUP BY 1 UNION ALL SELECT 'all', NULL, NULL, count(*)::VARCHAR FROM x""", whole=True)
-def eval_wide_report(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+@query(f"""WITH {_LISTS}, x AS (SELECT policy, stance, avg(grade) AS g, count(*) AS n FROM m GROUP BY ALL) SELECT policy, round(max(CASE WHEN stance = 1 THEN g END), 6) AS grade_pro, round(max(CASE WHEN stance = -1 THEN g END), 6) AS grade_con, NULL::VARCHAR AS note FROM x GROUP BY 1 UNION ALL SELECT 'all', NULL, NULL, count(*)::VARCHAR FROM x""")
+def eval_wide_report(spark: SparkSession, d: str) -> DataFrame:
     """Long metrics pivoted to one row per policy, with a row of other columns put under them."""
-    sides = matched(spark, d, whole).groupBy(*BY).agg(F.avg("grade").alias("value"))
+    sides = matched(judged_items(spark, d)).groupBy(*BY).agg(F.avg("grade").alias("value"))
     long = sides.withColumn("metric", F.when(F.col("stance") == 1, "grade_pro").otherwise("grade_con"))
     wide = files.wide_metrics(long, ["policy"], ["grade_pro", "grade_con"])
     note = sides.agg(F.count(F.lit(1)).cast("string").alias("note")).withColumn("policy", F.lit("all"))
@@ -156,7 +155,7 @@ _ENT = f"""{ARGS}, {EDGES}, en AS (SELECT a AS arg_id, max(entail_fwd) AS entail
 
 def entailed(spark: SparkSession, d: str) -> DataFrame:
     scores = edges(spark, d).where("rel = 'EQUIVALENT' AND a IS NOT NULL").groupBy(F.col("a").alias("arg_id")).agg(F.max("entail_fwd").alias("entail"))
-    rows = arguments(spark, d).where(F.col("stance").isin(1, -1)).join(scores, "arg_id", "left")
+    rows = arguments(spark, d, "policy", "stance").where(F.col("stance").isin(1, -1)).join(scores, "arg_id", "left")
     return rows.withColumn("covered", F.coalesce(F.col("entail") > 0.5, F.lit(False)))
 
 
@@ -178,7 +177,7 @@ def summary_divergence(spark: SparkSession, d: str) -> DataFrame:
     """How far the mean vectors of the splits, standing for systems, lie apart per policy."""
     from disputo.functions.vectors import unit
 
-    rows = arguments(spark, d).where("policy IS NOT NULL AND split_name IS NOT NULL").join(vectors(spark, d).select("arg_id", "u"), "arg_id")
+    rows = arguments(spark, d, "policy", "split_name").where("policy IS NOT NULL AND split_name IS NOT NULL").join(vectors(spark, d).select("arg_id", "u"), "arg_id")
     systems = unit(mean_vector(rows, ["policy", "split_name"], "u", 64), "centroid", "v")
     return rounded(metrics.divergence(systems, ["policy"], "v"))
 

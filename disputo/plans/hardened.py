@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from disputo.operators import distractors, ml
 from disputo.plans._views import ARGS, EDGES, POOL, PV, VECS, Registry, arguments, edges, policy_table, pool, pool_vectors, rounded, stripped, vectors
+from disputo.runtime import cut
 from disputo.schema import Settings
 
 query = Registry()
@@ -16,12 +17,12 @@ _DIM = "dim AS (SELECT policy, any_value(metapolicy_id) AS metapolicy_id FROM po
 _CENT = """pm AS (SELECT policy, i, avg(x) AS m FROM (SELECT policy, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM pv) GROUP BY ALL), pl AS (SELECT policy, sqrt(sum(m * m)) AS n FROM pm GROUP BY 1), cent AS (SELECT policy, list(m / n ORDER BY i) AS c FROM pm JOIN pl USING (policy) GROUP BY 1)"""
 _CAND = f"""own AS (SELECT DISTINCT policy, {stripped('text')} AS text FROM pool), cand AS (SELECT s.policy, p.stance, p.arg_id, {stripped('p.text')} AS text, p.u FROM pv p JOIN sib s ON s.sibling = p.policy WHERE {stripped('p.text')} <> '' AND NOT EXISTS (SELECT 1 FROM own o WHERE o.policy = s.policy AND o.text = {stripped('p.text')})
   QUALIFY row_number() OVER (PARTITION BY s.policy, p.stance, {stripped('p.text')} ORDER BY p.arg_id) = 1), ranked AS (SELECT c.*, round(list_dot_product(u, cent.c), 9) AS score, row_number() OVER (PARTITION BY c.policy, stance ORDER BY round(list_dot_product(u, cent.c), 9) DESC, arg_id)::INTEGER AS rank FROM cand c JOIN cent USING (policy))"""
-LEVELS = Settings(levels=(0, 5, -1))
+SETTINGS = Settings()
 
 
 def hard_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pools with vectors where there are any, siblings, centroids)."""
-    rows = pool(spark, d).join(vectors(spark, d).select("arg_id", "u"), "arg_id", "left")
+    rows = cut(pool(spark, d, text=True).join(vectors(spark, d).select("arg_id", "u"), "arg_id", "left"))
     return rows, distractors.metapolicy_siblings(policy_table(spark, d)), distractors.policy_centroids(rows.where("u IS NOT NULL"))
 
 
@@ -33,7 +34,7 @@ def hard_metapolicy_siblings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {ARGS}, {_DIM}, x AS (SELECT policy, m, count(*) AS n FROM (SELECT a.policy, dim.metapolicy_id AS m FROM args a JOIN dim USING (policy)) WHERE m IS NOT NULL GROUP BY ALL) SELECT policy, m AS metapolicy_id FROM x QUALIFY row_number() OVER (PARTITION BY policy ORDER BY n DESC, m) = 1""")
 def hard_majority_metapolicy(spark: SparkSession, d: str) -> DataFrame:
     """Each policy's metapolicy by majority of its arguments."""
-    rows = arguments(spark, d).join(policy_table(spark, d).select("policy", "metapolicy_id"), "policy")
+    rows = arguments(spark, d, "policy").join(policy_table(spark, d).select("policy", "metapolicy_id"), "policy")
     return distractors.majority_metapolicy(rows)
 
 
@@ -49,20 +50,20 @@ def hard_candidate_counts(spark: SparkSession, d: str) -> DataFrame:
     return distractors.candidates(rows, siblings).groupBy("policy", "stance").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND} SELECT policy, stance, arg_id || '__distractor_into__' || trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS new_id, arg_id AS distractor_source_id, rank FROM ranked WHERE rank <= 10""", whole=True)
-def hard_distractors(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """The ten sibling arguments closest to each policy's centroid, copied into its pools; ``whole``: the hundred."""
+@query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND} SELECT policy, stance, arg_id || '__distractor_into__' || trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS new_id, arg_id AS distractor_source_id, rank FROM ranked WHERE rank <= 100""")
+def hard_distractors(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred sibling arguments closest to each policy's centroid, copied into its pools."""
     rows, siblings, centroids = hard_parts(spark, d)
-    return distractors.copies(distractors.nearest(distractors.candidates(rows, siblings), centroids, 100 if whole else 10)).select("policy", "stance", "new_id", "distractor_source_id", "rank")
+    return distractors.copies(distractors.nearest(distractors.candidates(rows, siblings), centroids, 100)).select("policy", "stance", "new_id", "distractor_source_id", "rank")
 
 
-@query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND}, lv AS (SELECT unnest([0, 5, -1]) AS level), inj AS (SELECT level, policy, stance, arg_id || '__distractor_into__' || trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS arg_id FROM ranked, lv WHERE level < 0 OR rank <= level),
+@query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND}, lv AS (SELECT unnest({list(SETTINGS.levels)}) AS level), inj AS (SELECT level, policy, stance, arg_id || '__distractor_into__' || trim(regexp_replace(lower(policy), '[^a-z0-9]+', '_', 'g'), '_') AS arg_id FROM ranked, lv WHERE level < 0 OR rank <= level),
 u2 AS (SELECT level, policy, stance, arg_id, false AS is_distractor, pool_pos AS at_pos FROM pool, lv UNION ALL SELECT level, policy, stance, arg_id, true, NULL FROM inj), f AS (SELECT *, bool_or(is_distractor) OVER (PARTITION BY level, policy, stance) AS injected FROM u2)
-SELECT level, policy, stance, arg_id, is_distractor, (row_number() OVER (PARTITION BY level, policy, stance ORDER BY CASE WHEN injected THEN 0 ELSE at_pos END, md5('42|' || policy || '|' || stance || '|' || level || '|' || arg_id), arg_id) - 1)::INTEGER AS pool_pos FROM f""", whole=True)
-def hard_levels(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Pools of three levels: native, five distractors a side, all of them; ``whole``: the levels of the settings."""
+SELECT level, policy, stance, arg_id, is_distractor, (row_number() OVER (PARTITION BY level, policy, stance ORDER BY CASE WHEN injected THEN 0 ELSE at_pos END, md5('42|' || policy || '|' || stance || '|' || level || '|' || arg_id), arg_id) - 1)::INTEGER AS pool_pos FROM f""")
+def hard_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Pools of all levels: native, 50, 100 and 200 distractors a side, all of them."""
     rows, siblings, centroids = hard_parts(spark, d)
-    return distractors.levels(rows, siblings, centroids, Settings() if whole else LEVELS).select("level", "policy", "stance", "arg_id", "is_distractor", "pool_pos")
+    return distractors.levels(rows, siblings, centroids, SETTINGS).select("level", "policy", "stance", "arg_id", "is_distractor", "pool_pos")
 
 
 @query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND}, n AS (SELECT policy, count(*) AS n_native FROM pool GROUP BY 1), c AS (SELECT policy, count(*) AS n_candidates FROM cand GROUP BY 1), i AS (SELECT policy, count(*) AS n_injected FROM ranked WHERE rank <= 10 GROUP BY 1)
@@ -92,7 +93,7 @@ def hard_tightness(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {POOL} SELECT p.arg_id, round(coalesce(CASE WHEN p.is_distractor THEN NULL ELSE a.stance_confidence END, min(CASE WHEN NOT p.is_distractor THEN a.stance_confidence END) OVER (PARTITION BY p.policy, p.stance)), 6) AS pagerank_score FROM pool p JOIN args a USING (arg_id)""")
 def hard_rank_floor(spark: SparkSession, d: str) -> DataFrame:
     """Missing scores of distractors set to the smallest native score of their pool (confidence stands for PageRank here)."""
-    rows = pool(spark, d).join(arguments(spark, d).select("arg_id", "stance_confidence"), "arg_id")
+    rows = pool(spark, d).join(arguments(spark, d, "stance_confidence").select("arg_id", "stance_confidence"), "arg_id")
     rows = rows.withColumn("pagerank_score", F.when(~F.col("is_distractor"), F.col("stance_confidence")))
     return rounded(distractors.rank_floor(rows).select("arg_id", "pagerank_score"))
 

@@ -57,7 +57,7 @@ def relations_coherence_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {PV}, {_EQUIV}, {_FLAGS} SELECT e.policy, e.source, e.target, round(e.cosine, 6) AS cosine FROM equiv e JOIN flags f ON f.arg_id = e.source JOIN flags g ON g.arg_id = e.target WHERE NOT (f.dd AND g.dd)""")
 def relations_candidates_without_distractor_pairs(spark: SparkSession, d: str) -> DataFrame:
-    kept = relations.without_distractor_pairs(relations.equivalence_candidates(pool_vectors(spark, d)), arguments(spark, d))
+    kept = relations.without_distractor_pairs(relations.equivalence_candidates(pool_vectors(spark, d)), arguments(spark, d, "is_distractor"))
     return rounded(kept.select("policy", "source", "target", "cosine"))
 
 
@@ -66,7 +66,7 @@ FROM (SELECT rel, a, b FROM edges WHERE a IS NOT NULL) e JOIN flags f ON f.arg_i
 def relations_pair_types(spark: SparkSession, d: str) -> DataFrame:
     """Edges between known arguments by relation and kind of pair."""
     ended = edges(spark, d).where("a IS NOT NULL").select("rel", F.col("a").alias("source"), F.col("b").alias("target"))
-    known = arguments(spark, d).select("arg_id", "is_distractor")
+    known = arguments(spark, d, "is_distractor").select("arg_id", "is_distractor")
     for end in ("source", "target"):
         ended = ended.join(known.select(F.col("arg_id").alias(end)), end, "left_semi")
     flagged = relations.flag_distractor_pairs(ended, known)

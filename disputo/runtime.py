@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest number of rows a side may have before a broadcast hint is withheld.
-BROADCAST_ROWS = 200_000
+#: Largest number of rows and of bytes a side may have before a broadcast hint is withheld.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,27 +24,42 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: ``spark.checkpoint.dir`` where the session names one.
 
-    A folder of our own is set only where the session has none (tests, a laptop).
+    A folder of our own is set only where the session has none and everything runs in one process (tests, a laptop);
+    on a cluster executors could not see it, so that raises ValueError.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
+_PLANS = {"lock": threading.Lock(), "users": 0, "former": ""}
+
+
 @contextmanager
 def short_plans(spark: SparkSession) -> Iterator[None]:
-    """Keep the texts of plans short meanwhile: the driver retains one per execution, and iterations have many."""
+    """Keep the texts of plans short meanwhile: the driver retains one per execution, and iterations have many.
+
+    The last thread that leaves puts the session's own setting back.
+    """
     name = "spark.sql.maxPlanStringLength"
-    former = spark.conf.get(name)
-    spark.conf.set(name, "4096")
+    with _PLANS["lock"]:
+        if not _PLANS["users"]:
+            _PLANS["former"] = spark.conf.get(name)
+            spark.conf.set(name, "4096")
+        _PLANS["users"] += 1
     try:
         yield
     finally:
-        spark.conf.set(name, former)
+        with _PLANS["lock"]:
+            _PLANS["users"] -= 1
+            if not _PLANS["users"]:
+                spark.conf.set(name, _PLANS["former"])
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,20 +90,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else ``df`` as it is.
+def _width(field: T.StructField) -> Column:
+    """Bytes of one value of a column, about."""
+    name = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) * 16 + 16
+    return F.lit(64 if isinstance(field.dataType, T.StructType) else 8)
 
-    The size is counted (at most ``limit`` + 1 rows are looked at), so that a side that has grown
-    falls back to a shuffled join instead of filling the executors.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, stored: bool = False) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and about ``size`` bytes, else without one.
 
-def hot_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Keys that hold more than 1/``parts`` of all rows: fewer than ``parts`` rows, always."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
-    return counts.where(F.col("_n") > total / parts).select(key)
+    ``df`` runs once: it is written to the checkpoint folder and measured there (``stored``: it is a checkpoint or a plain table already),
+    so that a side that has grown falls back to a shuffled join instead of filling the executors.
+    """
+    kept = df if stored else cut(df)
+    width = sum((_width(f).cast("long") for f in kept.schema), F.lit(0).cast("long"))
+    n, total = kept.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(kept) if n <= rows and (total or 0) <= size else kept
 
 
 def blank(column: Column | str) -> Column:

@@ -15,7 +15,7 @@ def test_ranks_converge(spark, monkeypatch):
     both = spark.createDataFrame([*links, *[(b, a, w) for a, b, w in links]], "src string, dst string, w double")
     monkeypatch.setattr(graphs, "arguments", lambda *_: nodes)
     monkeypatch.setattr(graphs, "adjacency", lambda *_: both)
-    got = {r.id: r["rank"] for r in entry.queries()["graph_pagerank_whole"](spark, "").collect()}
+    got = {r.id: r["rank"] for r in entry.queries()["graph_pagerank"](spark, "").collect()}
     m = np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
     want = np.linalg.solve(np.eye(n) - 0.85 * (m / m.sum(axis=1, keepdims=True)).T, np.full(n, 0.15 / n))
     assert np.allclose([got[f"n{i:02}"] for i in range(n)], want, atol=2e-9)
@@ -24,7 +24,7 @@ def test_ranks_converge(spark, monkeypatch):
 def test_cleaning_and_verdicts(spark, tmp_path):
     texts = ["Ｆull ﬁt café", "Explanation\nB, because", "A.", "none here", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    cleaned = {r.doc_id: r.text for r in entry.queries()["text_cleaned_whole"](spark, str(tmp_path)).collect()}
+    cleaned = {r.doc_id: r.text for r in entry.queries()["text_cleaned"](spark, str(tmp_path)).collect()}
     assert cleaned == {i: " ".join(unicodedata.normalize("NFKD", t or "").split()) for i, t in enumerate(texts)}
-    verdicts = {r.doc_id: r.verdict for r in entry.queries()["text_verdicts_whole"](spark, str(tmp_path)).collect()}
+    verdicts = {r.doc_id: r.verdict for r in entry.queries()["text_verdicts"](spark, str(tmp_path)).collect()}
     assert verdicts == {1: "B", 2: "A"}

@@ -22,14 +22,14 @@ def votes(data):
 
 
 def test_every_rater_counts(spark, data, votes):
-    got = {r.item_id: (r.g_min, r.g_max, r.g_mean, r.g_primary) for r in entry.queries()["judged_consensus_whole"](spark, data).collect()}
+    got = {r.item_id: (r.g_min, r.g_max, r.g_mean, r.g_primary) for r in entry.queries()["judged_consensus"](spark, data).collect()}
     assert got == {i: (min(g), max(g), int(np.floor(np.mean(g) + 0.5)), g[0]) for i, g in votes.items()}
-    pairs = sum(r.n_pairs for r in entry.queries()["judged_agreement_whole"](spark, data).collect())
+    pairs = sum(r.n_pairs for r in entry.queries()["judged_agreement"](spark, data).collect())
     assert pairs == sum(len(g) * (len(g) - 1) // 2 for g in votes.values())
 
 
 def test_every_graded_item_is_truth(spark, data):
-    rows = entry.queries()["eval_matches_whole"](spark, data).collect()
+    rows = entry.queries()["eval_matches"](spark, data).collect()
     assert rows and {r.match for r in rows} == {"exact"}
 
 
@@ -42,7 +42,7 @@ def test_every_judgment_is_parsed(spark, data):
         grades = [int(g) if 0 <= g <= 3 else None for g in part.grade.fillna(-1)]
         if sum(g is not None for g in grades) >= 0.9 * len(grades):
             want |= {(a, b, i + 1): g for i, g in enumerate(grades)}
-    got = {(r.annotator_id, r.batch, r.id): r.grade for r in entry.queries()["judged_parsed_answers_whole"](spark, data).collect()}
+    got = {(r.annotator_id, r.batch, r.id): r.grade for r in entry.queries()["judged_parsed_answers"](spark, data).collect()}
     assert got == want and max(b for _, b, _ in want) > 0
 
 

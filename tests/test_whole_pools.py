@@ -18,10 +18,10 @@ def test_whole_pool_is_searched(spark, data):
         order = sorted(range(len(own)), key=lambda i: (-round(float(u[i] @ c / np.linalg.norm(c)), 9), own[i].arg_id))[:5]
         late += sum(own[i].pool_pos >= 50 for i in order)
         want |= {(*key, n + 1): own[i].arg_id for n, i in enumerate(order)}
-    got = {(r.policy, r.stance, r["rank"]): r.arg_id for r in entry.queries()["retrieval_centroid_top_k_whole"](spark, data).collect()}
+    got = {(r.policy, r.stance, r["rank"]): r.arg_id for r in entry.queries()["retrieval_centroid_top_k"](spark, data).collect()}
     assert got == want and late > 0
-    assert max(r["rank"] for r in entry.queries()["retrieval_diverse_whole"](spark, data).collect()) == 5
+    assert max(r["rank"] for r in entry.queries()["retrieval_diverse"](spark, data).collect()) == 5
 
 
 def test_all_levels(spark, data):
-    assert {r.level for r in entry.queries()["hard_levels_whole"](spark, data).select("level").distinct().collect()} == set(DEFAULTS.levels)
+    assert {r.level for r in entry.queries()["hard_levels"](spark, data).select("level").distinct().collect()} == set(DEFAULTS.levels)
