@@ -31,6 +31,13 @@ def p3_typical_members(spark: SparkSession, d: str) -> DataFrame:
     return typical.select("cluster_key", "n_members", F.col("rank").cast("int").alias("typical_rank"), F.col("id").alias("arg_id"))
 
 
+def p3_densest_members(spark: SparkSession, d: str) -> DataFrame:
+    """Of every cluster of two or more its size, the rows in its densest cell, and the first three of them."""
+    vectors = table(spark, d, "debater_dataset_with_clusters")
+    dense = clusters.densest_members(vectors, _clusters(spark, d).where("n_members > 1"), "arg_id", "embedding", VECTOR)
+    return dense.select("cluster_key", "n_members", "n_cell", F.col("rank").cast("int").alias("cell_rank"), F.col("id").alias("arg_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     best = similar.most_similar(table(spark, d, "debater_dataset_with_clusters"), "arg_id", "embedding", VECTOR, 5, least=0.8)
     return similar.neighbour_pairs(best).select(F.col("a").alias("arg_id_a"), F.col("b").alias("arg_id_b"))
@@ -45,6 +52,12 @@ def p4_five_most_similar(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("q").alias("arg_id"), F.col("o").alias("similar_id"), F.col("rank").cast("int").alias("similar_rank"), F.round("cosine", 6).alias("cosine"))
 
 
+def p4_search_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the partners with a cosine of at least 0.80 the collision search found before the exact check, over all rows."""
+    best = similar.most_similar(table(spark, d, "debater_dataset_with_clusters"), "arg_id", "embedding", VECTOR, 5, least=0.8)
+    return best.agg(F.count(F.lit(1)).alias("n_partners"), F.count_if("searched").alias("n_searched"), F.round(F.avg(F.col("searched").cast("double")), 6).alias("recall"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     arguments = table(spark, d, "arguments_clean").select(F.lit("arguments_clean").alias("src"), F.col("arg_id").alias("rec_key"), F.col("argument").alias("text"))
     documents = table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_key"), "text")
@@ -141,11 +154,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _VECS = """v AS (SELECT arg_id, any_value(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM debater_dataset_with_clusters
   WHERE arg_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
 p AS (SELECT a.arg_id AS a, b.arg_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.arg_id <> b.arg_id WHERE list_cosine_similarity(a.e, b.e) >= 0.8)"""
+_CLUSTER = "l AS (SELECT a AS arg_id, least(a, min(b)) AS cluster_key FROM p GROUP BY a)"
 ORACLES: dict[str, str] = {
     "p2_found": """WITH RECURSIVE n AS (SELECT lower(trim(rel)) AS rel, nullif(lower(trim(source)), '') AS s, nullif(lower(trim(target)), '') AS t, nullif(lower(trim(arg1_id)), '') AS x, nullif(lower(trim(arg2_id)), '') AS y FROM relations_generated),
 e AS (SELECT CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN s ELSE x END AS a, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN t ELSE y END AS b FROM n WHERE rel = 'equivalent' AND ((s IS NOT NULL AND t IS NOT NULL) OR (x IS NOT NULL AND y IS NOT NULL))),
 l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
 SELECT node AS arg_id, min(seen) AS group_id FROM r GROUP BY 1""",
     "p3_found": f"WITH {_VECS} SELECT a AS arg_id, least(a, min(b)) AS cluster_key FROM p GROUP BY a",
+    "p3_typical_members": f"""WITH {_VECS}, {_CLUSTER}, un AS (SELECT l.cluster_key, l.arg_id, list_transform(v.e, lambda x: x / sqrt(list_sum(list_transform(v.e, lambda y: y * y)))) AS u FROM l JOIN v USING (arg_id)),
+t AS (SELECT cluster_key, list(s ORDER BY i) AS s FROM (SELECT cluster_key, i, sum(x) AS s FROM (SELECT cluster_key, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM un) GROUP BY ALL) GROUP BY 1)
+SELECT cluster_key, count(*) OVER (PARTITION BY cluster_key) AS n_members, row_number() OVER (PARTITION BY cluster_key ORDER BY round(list_cosine_similarity(u, s), 9) DESC, arg_id)::INTEGER AS typical_rank, arg_id FROM un JOIN t USING (cluster_key) QUALIFY typical_rank <= 3""",
+    "p3_densest_members": f"""WITH {_VECS}, {_CLUSTER}, un AS (SELECT l.cluster_key, l.arg_id, [floor(v.e[i] / sqrt(list_sum(list_transform(v.e, lambda y: y * y))) / 0.1::DOUBLE)::INTEGER for i in [1, 2, 3, 4]] AS cell, count(*) OVER (PARTITION BY cluster_key) AS n_members FROM l JOIN v USING (arg_id)),
+c AS (SELECT * FROM (SELECT cluster_key, cell, count(*) AS n_cell FROM un GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster_key ORDER BY n_cell DESC, cell) = 1)
+SELECT cluster_key, n_members, n_cell, row_number() OVER (PARTITION BY cluster_key ORDER BY arg_id)::INTEGER AS cell_rank, arg_id FROM un JOIN c USING (cluster_key, cell) QUALIFY cell_rank <= 3""",
+    "p4_five_most_similar": """WITH v AS (SELECT arg_id, any_value(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM debater_dataset_with_clusters
+  WHERE arg_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+q AS (SELECT * FROM v WHERE try_cast(regexp_extract(arg_id, '^arg_(\\d+)$', 1) AS BIGINT) % 20 = 0), p AS (SELECT q.arg_id, v.arg_id AS similar_id, list_cosine_similarity(q.e, v.e) AS c FROM q JOIN v ON q.arg_id <> v.arg_id)
+SELECT arg_id, similar_id, row_number() OVER (PARTITION BY arg_id ORDER BY c DESC, similar_id)::INTEGER AS similar_rank, round(c, 6) AS cosine FROM p QUALIFY similar_rank <= 5""",
     "p4_found": f"WITH {_VECS}, k AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5) SELECT DISTINCT least(a, b) AS arg_id_a, greatest(a, b) AS arg_id_b FROM k",
 }

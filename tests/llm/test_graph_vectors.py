@@ -162,3 +162,42 @@ def test_grid_follows_one_rule():
     few = [len(a.T) for a in Grid(100, np.zeros(64), np.eye(64), v, 0.2, 3, 16, 0).axes]
     many = [len(a.T) for a in Grid(10**6, np.zeros(64), np.eye(64), v, 0.2, 3, 16, 0).axes]
     assert all(a < b for a, b in zip(few, many))
+
+
+def test_many_equal_vectors(spark):
+    n = 50_000
+    near, far = [1.0, 0.1] + [0.0] * 62, [0.0] * 63 + [1.0]
+    same = spark.range(n).select(F.format_string("e%05d", "id").alias("id"), F.array(F.lit(1.0), *[F.lit(0.0)] * 63).cast("array<float>").alias("v"))
+    df = same.union(spark.createDataFrame([("x", near), ("y", far)], "id string, v array<float>"))
+    got = similar.most_similar(df, "id", "v", 64, 5, least=0.8)
+    assert got.count() == 5 * (n + 1)
+    rows = {r.q: r.l for r in got.where("q IN ('e00002', 'e49999', 'x')").groupBy("q").agg(F.sort_array(F.collect_list("o")).alias("l")).collect()}
+    first = [f"e{i:05}" for i in range(6)]
+    assert rows == {"e00002": [x for x in first if x != "e00002"], "e49999": first[:5], "x": first[:5]}
+
+
+def test_search_alone_finds_nearly_all(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HALF", 8)  # far more rows than a window holds
+    x, _ = cloud([60, 40, 30, 20, 9, 8, 7, 6, 5, 4, 3, 2] + [1] * 200, size=64, seed=7, noise=0.06)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = truth(u, 5, 0.8)
+    got = {(r.q, r.o) for r in similar.most_similar(frame(spark, x), "id", "v", 64, 5, least=0.8, exact=False).collect()}
+    assert got <= {(f"v{i:03}", f"v{j:03}") for i, j in zip(*np.nonzero(u @ u.T >= 0.8))} and len(got & want) >= 0.98 * len(want)
+    both = similar.most_similar(frame(spark, x), "id", "v", 64, 5, least=0.8).collect()
+    assert {(r.q, r.o) for r in both} == want and sum(r.searched for r in both) >= 0.98 * len(want)
+
+
+def test_search_that_falls_short_says_so(spark, monkeypatch):
+    monkeypatch.setattr(similar, "RECALL", 1.01)  # more than can be found
+    x, _ = cloud([5, 3], size=64, seed=7)
+    with pytest.raises(RuntimeError, match="exact"):
+        similar.most_similar(frame(spark, x), "id", "v", 64, 5, least=0.8, exact=False).count()
+    assert similar.most_similar(frame(spark, x), "id", "v", 64, 5, least=0.8).count() == 5 * 4 + 3 * 2
+
+
+def test_densest_cell(spark):
+    rows = [("a", [1.0, 0.05, 0.0]), ("b", [1.0, 0.06, 0.0]), ("c", [2.0, 0.5, 0.0]), ("d", [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    members = clusters.similarity_clusters(df, "id", "v", 3)[0]
+    got = clusters.densest_members(df, members, "id", "v", 3, features=2).where("cluster_key = 'a'").orderBy("rank").collect()
+    assert [(r.id, r.n_members, r.n_cell) for r in got] == [("a", 3, 2), ("b", 3, 2)]
