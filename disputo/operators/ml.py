@@ -104,7 +104,7 @@ def quality(x: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
 
 
 def average_linkage(u: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers of unit vectors: the two clusters of the least mean cosine distance are merged while it is at most ``threshold``."""
+    """Cluster numbers of unit vectors: the two clusters of the least mean cosine distance are merged while it is below ``threshold``."""
     n = len(u)
     groups = [[i] for i in range(n)]
     if n < 2:
@@ -114,7 +114,7 @@ def average_linkage(u: np.ndarray, threshold: float) -> np.ndarray:
     alive = np.ones(n, dtype=bool)
     while alive.sum() > 1:
         i, j = divmod(int(distance.argmin()), n)
-        if distance[i, j] > threshold:
+        if distance[i, j] >= threshold:
             break
         a, b = len(groups[i]), len(groups[j])
         merged = (a * distance[i] + b * distance[j]) / (a + b)

@@ -24,7 +24,7 @@ PAYLOADS = {
     "judgment": "grade int",
     "edge": "rel string, contra_fwd double, contra_bwd double",
 }
-EMITTED = "export_id long, tag string, parent_key string, child_key string, payload string"
+EMITTED = "export_id long, tag string, parent_key string, child_key string, kind string, at timestamp_ntz, payload string"
 
 
 def _key(value: object) -> str | None:
@@ -51,10 +51,11 @@ class Visitor:
     """Walks one export depth first and collects (tag, parent key, own key, payload), each record once."""
 
     def __init__(self) -> None:
-        self.rows: dict[tuple[str, str, str], dict] = {}
+        self.rows: dict[tuple[str, str, str, str], dict] = {}
 
-    def emit(self, tag: str, parent: str, key: str, payload: dict) -> None:
-        known = self.rows.setdefault((tag, parent, key), payload)
+    def emit(self, tag: str, parent: str, key: str, payload: dict, kind: str = "") -> None:
+        """``kind`` tells records with the same ends apart: edges of different relations."""
+        known = self.rows.setdefault((tag, parent, key, kind), payload)
         if known is not payload:  # the same record again: what was missing is filled in
             known.update({k: v for k, v in payload.items() if known.get(k) is None})
 
@@ -142,41 +143,44 @@ class Visitor:
             return
         scores = value.get("scores") if isinstance(value.get("scores"), dict) else {}
         contra = [s.get("contra") if isinstance(s := scores.get(way), dict) else value.get(f"contra_{way}") for way in ("fwd", "bwd")]
-        self.emit("edge", a, b, {"rel": _key(value.get("rel")) or _key(rel), "contra_fwd": contra[0], "contra_bwd": contra[1]})
+        name = _key(value.get("rel")) or _key(rel)
+        self.emit("edge", a, b, {"rel": name, "contra_fwd": contra[0], "contra_bwd": contra[1]}, name or "")
 
 
-def emit_records(df: DataFrame, key: str = "export_id", doc: str = "doc") -> DataFrame:
-    """``export_id``, ``tag``, ``parent_key``, ``child_key``, ``payload`` (JSON) of all records inside the documents of ``df``.
+def emit_records(df: DataFrame, key: str = "export_id", doc: str = "doc", at: str | None = None) -> DataFrame:
+    """``export_id``, ``tag``, ``parent_key``, ``child_key``, ``kind`` (an edge's relation), ``at``, ``payload`` (JSON) of all records inside the documents of ``df``.
 
     Documents that are NULL or not valid JSON, and rows without key, give nothing.  A record that stands several times in
-    one export (also in a second delivery of it) is one row.  Only the two named columns are read.  The visitor sees one document at a
+    one export (also in a second delivery of it) is one row.  Only the named columns are read; ``at`` is the time of a delivery.  The visitor sees one document at a
     time; only keys are shuffled to find second deliveries, payloads meet in a combined aggregate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for export, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for export, text, when in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     value = json.loads(text)
                 except (ValueError, RecursionError):
                     continue
                 visitor = Visitor()
                 visitor.export(value)
-                for (tag, parent, child), payload in visitor.rows.items():
-                    for column, x in zip(out, (export, tag, parent, child, json.dumps(payload, ensure_ascii=False))):
+                for (tag, parent, child, kind), payload in visitor.rows.items():
+                    for column, x in zip(out, (export, tag, parent, child, kind, when, json.dumps(payload, ensure_ascii=False))):
                         column.append(x)
-            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], ["export_id", "tag", "parent_key", "child_key", "payload"])
+            types = (pa.int64(), *[pa.string()] * 4, pa.timestamp("us"), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], ["export_id", "tag", "parent_key", "child_key", "kind", "at", "payload"])
 
-    rows = df.select(F.col(key).cast("long").alias("export_id"), F.col(doc).alias("doc")).where(F.col("export_id").isNotNull() & F.col("doc").isNotNull())
+    when = F.col(at) if at else F.lit(None)
+    rows = df.select(F.col(key).cast("long").alias("export_id"), F.col(doc).alias("doc"), when.cast("timestamp_ntz").alias("at")).where(F.col("export_id").isNotNull() & F.col("doc").isNotNull())
     return rows.mapInArrow(run, EMITTED)
 
 
-def flat_records(df: DataFrame, key: str = "export_id", doc: str = "doc") -> DataFrame:
-    """:func:`emit_records`, each record once per export (of different payloads the largest text counts)."""
-    emitted = emit_records(df, key, doc)
-    return emitted.groupBy("export_id", "tag", "parent_key", "child_key").agg(F.max("payload").alias("payload"))
+def flat_records(df: DataFrame, key: str = "export_id", doc: str = "doc", at: str | None = None) -> DataFrame:
+    """:func:`emit_records`, each record once per export: of several deliveries the latest counts, of the same time the one with the larger text."""
+    emitted = emit_records(df, key, doc, at)
+    last = F.max(F.struct("at", "payload"))["payload"].alias("payload")
+    return emitted.groupBy("export_id", "tag", "parent_key", "child_key", "kind").agg(last)
 
 
 def flat_table(records: DataFrame, tag: str) -> DataFrame:
@@ -188,6 +192,6 @@ def flat_table(records: DataFrame, tag: str) -> DataFrame:
     return records.where(F.col("tag") == tag).select("export_id", "parent_key", "child_key", fields.alias("p")).select("export_id", "parent_key", "child_key", "p.*")
 
 
-def write_tables(df: DataFrame, path: str, key: str = "export_id", doc: str = "doc") -> None:
+def write_tables(df: DataFrame, path: str, key: str = "export_id", doc: str = "doc", at: str | None = None) -> None:
     """Write all records in one pass, partitioned by tag, for flat_table(spark.read.parquet(path), tag)."""
-    flat_records(df, key, doc).write.mode("overwrite").partitionBy("tag").parquet(path)
+    flat_records(df, key, doc, at).write.mode("overwrite").partitionBy("tag").parquet(path)

@@ -179,9 +179,9 @@ def text_summary_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_id, (props->>'k')::INTEGER AS k FROM events""")
 def text_parsed_json(spark: SparkSession, d: str) -> DataFrame:
-    """Truncated JSON objects, repaired and parsed (each event's properties without their closing brace)."""
-    broken = F.concat(F.lit("Answer: "), F.regexp_replace("props", r"\}$", ""), F.lit(' , "x": {}'))
-    parsed = parsing.parse_json_object(broken, "k int", ("k",))
+    """JSON objects cut inside a list, repaired and parsed (each event's properties, followed by such a list)."""
+    broken = F.concat(F.lit("Answer: "), F.regexp_replace("props", r"\}$", ""), F.lit(', "grades": [{"id": 1}'))
+    parsed = parsing.parse_json_object(broken, "k int", ("k",), list_recovery=True)
     return table(spark, d, "events").select("event_id", parsed["k"].alias("k"))
 
 

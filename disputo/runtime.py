@@ -112,6 +112,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(kept) if n <= rows and (total or 0) <= size else kept
 
 
+def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, parts: int = 400) -> DataFrame:
+    """``rows`` joined to ``side``, which has one row per key, is stored, and has the key's number of rows in ``weight``.
+
+    Keys with more than 1/``parts`` of all rows, and so fewer than ``parts``, are broadcast; all others are joined by shuffle, in which the rows
+    of those hot keys are spread over all tasks.  ``rows`` is computed once.  Only columns of ``side`` that ``rows`` lacks are added.
+    """
+    values = [c for c in side.columns if c not in rows.columns]
+    total = side.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    bar = total / parts + 1000
+    hot = side.where(F.col(weight) > bar).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    marked = marked.withColumn("_spread", F.when(F.col("_hot"), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*keys)))
+    rest = side.where(F.col(weight) <= bar).select(F.xxhash64(*keys).alias("_spread"), *keys, *values, F.lit(True).alias("_met"))
+    joined = marked.join(rest, ["_spread", *keys], "left").where("_hot OR _met")
+    return joined.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+
+
 def blank(column: Column | str) -> Column:
     """NULL where a string is NULL, empty or only white space; else the trimmed string."""
     column = F.col(column) if isinstance(column, str) else column
