@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from disputo.runtime import cut
 
-#: A node with more than 1/HOT_PARTS of all edges is joined by broadcast; there are fewer than HOT_PARTS of them.
+#: A node with more than 1/HOT_PARTS of all edges is joined by broadcast; as an edge has two ends, there are fewer than 2 * HOT_PARTS of them.
 HOT_PARTS = 400
 
 
@@ -74,7 +74,7 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _signature(edges)
     for _ in range(max_rounds):
-        edges = cut(_star(_star(edges, True, before[0]), False, before[0]))
+        edges = cut(_star(cut(_star(edges, True, before[0])), False, before[0]))
         after = _signature(edges)
         if after == before:
             roots = edges.select(F.col("b").alias("node")).distinct()
