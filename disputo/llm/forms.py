@@ -1,9 +1,10 @@
 """Problem 10: one consistent form for text that looks the same.
 
-A longest-match transducer over runs of grapheme clusters.  Its table is built once per Python worker
-from Unicode's own data (compatibility decompositions, composition, general categories) and a fixed list
-of look-alike letters, and is checked for conflicts when the module is loaded.  Pure ASCII text never
-leaves the JVM.
+A longest-match transducer over grapheme clusters.  Its table is compiled once per Python worker from Unicode's own data (compatibility
+decompositions, composition, general categories) and a fixed list of look-alike letters, and is checked for conflicts: every
+cluster has one target, and no target is rewritten again.  A text is read once, from left to right: the longest cluster of the table that starts at the
+current place is replaced, and letters that look like Latin ones are held back until the end of their word, which decides by the Latin letters that the
+word has shown.  Pure ASCII text never leaves the JVM.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +28,21 @@ LOOKALIKES = {
     "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
     "Ӏ": "I", "Ү": "Y", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
     "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "ү": "y",
-    "к": "k",
+    "к": "k", "Ѵ": "V", "ѵ": "v",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
     "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "α": "a", "ι": "i",
-    "κ": "k", "ρ": "p", "υ": "u", "ϳ": "j",
+    "κ": "k", "ρ": "p", "υ": "u", "ϳ": "j", "σ": "o", "γ": "y",
     # Armenian
     "Օ": "O", "Տ": "S", "Լ": "L", "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H",
+    "Ꮐ": "G", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C",
+    "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F",
+    "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y",
+    "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 # Format characters that are visible (number signs and the like), so they stay.
 VISIBLE_FORMATS = frozenset([*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD])
@@ -44,57 +53,104 @@ LINE_BREAKS = {0x85: "\n", 0x2028: "\n", 0x2029: "\n"}
 CONTROL_SPACES = {0x09: " ", 0x0B: " ", 0x0C: " "}
 
 
-def compile_table() -> tuple[dict[int, str | None], dict[int, str]]:
-    """The single-character table and the look-alike table, checked for conflicts.
+_LETTERS = {ord(a): b for a, b in LOOKALIKES.items()}
+_LATIN = re.compile("[A-Za-z" + "".join(map(chr, (0xAA, 0xBA))) + f"{chr(0xC0)}-{chr(0x24F)}{chr(0x1E00)}-{chr(0x1EFF)}]")
 
-    Raises ValueError if two rules give one character different targets, if a target is itself rewritten
-    (the form would not be stable), or if a look-alike's target is not one Latin letter.
-    """
-    rules: dict[int, str | None] = {}
 
-    def add(code: int, target: str | None) -> None:
+def _hidden() -> dict[int, str]:
+    """Characters that show nothing, or are spaces and line breaks: their target.  ValueError where two rules differ."""
+    rules: dict[int, str] = {}
+
+    def add(code: int, target: str) -> None:
         if rules.setdefault(code, target) != target:
             raise ValueError(f"U+{code:04X} has two targets")
 
     for code in range(sys.maxunicode + 1):
         kind = unicodedata.category(chr(code))
         if kind == "Cf" and code not in VISIBLE_FORMATS or code in OTHER_INVISIBLE:
-            add(code, None)
+            add(code, "")
         elif kind == "Zs" and code != 0x20:
             add(code, " ")
         elif kind == "Cc" and code not in LINE_BREAKS and code not in CONTROL_SPACES and code not in (0x0A, 0x0D):
-            add(code, None)
+            add(code, "")
     for code, target in (LINE_BREAKS | CONTROL_SPACES).items():
         add(code, target)
-    letters = {ord(a): b for a, b in LOOKALIKES.items()}
-    for code, target in letters.items():
-        if code in rules or len(target) != 1 or not (target.isascii() and target.isalpha()) or ord(target) in letters:
-            raise ValueError(f"look-alike U+{code:04X} conflicts")
-    for target in rules.values():
-        if target is not None and rules.get(ord(target), target) != target:
-            raise ValueError(f"target {target!r} is rewritten itself")
-    return rules, letters
+    return rules
+
+
+_HIDDEN = _hidden()
 
 
-_TABLE, _LETTERS = compile_table()
+def target(cluster: str) -> tuple[str, str]:
+    """What a cluster becomes by Unicode's rules, and what it becomes in a word with Latin letters."""
+    plain = unicodedata.normalize("NFKD", cluster.translate(_HIDDEN)).translate(_HIDDEN)
+    return unicodedata.normalize("NFC", plain), unicodedata.normalize("NFC", plain.translate(_LETTERS))
+
+
+def compile_table() -> dict[str, tuple[str, str]]:
+    """Clusters and their two targets: all single characters that change, and all decompositions of characters that compose.
+
+    Raises ValueError if a target would be rewritten itself (the form would not be stable), or if a look-alike has another rule
+    already or does not stand for one Latin letter.
+    """
+    table: dict[str, tuple[str, str]] = {}
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000), *range(0x10000, 0x10200), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F300), *range(0x2F800, 0x2FA20)]:
+        one = chr(code)
+        if unicodedata.decomposition(one) or code in _HIDDEN or code in _LETTERS:
+            table[one] = target(one)
+            parts = unicodedata.normalize("NFD", one)
+            if parts != one:
+                table[parts] = target(parts)
+    for code, letter in _LETTERS.items():
+        if code in _HIDDEN or len(letter) != 1 or not (letter.isascii() and letter.isalpha()) or target(chr(code))[0] != chr(code):
+            raise ValueError(f"look-alike U+{code:04X} conflicts")
+    for cluster, pair in table.items():
+        for out in pair:
+            if table.get(out, (out, out))[0] != out or target(out)[0] != out:
+                raise ValueError(f"target {out!r} of {cluster!r} is rewritten itself")
+    return table
+
+
+_TABLE = compile_table()
+_MARKS = "".join(f"{chr(c)}" for c in range(0x300, 0x1F000) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me"))
+_UNSEEN = "".join(re.escape(chr(c)) for c, t in _HIDDEN.items() if t == "" and c > 0x7F)
+_ON_TOP = f"[{re.escape(_MARKS)}{chr(0xFF9E)}{chr(0xFF9F)}{_UNSEEN}]"
+_HANGUL = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x1100, 0x11FF), (0x3131, 0x318E), (0xA960, 0xA97C), (0xAC00, 0xD7A3), (0xD7B0, 0xD7FB), (0xFFA1, 0xFFDC)))
+#: A grapheme cluster: a character with the marks on it, whatever invisible characters stand between; letters of Hangul compose with those beside them.
+_CLUSTER = re.compile(rf"(?s)(?:[{_HANGUL}]+|.){_ON_TOP}*")
+_PART_OF_WORD = re.compile(rf"[\w{chr(0x300)}-{chr(0x36F)}]")
 #: Runs that may need a rewrite: clusters that hold a character beyond ASCII, with the ASCII letters and digits around it.
 _RUN = re.compile(r"[<=>0-9A-Za-z_]*[^\x00-\x7f][0-9A-Za-z_\x80-\U0010ffff]*")
-_WORD = re.compile(rf"[\w{chr(0x300)}-{chr(0x36F)}]+")
-_LATIN = re.compile("[A-Za-z" + "".join(map(chr, (0xAA, 0xBA))) + f"{chr(0xC0)}-{chr(0x24F)}{chr(0x1E00)}-{chr(0x1EFF)}]")
-_LOOKALIKE = re.compile("[" + "".join(LOOKALIKES) + "]")
 _CONTROL = re.compile(r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f]")
 
 
-def _latinise(word: re.Match) -> str:
-    return word[0].translate(_LETTERS) if _LATIN.search(word[0]) else word[0]
+@lru_cache(maxsize=1 << 15)
+def _read(cluster: str) -> tuple[str, str, bool, bool]:
+    """The longest match for a cluster: its two targets, whether it is part of a word, whether it shows a Latin letter."""
+    if cluster.isascii():
+        plain, latin = cluster, cluster
+    else:
+        plain, latin = _TABLE.get(cluster) or target(cluster)  # clusters with several marks, or hidden characters within, follow the same rules
+    return plain, latin, bool(_PART_OF_WORD.match(plain)) or not plain, bool(_LATIN.search(plain))
 
 
 @lru_cache(maxsize=1 << 16)
 def _rewrite(run: str) -> str:
-    plain = unicodedata.normalize("NFKD", run.translate(_TABLE)).translate(_TABLE)
-    if _LOOKALIKE.search(plain):
-        plain = _WORD.sub(_latinise, plain)
-    return unicodedata.normalize("NFC", plain)
+    """One pass over a run of text: the transducer's output."""
+    out: list[str] = []
+    word: list[tuple[str, str]] = []
+    latin = False
+    for cluster in _CLUSTER.findall(run):
+        plain, other, within, shows = _read(cluster)
+        if within:
+            word.append((plain, other))
+            latin |= shows
+            continue
+        out.extend(pair[latin] for pair in word)
+        word, latin = [], False
+        out.append(plain)
+    out.extend(pair[latin] for pair in word)
+    return "".join(out)
 
 
 def form(text: str) -> str:
@@ -102,13 +158,13 @@ def form(text: str) -> str:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if _CONTROL.search(text):
-        text = text.translate(_TABLE)
+        text = text.translate(_HIDDEN)
     return text if text.isascii() else _RUN.sub(lambda m: _rewrite(m[0]), text)
 
 
-@F.pandas_udf(T.StringType())
-def _form_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(form, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _form_udf(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else form(t) for t in texts.to_pylist()], type=pa.string())
 
 
 _form_udf = _form_udf.asNondeterministic()  # not repeated where filters are pushed down: each text is formed once
@@ -176,6 +232,6 @@ def form_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per record: ``key``, ``group_key`` (smallest key of its form), ``n_records`` and ``n_texts`` of the form."""
     classes = form_classes(df, key, text)
     groups = classes.groupBy("form_1", "form_2").agg(
-        F.min("key").alias("group_key"), F.count(F.lit(1)).alias("n_records"), F.approx_count_distinct("text_1").alias("n_texts")
+        F.min("key").alias("group_key"), F.count(F.lit(1)).alias("n_records"), F.count_distinct("text_1", "text_2").alias("n_texts")
     )
     return classes.select("key", "form_1", "form_2").join(groups, ["form_1", "form_2"]).drop("form_1", "form_2")
