@@ -58,10 +58,13 @@ def mixture(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     largest at which every source can give its share within its repeats.  A source short of its budget gives all it may
     and the report shows the share really reached.  Whole passes come first; the rest of a budget is taken by hash, short of it by less than one
     document.  Sources without a target (NULL included) or without text are not mixed and are reported with 0; NULL and negative
-    targets and repeats count as 0.  A key in several rows is one document.
+    targets and repeats count as 0.  A key in several rows is one document, the longest of them.
     """
-    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("key").isNotNull()).dropDuplicates(["key"])
-    counted = cut(token_counts(docs, "text", tokenizer).select("key", "source", "tokens", F.xxhash64(F.lit(9), "key").alias("hash")))
+    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("key").isNotNull())
+    # tokens are counted where texts are read, so that no text is shuffled to find keys that stand in several rows
+    sizes = token_counts(docs, "text", tokenizer).select("key", "source", "tokens")
+    once = sizes.groupBy("key").agg(F.max(F.struct("tokens", "source")).alias("d")).select("key", "d.source", "d.tokens")
+    counted = cut(once.withColumn("hash", F.xxhash64(F.lit(9), "key")))
     available = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("available_tokens"))
     wanted = targets.groupBy("source").agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"))
     plan = available.join(wanted, available["source"].eqNullSafe(wanted["source"]), "full").select(
@@ -86,7 +89,7 @@ def mixture(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
         found = cut(_level(rows, level))
         cuts = found if cuts is None else found.join(cuts.drop("rest"), "source")
         inside = F.shiftrightunsigned("hash", 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1)) == F.col(f"cut_{level}")
-        rows = rows.drop("rest").join(small(found), "source").where(inside).drop(f"cut_{level}")
+        rows = rows.drop("rest").join(small(found, stored=True), "source").where(inside).drop(f"cut_{level}")
     threshold = sum((F.shiftleft(F.col(f"cut_{k}"), BITS * (LEVELS - 1 - k)) for k in range(LEVELS)), F.lit(0))
     limits = cuts.select(F.col("source").alias("s"), threshold.alias("threshold"))
     limits = plan.where("max_repeats > 0 AND available_tokens > 0").join(limits, F.col("source") == F.col("s"), "left").select("source", "passes", F.when(F.col("rest") > 0, F.col("threshold")).otherwise(F.lit(0)).alias("threshold"))
