@@ -8,10 +8,11 @@ passages are found in any order; the marked words give the item's coverage.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +71,15 @@ def tile(matches: list[tuple[int, int, int]], min_words: int) -> list[tuple[int,
     tiles: list[tuple[int, int, int]] = []
     marked_d: set[int] = set()
     marked_i: set[int] = set()
-    matches = sorted(matches, key=lambda m: (-m[2], m[0], m[1]))
-    while matches:
-        d, i, n = matches.pop(0)
-        free = [k for k in range(n) if d + k not in marked_d and i + k not in marked_i]
-        if len(free) == n:
-            tiles.append((d, i, n))
-            marked_d.update(range(d, d + n))
-            marked_i.update(range(i, i + n))
+    queue = [(-n, d, i) for d, i, n in matches]
+    heapify(queue)
+    while queue:
+        n, d, i = heappop(queue)
+        free = [k for k in range(-n) if d + k not in marked_d and i + k not in marked_i]
+        if len(free) == -n:
+            tiles.append((d, i, -n))
+            marked_d.update(range(d, d - n))
+            marked_i.update(range(i, i - n))
             continue
         runs: list[list[int]] = []
         for k in free:
@@ -85,11 +87,54 @@ def tile(matches: list[tuple[int, int, int]], min_words: int) -> list[tuple[int,
                 runs[-1][1] = k
             else:
                 runs.append([k, k])
-        matches += [(d + a, i + a, b - a + 1) for a, b in runs if b - a + 1 >= min_words]
-        matches.sort(key=lambda m: (-m[2], m[0], m[1]))
+        for a, b in runs:
+            if b - a + 1 >= min_words:
+                heappush(queue, (a - b - 1, d + a, i + a))
     return tiles
 
 
+def _tiled(hits: DataFrame, min_words: int) -> DataFrame:
+    """(``key``, ``item``, ``tiles``, ``longest``, ``covered``) of hits (key, item, position, at): sorted by document and item, read as a stream of Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def tiles(table: pa.Table) -> pa.RecordBatch:
+            keys, items = table.column("key").combine_chunks(), table.column("item").combine_chunks()
+            position, at = table.column("position").to_numpy(), table.column("at").to_numpy()
+            same = np.asarray(pc.and_(pc.equal(keys[1:], keys[:-1]), pc.equal(items[1:], items[:-1])))
+            new = np.r_[True, ~same]
+            joined = ~new[1:] & (np.diff(position - at) == 0) & (np.diff(position) == 1)  # the next word on the same diagonal
+            starts = np.flatnonzero(np.r_[True, ~joined])
+            lengths = np.diff(np.r_[starts, len(position)]) + min_words - 1
+            first = np.flatnonzero(new)
+            which = np.searchsorted(first, starts, side="right") - 1
+            found = []
+            for group in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(which)) + 1):
+                own = [(int(position[starts[g]]), int(at[starts[g]]), int(lengths[g])) for g in group]
+                marked = own if len(own) == 1 else tile(own, min_words)
+                found.append((len(marked), max(m[2] for m in marked), sum(m[2] for m in marked)))
+            numbers = [pa.array(c, type=pa.int32()) for c in zip(*found)]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(first)), items.take(pa.array(first)), *numbers], ["key", "item", "tiles", "longest", "covered"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not len(table):
+                continue
+            key = table.column("key").combine_chunks()
+            last = len(key) - int(pc.sum(pc.cast(pc.equal(key, key[-1]), "int64")).as_py())  # the last document may go on in the next batch
+            if last:
+                yield tiles(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None and len(rest):
+            yield tiles(rest)
+
+    kinds = dict(hits.dtypes)
+    ordered = hits.repartition("key").select("key", "item", "position", "at", (F.col("position") - F.col("at")).alias("diagonal")).sortWithinPartitions("key", "item", "diagonal", "position")
+    return ordered.select("key", "item", "position", "at").mapInArrow(run, f"key {kinds['key']}, item {kinds['item']}, tiles int, longest int, covered int")
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", min_words: int = 13, min_coverage: float = 0.0) -> DataFrame:
     """One row per document and item that share a passage of at least ``min_words`` words.
 
@@ -105,20 +150,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     if sought.limit(SEED_FILTER + 1).count() <= SEED_FILTER:
         filtered = documents.sparkSession.sparkContext.broadcast(np.sort(sought.toPandas()["seed"].to_numpy(dtype=np.int64)))
     found = seeds(_tokens(documents.select(doc_key, text), doc_key, text), min_words, filtered)
-    hits = found.join(small(item_seeds, SEED_FILTER), "seed").select("key", "item", "position", "at").distinct()
-    runs = hits.withColumn("diagonal", F.col("position") - F.col("at"))
+    hits = found.join(small(item_seeds, SEED_FILTER, stored=True), "seed").select("key", "item", "position", "at").distinct()
     sizes = item_tokens.select(F.col("key").alias("item"), F.size("tokens").alias("item_words"))
 
-    def per_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["diagonal", "position"])
-        breaks = np.flatnonzero((np.diff(rows["diagonal"]) != 0) | (np.diff(rows["position"]) != 1)) + 1
-        starts = np.r_[0, breaks]
-        ends = np.r_[breaks, len(rows)]
-        d, i = rows["position"].to_numpy(), rows["at"].to_numpy()
-        tiles = tile([(int(d[a]), int(i[a]), int(b - a + min_words - 1)) for a, b in zip(starts, ends)], min_words)
-        return pd.DataFrame([[key[0], key[1], len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles)]], columns=["key", "item", "tiles", "longest", "covered"])
-
-    kinds = dict(runs.dtypes)
-    tiled = runs.groupBy("key", "item").applyInPandas(per_pair, f"key {kinds['key']}, item {kinds['item']}, tiles int, longest int, covered int")
+    tiled = _tiled(hits, min_words)
     joined = tiled.join(small(sizes), "item").withColumn("coverage", F.col("covered") / F.col("item_words"))
     return joined.where(F.col("coverage") >= min_coverage).select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "tiles", "longest", "covered", "item_words", "coverage")
