@@ -8,6 +8,7 @@ Weights and consensus labels are estimated in turn until no label changes.
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -45,50 +46,69 @@ def _distance(ordinal: bool) -> Column:
     return F.abs(F.col("grade") - F.col("consensus")).cast("double") if ordinal else (F.col("grade") != F.col("consensus")).cast("double")
 
 
-def truth_discovery(votes: DataFrame, alpha: float = 0.05, ordinal: bool = False, max_rounds: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(truth, weights) of ``votes`` (item, annotator, grade): truth has ``item``, ``consensus``; weights ``annotator``, ``weight``, ``n``, ``distance``.
+def _settled(start: DataFrame, step, max_rounds: int) -> DataFrame:
+    """The labels (``item``, ``consensus``) at which ``step`` (labels to labels, stored) changes nothing any more.
 
-    Starts from the plain majority.  Stops when no item's consensus changes, or after ``max_rounds`` (labels may
-    swing between two equal states).  An item with one annotator follows that annotator.
+    Where the labels come back to an earlier state they would swing for ever; then every item takes the lowest of the labels it has
+    in that cycle.  RuntimeError if neither happens within ``max_rounds``.
     """
-    truth, weights = cut(_votes(votes, None)), None
+
+    def signature(labels: DataFrame) -> tuple:
+        return tuple(labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("item", "consensus").cast("decimal(38,0)"))).first())
+
+    states, seen = [start], [signature(start)]
     for _ in range(max_rounds):
+        states.append(step(states[-1]))
+        now = signature(states[-1])
+        if now == seen[-1]:
+            return states[-1]
+        if now in seen:
+            cycle = reduce(DataFrame.union, states[seen.index(now) + 1 :])
+            return cut(cycle.groupBy("item").agg(F.min("consensus").alias("consensus")))
+        seen.append(now)
+    raise RuntimeError(f"labels neither settle nor repeat in {max_rounds} rounds")
+
+
+def truth_discovery(votes: DataFrame, alpha: float = 0.05, ordinal: bool = False, max_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(truth, weights) of ``votes`` (item, annotator, grade): truth has ``item``, ``consensus``; weights ``annotator``, ``weight``, ``n``, ``distance``.
+
+    Starts from the plain majority and ends when no item's consensus changes (see _settled for labels that swing).
+    An item with one annotator follows that annotator.
+    """
+
+    def weigh(truth: DataFrame) -> DataFrame:
         errors = votes.join(truth, "item").groupBy("annotator").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(_distance(ordinal)).alias("distance"))
-        weights = cut(errors.withColumn("weight", chi_squared(alpha / 2, F.col("n")) / F.greatest("distance", F.lit(0.5))))
-        new = cut(_votes(votes, weights.select("annotator", "weight")))
-        changed = new.alias("x").join(truth.alias("y"), "item").where("x.consensus <> y.consensus").limit(1).count()
-        truth = new
-        if not changed:
-            break
-    return truth, weights
+        return cut(errors.withColumn("weight", chi_squared(alpha / 2, F.col("n")) / F.greatest("distance", F.lit(0.5))))
+
+    truth = _settled(cut(_votes(votes, None)), lambda labels: cut(_votes(votes, weigh(labels).select("annotator", "weight"))), max_rounds)
+    return truth, weigh(truth)
 
 
-def consensus(judgments: DataFrame, alpha: float = 0.05, trust: float = 0.6, max_rounds: int = 30, **columns: str) -> tuple[DataFrame, DataFrame]:
+def consensus(judgments: DataFrame, alpha: float = 0.05, trust: float = 0.6, max_rounds: int = 60, **columns: str) -> tuple[DataFrame, DataFrame]:
     """(items, annotators) of raw judgments.
 
     items: ``item``, ``consensus_grade``, ``votes``, ``agreement`` (share of the item's annotators that gave the consensus).
     annotators: ``annotator``, ``n``, ``reliability`` (share of their items whose consensus they gave), ``weight``, ``trusted``.
     The truth-discovery labels say who gives the consensus on at least ``trust`` of their items; among
     these annotators the grade given most often wins (ties: larger weight, then the lower grade).  The two steps repeat until
-    no label changes.  An item that no trusted annotator labelled keeps its truth-discovery label.  Items without a valid grade have no row.
+    no label changes (see _settled for labels that swing).  An item that no trusted annotator labelled keeps its truth-discovery label.
+    Items without a valid grade have no row.
     """
     votes = cut(valid_judgments(judgments, **columns))
-    truth, weights = truth_discovery(votes, alpha, max_rounds=max_rounds)
-    base, reliable = truth, None
-    for _ in range(max_rounds):
-        reliable = cut(
-            votes.join(truth, "item").groupBy("annotator")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("grade") == F.col("consensus")).cast("double")).alias("reliability"))
-            .withColumn("trusted", F.col("reliability") >= trust)
-        )
-        trusted = reliable.where("trusted").join(weights.select("annotator", "weight"), "annotator").select("annotator", "weight")
+    base, weights = truth_discovery(votes, alpha, max_rounds=max_rounds)
+
+    def reliability(truth: DataFrame) -> DataFrame:
+        rated = votes.join(truth, "item").groupBy("annotator").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("grade") == F.col("consensus")).cast("double")).alias("reliability"))
+        return cut(rated.withColumn("trusted", F.col("reliability") >= trust))
+
+    def vote(truth: DataFrame) -> DataFrame:
+        trusted = reliability(truth).where("trusted").join(weights.select("annotator", "weight"), "annotator").select("annotator", "weight")
         scores = votes.join(small(trusted), "annotator").groupBy("item", "grade").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 9).alias("w"))
         picked = scores.groupBy("item").agg(F.max(F.struct("n", "w", (-F.col("grade")).alias("minus")))["minus"].alias("minus"))
-        new = cut(base.join(picked, "item", "left").select("item", F.coalesce(-F.col("minus"), F.col("consensus")).alias("consensus")))
-        changed = new.alias("x").join(truth.alias("y"), "item").where("x.consensus <> y.consensus").limit(1).count()
-        truth = new
-        if not changed:
-            break
+        return cut(base.join(picked, "item", "left").select("item", F.coalesce(-F.col("minus"), F.col("consensus")).alias("consensus")))
+
+    truth = _settled(base, vote, max_rounds)
+    reliable = reliability(truth)
     items = votes.join(truth, "item").groupBy("item").agg(
         F.any_value("consensus").alias("consensus_grade"), F.count(F.lit(1)).alias("votes"), F.avg((F.col("grade") == F.col("consensus")).cast("double")).alias("agreement")
     )
