@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disputo.runtime import cut
+from disputo.functions.scalars import SUMMARY_FIELDS
 from disputo.llm.forms import consistent_form
+from disputo.runtime import cut, hot_join
 
-# The five labels of a structured summary.
-LABELS = ("STRONGEST_PRO", "STRONGEST_CON", "KEY_TENSION", "MISSING_PERSPECTIVES", "OVERALL_BALANCE")
+LABELS = SUMMARY_FIELDS
 
 
 def label_pattern(labels: tuple[str, ...] = LABELS) -> str:
@@ -76,21 +76,24 @@ def copy_groups(df: DataFrame, key: str, text: str, labels: tuple[str, ...] = LA
     Copies are never expanded into pairs and never collected: grouping is one hash aggregate over
     (fingerprint, key), so a group that holds a third of all rows is combined on the map side.  With
     ``verify`` the groups of two and more are checked: each record's fields are compared with those
-    of the group's first record, and a record that differs (a hash collision) falls into its own group.
+    of the group's first record, and records that differ (a hash collision) leave it and form groups of their own.
     NULL, empty and letterless texts are left out; an empty table gives no rows.
     """
     prints = fingerprints(df, key, text, labels)
     records = cut(prints.select("key", "fp_1", "fp_2").distinct())
-    groups = records.groupBy("fp_1", "fp_2").agg(F.min("key").alias("group_key"), F.count(F.lit(1)).alias("n_copies"))
-    members = records.join(groups, ["fp_1", "fp_2"])
+    groups = cut(records.groupBy("fp_1", "fp_2").agg(F.min("key").alias("group_key"), F.count(F.lit(1)).alias("n_copies")))
+    members = hot_join(records, groups, ["fp_1", "fp_2"], "n_copies")
     if verify:
         several = members.where("n_copies > 1").select(F.col("key").alias(key)).distinct()
         differing = _differing(fingerprints(df.select(key, text).join(several, key, "left_semi"), key, text, labels), groups)
-        members = members.join(differing, ["key", "fp_1", "fp_2"], "left").select(
-            "key",
-            F.when(F.col("differs"), F.col("key")).otherwise(F.col("group_key")).alias("group_key"),
-            F.when(F.col("differs"), F.lit(1).cast("long")).otherwise(F.col("n_copies")).alias("n_copies"),
-        )
+        # empty unless two contents share 128 bits: they leave the group and form groups by a third fingerprint
+        moved = cut(differing)
+        if not moved.isEmpty():
+            left = moved.groupBy("fp_1", "fp_2").agg(F.count(F.lit(1)).alias("gone"))
+            own = moved.groupBy("fp_1", "fp_2", "fp_3").agg(F.min("key").alias("group_key"), F.count(F.lit(1)).alias("n_copies"))
+            stay = members.join(moved, ["key", "fp_1", "fp_2"], "left_anti").join(left, ["fp_1", "fp_2"], "left")
+            stay = stay.select("key", "group_key", (F.col("n_copies") - F.coalesce("gone", F.lit(0))).alias("n_copies"))
+            members = stay.union(moved.join(own, ["fp_1", "fp_2", "fp_3"]).select("key", "group_key", "n_copies"))
     return members.select("key", "group_key", "n_copies")
 
 
@@ -100,12 +103,11 @@ def _differing(prints: DataFrame, groups: DataFrame) -> DataFrame:
     The first records (one per group of two or more) carry their fields to the members; the comparison is by
     containment in both directions, so fields are not sorted.
     """
-    firsts = groups.where("n_copies > 1").select("fp_1", "fp_2", F.col("group_key").alias("key"))
-    first_fields = (
-        prints.join(firsts, ["fp_1", "fp_2", "key"], "left_semi").groupBy("fp_1", "fp_2").agg(F.any_value("fields").alias("first"))
-    )
+    firsts = groups.where("n_copies > 1").select("fp_1", "fp_2", F.col("group_key").alias("key"), "n_copies")
+    first_fields = prints.join(firsts, ["fp_1", "fp_2", "key"]).groupBy("fp_1", "fp_2").agg(F.max("n_copies").alias("n_copies"), F.any_value("fields").alias("first"))
     same = (F.size("fields") == F.size("first")) & (F.size(F.array_except("fields", "first")) == 0) & (F.size(F.array_except("first", "fields")) == 0)
-    return prints.join(first_fields, ["fp_1", "fp_2"]).where(~same).select("key", "fp_1", "fp_2", F.lit(True).alias("differs")).distinct()
+    third = fingerprint(F.col("fields"), 37).alias("fp_3")
+    return hot_join(prints, cut(first_fields), ["fp_1", "fp_2"], "n_copies").where(~same).select("key", "fp_1", "fp_2", third).distinct()
 
 
 def collapse(df: DataFrame, key: str, text: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
