@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from disputo.llm.components import components
 from disputo.llm.copies import fingerprint, labelled_fields
 from disputo.llm.forms import consistent_form, words
-from disputo.runtime import BROADCAST_ROWS, cut, remove, small, store
+from disputo.runtime import BROADCAST_ROWS, cut, hot_join, remove, small, store
 
 #: Buckets of the table of word frequencies that orders words from rare to frequent: its size is fixed.
 FREQUENCY_BUCKETS = 1 << 18
@@ -52,7 +53,7 @@ def word_sets(df: DataFrame, src: str, key: str, text: str, shingle: int = 1) ->
     split = formed.select("src", "key", fields.alias("fields"), F.transform(grams, lambda w: F.xxhash64("src", w)).alias("tokens"))  # used twice, made once
     hashed = split.select("src", "key", fingerprint(F.col("fields"), 11).alias("fp_1"), fingerprint(F.col("fields"), 23).alias("fp_2"), "tokens")
     halves = [F.aggregate("tokens", F.lit(0).cast("long"), lambda s, h: s + f(h)) for f in (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32))]
-    return hashed.withColumn("set_id", F.xxhash64("src", *halves)).withColumn("row_id", F.xxhash64("src", "key", "fp_1"))
+    return hashed.withColumn("set_id", F.xxhash64("src", *halves)).withColumn("row_id", F.xxhash64("src", "key", "fp_1", "set_id"))
 
 
 def _bucket_counts(sets: DataFrame, pick) -> np.ndarray:
@@ -280,33 +281,41 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return verified.select("a", "b", "shared", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def near_duplicates(df: DataFrame, src: str, key: str, text: str, threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Links between contents, and the records of each content.
-
-    Returns (links, members).  members: ``src``, ``key``, ``set_id``, ``fp_1`` - one row per record; records with the same
-    (set_id, fp_1) are exact copies in the sense of problem 5 and form one class.  links: ``a_set``, ``a_fp``, ``b_set``, ``b_fp``,
-    ``similarity`` - pairs of classes at or above ``threshold``, each once; no link between different texts is lost and copies
-    are not expanded.  NULL, empty and letterless texts have no row; identical word sets of different contents have similarity 1.
+def similar_contents(df: DataFrame, src: str, key: str, text: str, threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, classes, members): pairs ``a``, ``b``, ``similarity`` of different word sets, each once; classes ``set_id``, ``fp_1``, the
+    contents of each word set; members ``src``, ``key``, ``set_id``, ``fp_1``, the records of each content.  All three are stored.
     """
     records, path = store(word_sets(df, src, key, text, shingle))
     members = cut(records.select("src", "key", "set_id", "fp_1", "row_id").distinct())
     # one row stands for each set: rows of other records with the same words are left out, and the words themselves are not shuffled
     spare = members.groupBy("set_id").agg(F.min("row_id").alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1").join(members, "set_id").where("row_id <> kept")
-    sets = records.join(small(spare.select("row_id").distinct()), "row_id", "left_anti").select("set_id", "tokens").withColumn("n", F.size("tokens"))
+    spare = cut(spare.select("row_id").distinct())
+    sets = records.join(small(spare, stored=True), "row_id", "left_anti").select("set_id", "tokens").withColumn("n", F.size("tokens"))
     paths = [path]
     if spare.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # the words had to be shuffled: once is enough
         sets, path = store(sets)
         paths.append(path)
-    classes = members.select("set_id", "fp_1").distinct()
+    pairs = cut(similar_sets(sets, threshold).select("a", "b", "similarity").distinct())
+    for path in paths:
+        remove(df.sparkSession, path)
+    return pairs, cut(members.select("set_id", "fp_1").distinct()), members
+
+
+def near_duplicates(df: DataFrame, src: str, key: str, text: str, threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Links between contents, and the records of each content.
+
+    Returns (links, members).  members: ``src``, ``key``, ``set_id``, ``fp_1`` - one row per record; records with the same
+    (set_id, fp_1) are exact copies in the sense of problem 5 and form one class.  links: ``a_set``, ``a_fp``, ``b_set``, ``b_fp``,
+    ``similarity`` - pairs of classes at or above ``threshold``, each once; no link between different texts is lost and copies
+    are not expanded.  NULL, empty and letterless texts have no row; identical word sets of different contents have similarity 1.
+    """
+    pairs, classes, members = similar_contents(df, src, key, text, threshold, shingle)
     several = classes.groupBy("set_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("set_id")
     moved = classes.join(several, "set_id")
     within = (
         moved.alias("x").join(moved.alias("y"), "set_id").where("x.fp_1 < y.fp_1")
         .select(F.col("set_id").alias("a_set"), F.col("x.fp_1").alias("a_fp"), F.col("set_id").alias("b_set"), F.col("y.fp_1").alias("b_fp"), F.lit(1.0).alias("similarity"))
     )
-    pairs = cut(similar_sets(sets, threshold).distinct())
-    for path in paths:
-        remove(df.sparkSession, path)
     across = (
         pairs.join(classes.select(F.col("set_id").alias("a"), F.col("fp_1").alias("a_fp")), "a")
         .join(classes.select(F.col("set_id").alias("b"), F.col("fp_1").alias("b_fp")), "b")
@@ -316,6 +325,32 @@ def near_duplicates(df: DataFrame, src: str, key: str, text: str, threshold: flo
     return within.union(across), members
 
 
+def class_link_counts(pairs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """:func:`link_counts` from the word sets: contents of a set are counted, not paired, so many contents with the same words cost no more than few."""
+    sizes = classes.groupBy("set_id").agg(F.count(F.lit(1)).alias("k"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    across = both.join(sizes.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.sum("k").alias("met"))
+    # contents that differ in where words are parted only are copies, not links
+    copies = both.join(classes.withColumnRenamed("set_id", "a"), "a").join(classes.withColumnRenamed("set_id", "b"), ["b", "fp_1"]).groupBy("a", "fp_1").agg(F.count(F.lit(1)).alias("same"))
+    counts = classes.join(sizes, "set_id").join(across.withColumnRenamed("a", "set_id"), "set_id", "left").join(copies.withColumnRenamed("a", "set_id"), ["set_id", "fp_1"], "left")
+    n_links = F.col("k") - 1 + F.coalesce("met", F.lit(0)) - F.coalesce("same", F.lit(0))
+    return members.select("src", "key", "set_id", "fp_1").join(counts.select("set_id", "fp_1", n_links.alias("n_links")), ["set_id", "fp_1"]).select("src", "key", F.col("fp_1").alias("class_id"), "n_links")
+
+
+def near_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per record of a group of two or more: ``src``, ``key``, ``group_key`` (the group's smallest key) and ``n_records``.
+
+    Records with the same words or letters are in one group, and so are records linked by similar word sets, directly or through others.
+    Only one link per record joins it to its words and its letters, so no pairs of copies are formed.
+    """
+    word, letters = F.concat(F.lit("w"), F.col("set_id").cast("string")), F.concat_ws("|", F.lit("f"), "src", F.col("fp_1").cast("string"))
+    between = pairs.select(F.concat(F.lit("w"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("w"), F.col("b").cast("string")).alias("b"))
+    found = components(between.union(members.select(word.alias("a"), letters.alias("b")).distinct()))
+    placed = cut(members.select("src", "key", word.alias("node")).join(found, "node").select("src", "key", "group_id").distinct())
+    groups = placed.groupBy("group_id").agg(F.min("key").alias("group_key"), F.countDistinct("key").alias("n_records")).where("n_records > 1")
+    return hot_join(placed, groups, ["group_id"], "n_records").select("src", "key", "group_key", "n_records")
+
+
 def expanded_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """(``src``, ``key_a``, ``key_b``), key_a < key_b: the records behind the links, copies expanded."""
     left = members.select(F.col("set_id").alias("a_set"), F.col("fp_1").alias("a_fp"), "src", F.col("key").alias("x"))

@@ -88,8 +88,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_link_counts(spark: SparkSession, d: str) -> DataFrame:
     """Records whose five-word shingles are at least 0.8 alike: class and number of similar classes of every record."""
-    links, members = neardup.near_duplicates(_texts(spark, d), "src", "rec_key", "text")
-    return neardup.link_counts(links, members).select("src", F.col("key").alias("rec_key"), "n_links")
+    counts = neardup.class_link_counts(*neardup.similar_contents(_texts(spark, d), "src", "rec_key", "text"))
+    return counts.select("src", F.col("key").alias("rec_key"), "class_id", "n_links")
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every record that has versions or copies: records linked as in p6_found, directly or through others."""
+    pairs, _, members = neardup.similar_contents(_texts(spark, d), "src", "rec_key", "text", threshold=0.75, shingle=1)
+    return neardup.near_groups(pairs, members).select("src", F.col("key").alias("rec_key"), "group_key", "n_records")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
