@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from disputo.functions.scalars import exact_sum, gain, strip
-from disputo.functions.vectors import cosine, dot, mean_vector
+from disputo.functions.scalars import acceptable_paragraph, exact_sum, gain, strip
+from disputo.functions.vectors import dot, mean_vector
+from disputo.operators.relations import chunked_pairs
+from disputo.runtime import cut
 from disputo.schema import DEFAULTS
 
 RELEVANT = DEFAULTS.relevant_grade
@@ -17,15 +19,19 @@ def match_grades(lists: DataFrame, graded: DataFrame, floor: float = DEFAULTS.ma
     """``lists`` (policy, stance, arg_id, text, u) with ``grade``, ``match`` and ``match_text``.
 
     Exact: the trimmed text is a graded one of the same policy and stance.  Else semantic: the nearest graded text's cosine is at
-    least ``floor``.  Else none, with grade 0.  ``graded``: policy, stance, text, grade, u - of equal texts the highest grade counts.
+    least ``floor``.  Else none, with grade 0.  ``graded``: policy, stance, text, grade, u (unit vectors) - of equal texts the highest grade counts.
     Only what has no exact match is compared with vectors.
     """
     texts = graded.withColumn("key", strip("text")).groupBy("policy", "stance", "key").agg(F.max("grade").alias("gt_grade"), F.max_by("u", "grade").alias("gu"))
     keyed = lists.withColumn("key", strip("text"))
     exact = keyed.join(texts.drop("gu"), ["policy", "stance", "key"], "left")
     missing = keyed.join(texts, ["policy", "stance", "key"], "left_anti").where("u IS NOT NULL")
-    near = missing.select("policy", "stance", "key", "u").distinct().join(texts.withColumnRenamed("key", "gt_key"), ["policy", "stance"]).withColumn("cos", cosine("u", "gu"))
-    best = near.where(F.col("cos") >= floor).groupBy("policy", "stance", "key").agg(F.max(F.struct(F.round("cos", 9).alias("c"), F.expr("-gt_grade"), F.col("gt_key"), F.col("gt_grade"))).alias("b"))
+    # nearest texts by blocks of bounded size: a pool that holds a third of all rows becomes many tasks
+    block = F.to_json(F.struct("policy", "stance"))
+    left = missing.select(block.alias("block"), F.col("key").alias("id"), F.lit(0).cast("long").alias("tag"), "u").distinct()
+    right = texts.where("gu IS NOT NULL").select(block.alias("block"), F.col("key").alias("id"), F.col("gt_grade").cast("long").alias("tag"), F.col("gu").alias("u"))
+    near = chunked_pairs(cut(left), cut(right), floor).withColumns({"pool": F.from_json("block", "policy string, stance int"), "gt_grade": F.col("b_tag").cast("int")})
+    best = near.groupBy(F.col("pool.policy").alias("policy"), F.col("pool.stance").alias("stance"), F.col("a").alias("key")).agg(F.max(F.struct(F.round("cosine", 9).alias("c"), F.expr("-gt_grade"), F.col("b").alias("gt_key"), F.col("gt_grade"))).alias("b"))
     joined = exact.join(best, ["policy", "stance", "key"], "left")
     match = F.when(F.col("gt_grade").isNotNull(), "exact").when(F.col("b").isNotNull(), "semantic").otherwise("none")
     return joined.select(*lists.columns, F.coalesce("gt_grade", F.col("b")["gt_grade"], F.lit(0)).alias("grade"), match.alias("match"), F.when(F.col("gt_grade").isNotNull(), F.col("key")).otherwise(F.col("b")["gt_key"]).alias("match_text"))
@@ -171,6 +177,12 @@ def win_rates(df: DataFrame, by: list[str], winner: str, system: str) -> DataFra
     )
 
 
+def summary_action(existing: Column | str, candidate: Column | str) -> Column:
+    """'reuse' an existing summary, 'skip' where there is no candidate, 'drop' a candidate that is no acceptable paragraph, else 'keep'."""
+    done, text = (F.col(x) if isinstance(x, str) else x for x in (existing, candidate))
+    return F.when(done.isNotNull(), "reuse").when(text.isNull(), "skip").when(~acceptable_paragraph(text), "drop").otherwise("keep")
+
+
 def format_comparison(structured: DataFrame, paragraph: DataFrame, by: list[str], value: str) -> DataFrame:
     """Both formats' values side by side and their difference where both are there."""
     both = structured.select(*by, F.col(value).alias("structured")).join(paragraph.select(*by, F.col(value).alias("paragraph")), by, "full")

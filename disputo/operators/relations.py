@@ -21,7 +21,8 @@ def chunked_pairs(left: DataFrame, right: DataFrame, floor: float, chunk: int =
 
     Both sides have ``block``, ``id``, ``tag`` (long), ``u`` (unit vector).  Every block is cut into chunks by the hash of the id and every pair of
     chunks is one group, multiplied as matrices; so a block that holds a third of all rows becomes many
-    groups of bounded size.  Sides are replicated only as often as their block has chunks on the other side.
+    groups of bounded size.  Sides are replicated only as often as their block has chunks on the other side.  Both are read twice, to be counted and
+    to be placed, so the caller stores them.
     """
 
     def parts(df: DataFrame, name: str) -> DataFrame:
