@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,14 +63,43 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, std (sample), min, quartiles (interpolated), max of a numeric column per group."""
-    return df.groupBy(*by).agg(*describe_columns(value))
+QUARTILES = ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))
+
 
+def quantiles(df: DataFrame, by: list[str], value: str, points: tuple[tuple[float, str], ...] = QUARTILES) -> DataFrame:
+    """Interpolated quantiles of a numeric column per group, one column each; NULLs do not count, groups without values have no row.
 
-def describe_columns(value: str) -> list[Column]:
-    quartiles = [F.percentile(value, p).alias(name) for p, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), *quartiles, F.max(value).alias("high")]
+    Values are numbered by :func:`positional_ids` and the two beside each quantile are picked, so no group's values are held in one buffer.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_id", F.monotonically_increasing_id())
+    placed = positional_ids(rows, ["_v", "_id"], "_at", by=by)
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = small(sizes.withColumnsRenamed({c: f"_by_{c}" for c in by}))
+    on = F.lit(True)
+    for c in by:
+        on = on & placed[c].eqNullSafe(F.col(f"_by_{c}"))
+    exact = {name: (F.col("_n") - 1) * F.lit(p) for p, name in points}
+    beside = [(F.col("_at") == f(x)) for x in exact.values() for f in (F.floor, F.ceil)]
+    near = placed.join(sizes, on).where(reduce(lambda a, b: a | b, beside))
+
+    def at(f, x: Column) -> Column:
+        return F.max(F.when(F.col("_at") == f(x), F.col("_v")))
+
+    values = [(at(F.floor, x) + (at(F.ceil, x) - at(F.floor, x)) * F.max(x - F.floor(x))).alias(name) for name, x in exact.items()]
+    return near.groupBy(*by).agg(*values)
+
+
+def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """count, mean, std (sample), min, quartiles (interpolated), max of a numeric column per group."""
+    summary = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high")]
+    whole, parts = df.groupBy(*by).agg(*summary), quantiles(df, by, value)
+    if not by:
+        joined = whole.join(F.broadcast(parts), F.lit(True), "left")
+    else:
+        renamed = parts.withColumnsRenamed({c: f"_by_{c}" for c in by})
+        on = reduce(lambda a, b: a & b, [whole[c].eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        joined = whole.join(renamed, on, "left")
+    return joined.select(*by, "n", "mean", "std", "low", *[name for _, name in QUARTILES], "high")
 
 
 def ambiguous(df: DataFrame, by: str, value: str) -> DataFrame:

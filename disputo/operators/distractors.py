@@ -65,6 +65,22 @@ def nearest(found: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     return ranked if n < 0 else ranked.where(F.col("rank") <= n)
 
 
+def drawn(found: DataFrame, n: int, seed: int = DEFAULTS.seed) -> DataFrame:
+    """n candidates of each policy and stance in the order of a seeded hash, with ``rank``: the random selection, the same in any engine."""
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), "policy", F.col("stance").cast("string"), "arg_id"))
+    order = W.partitionBy("policy", "stance").orderBy(key, "arg_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def metapolicies(policies: DataFrame, arguments: DataFrame) -> tuple[str | None, DataFrame]:
+    """('policy' or 'argument' or None, (policy, metapolicy_id)): taken from the policy records if any has one, else by majority from the arguments' records."""
+    own = policies.where(F.col("metapolicy_id").isNotNull()).select("policy", "metapolicy_id")
+    if not own.isEmpty():
+        return "policy", own
+    found = majority_metapolicy(arguments)
+    return (None if found.isEmpty() else "argument"), found
+
+
 def copies(chosen: DataFrame) -> DataFrame:
     """Distractors: fresh ids, the target's policy and stance, flag, no PageRank, and where they come from."""
     fresh = F.concat("arg_id", F.lit("__distractor_into__"), slug("policy"))

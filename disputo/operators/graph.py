@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disputo.functions.scalars import positive_weight
-from disputo.operators.corpus import positional_ids
+from disputo.operators.corpus import positional_ids, quantiles
 from disputo.runtime import cut, small
 from disputo.schema import DEFAULTS, Settings
 
@@ -33,9 +33,11 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAUL
     ``nodes``: id, and ``seed`` (weight of the teleport, uniform if missing).  With ``by`` every group of that column is its own graph, all
     groups at once (``nodes`` and ``adjacency`` both have it): personalised ranks of all policies are one job, and none is gathered in a task.
 
-    Mass that returns to the teleport only scales the ranks, so it is left out of the steps and put back by the norm at the end: a step is one join with
-    the links and one combined aggregate, without a total over all nodes.  ``every`` steps are one plan, in which the links are shuffled once;
-    then the ranks are stored.  Ends when ``every`` steps change less than the tolerance (L1, of the worst group), or after ``iterations``.
+    Mass that returns to the teleport only scales the ranks, so it is left out of the steps and put back by the norm at the end: the ranks solve
+    x = b + A x.  ``adjacency`` is symmetric (see :func:`symmetric`), so A has real eigenvalues within the damping and Chebyshev's iteration solves this in a third of
+    the steps of plain powers.  A step is one join with the links (every node also has one to itself, which carries its own state) and one combined
+    aggregate.  ``every`` steps are one plan, in which the links are shuffled once; then the state is stored.  Ends when ``every`` steps change
+    less than the tolerance (L1, of the worst group), or after ``iterations``.
     """
     keys = [*([by] if by else []), "id"]
     limit = iterations if iterations is not None else settings.iterations
@@ -45,22 +47,28 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAUL
     nodes = nodes.groupBy(*keys).agg(F.max("seed").alias("seed"))
     totals = nodes.groupBy(*keys[:-1]).agg(F.sum("seed").alias("all_seeds"))
     base = nodes.join(small(totals), by) if by else nodes.join(F.broadcast(totals))
-    base = cut(base.select(*keys, ((1 - d) * F.col("seed") / F.col("all_seeds")).alias("x")))
+    start = (1 - d) * F.col("seed") / F.col("all_seeds")
+    state = cut(base.select(*keys, start.alias("b"), start.alias("x"), F.lit(0.0).alias("before")))
     out = adjacency.groupBy(*keys[:-1], "src").agg(F.sum("w").alias("out_w"))
-    links = cut(adjacency.join(out, [*keys[:-1], "src"]).select(*keys[:-1], F.col("src").alias("id"), "dst", (d * F.col("w") / F.col("out_w")).alias("share")))
-    ranks, step = base, 0
+    links = adjacency.join(out, [*keys[:-1], "src"]).select(*keys[:-1], F.col("src").alias("id"), "dst", (d * F.col("w") / F.col("out_w")).alias("share"))
+    links = cut(links.union(state.select(*keys, F.col("id").alias("dst"), F.lit(None).cast("double"))))
+    step, weight = 0, 1.0
     while step < limit:
-        former, until = ranks, min(step + every, limit)
+        former, until = state, min(step + every, limit)
         for _ in range(step, until):
-            sent = links.join(ranks, keys).select(*keys[:-1], F.col("dst").alias("id"), (F.col("x") * F.col("share")).alias("x"))
-            ranks = base.union(sent).groupBy(*keys).agg(F.sum("x").alias("x"))
-        ranks, step = cut(ranks), until
-        both = ranks.join(former.withColumnRenamed("x", "y"), keys)
+            own, weight = F.col("share").isNull(), 1.0 if step == 0 and state is former else (1 / (1 - d * d / 2) if weight == 1.0 else 1 / (1 - d * d * weight / 4))
+            moved = F.when(own, weight * F.col("b") + (1 - weight) * F.col("before")).otherwise(weight * F.col("share") * F.col("x"))
+            sent = links.join(state, keys).select(
+                *keys[:-1], F.col("dst").alias("id"), F.when(own, F.col("b")).otherwise(0.0).alias("b"), moved.alias("x"), F.when(own, F.col("x")).otherwise(0.0).alias("before")
+            )
+            state = sent.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("b", "x", "before")])
+        state, step = cut(state), until
+        both = state.join(former.select(*keys, F.col("x").alias("y")), keys)
         change = both.groupBy(*keys[:-1]).agg((F.sum(F.abs(F.col("x") - F.col("y"))) / F.sum("x")).alias("l1")).agg(F.max("l1")).first()[0]
         if change is None or change < settings.tolerance:
             break
-    mass = ranks.groupBy(*keys[:-1]).agg(F.sum("x").alias("mass"))
-    ranks = ranks.join(small(mass), by) if by else ranks.join(F.broadcast(mass))
+    mass = state.groupBy(*keys[:-1]).agg(F.sum("x").alias("mass"))
+    ranks = state.join(small(mass), by) if by else state.join(F.broadcast(mass))
     return ranks.select(*keys, (F.col("x") / F.col("mass")).alias("rank"))
 
 
@@ -107,7 +115,16 @@ def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
 def coverage(df: DataFrame, value: str) -> DataFrame:
     """One row on a score: rows, rows with it, share, smallest, median, largest, share of zeros among those with it."""
     v = F.col(value)
-    return df.agg(
+    counts = df.agg(
         F.count(F.lit(1)).alias("n"), F.count(v).alias("n_with"), F.avg(v.isNotNull().cast("double")).alias("share_with"),
-        F.min(v).alias("low"), F.percentile(v, 0.5).alias("median"), F.max(v).alias("high"), F.avg((v == 0).cast("double")).alias("zero_share"),
+        F.min(v).alias("low"), F.max(v).alias("high"), F.avg((v == 0).cast("double")).alias("zero_share"),
     )
+    joined = counts.join(F.broadcast(quantiles(df, [], value, ((0.5, "median"),))), F.lit(True), "left")
+    return joined.select("n", "n_with", "share_with", "low", "median", "high", "zero_share")
+
+
+def rank_column(df: DataFrame, names: tuple[str, ...] = ("pagerank_score", "pagerank", "rank")) -> str | None:
+    """The first of ``names`` that is a column of ``df`` and holds any value; None if there is none."""
+    there = [n for n in names if n in df.columns]
+    filled = df.agg(*[F.max(F.col(n).isNotNull()).alias(n) for n in there]).first() if there else {}
+    return next((n for n in there if filled[n]), None)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disputo.functions.scalars import half_up
+from disputo.functions.scalars import half_up, percent, strip
 from disputo.schema import DEFAULTS
 
 GRADES = (0, 1, 2, 3)
@@ -140,6 +140,16 @@ def bootstrap(df: DataFrame, by: list[str], value: str, resamples: int = 2000, s
     return df.select(*by, value).groupBy(*by).applyInPandas(resample, ", ".join(f"{b} {kinds[b]}" for b in by) + ", mean double, low double, high double")
 
 
+def grade_shares(histograms: DataFrame, by: list[str]) -> DataFrame:
+    """Each grade's share of a group's graded items, as text in per cent."""
+    return histograms.select(*by, *[percent(f"n_{g}", "n_graded").alias(f"share_{g}") for g in GRADES])
+
+
+def relevant_texts(merged: DataFrame) -> DataFrame:
+    """(policy, stance, text): relevant texts, each once however often and by whom it was graded."""
+    return merged.where(F.col("grade") >= DEFAULTS.relevant_grade).select("policy", "stance", strip("text").alias("text")).distinct()
+
+
 def base_rates(df: DataFrame, by: list[str], grade: str = "grade") -> DataFrame:
     """Relevant and judged items per group and their ratio."""
     counted = df.groupBy(*by).agg(F.count_if(F.col(grade) >= DEFAULTS.relevant_grade).alias("n_relevant"), F.count(F.lit(1)).alias("n_pool"))

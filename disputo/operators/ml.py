@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from disputo.functions.vectors import dot, mean_vector
+from disputo.runtime import small
 from disputo.schema import DEFAULTS
 
 
@@ -60,47 +62,43 @@ def k_means(df: DataFrame, vector: str, ks: list[int], seed: int = DEFAULTS.seed
     return out
 
 
-def cluster_report(df: DataFrame, by: list[str], vector: str, cluster: str = "cluster") -> DataFrame:
-    """Per group (a clustering of a dimension table): silhouette, Davies-Bouldin, Calinski-Harabasz, clusters, noise share (cluster -1).
+def cluster_report(df: DataFrame, by: str, vector: str, size: int, cluster: str = "cluster") -> DataFrame:
+    """Per clustering ``by``: ``silhouette``, ``davies_bouldin``, ``calinski_harabasz``, ``n_clusters``, ``noise_share`` (cluster -1).
 
-    Silhouettes are Euclidean over the rows that are not noise; NULL below two clusters.
+    All from each cluster's size, centre and squared length, so no two rows meet: the mean squared distance of a row to a cluster is that to its centre
+    plus the cluster's own spread.  The silhouette is of squared distances, 0 for rows alone in their cluster.  Noise counts only in its
+    share; the three measures are NULL below two clusters.
     """
-    kinds = dict(df.dtypes)
-
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows[by].iloc[:1].copy()
-        labels = rows[cluster].to_numpy()
-        x = np.stack(rows[vector].to_numpy())[labels >= 0]
-        noise = float((labels < 0).mean())
-        labels = labels[labels >= 0]
-        names = np.unique(labels)
-        values = (None, None, None) if len(names) < 2 or len(names) >= len(x) else quality(x, labels)
-        return out.assign(silhouette=values[0], davies_bouldin=values[1], calinski_harabasz=values[2], n_clusters=len(names), noise_share=noise)
-
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int, noise_share double"
-    return df.select(*by, vector, cluster).groupBy(*by).applyInPandas(measure, schema)
-
-
-def quality(x: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
-    """(silhouette, Davies-Bouldin, Calinski-Harabasz) of labelled rows."""
-    names, index = np.unique(labels, return_inverse=True)
-    distance = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
-    size = np.bincount(index)
-    toward = np.stack([distance[:, index == c].sum(axis=1) for c in range(len(names))], axis=1)
-    own = toward[np.arange(len(x)), index] / np.maximum(size[index] - 1, 1)
-    other = toward / size
-    other[np.arange(len(x)), index] = np.inf
-    nearest = other.min(axis=1)
-    silhouette = np.where(size[index] > 1, (nearest - own) / np.maximum(np.maximum(own, nearest), 1e-300), 0.0)
-    centres = np.stack([x[index == c].mean(axis=0) for c in range(len(names))])
-    spread = np.array([np.linalg.norm(x[index == c] - centres[c], axis=1).mean() for c in range(len(names))])
-    between = np.linalg.norm(centres[:, None] - centres[None], axis=-1)
-    np.fill_diagonal(between, np.inf)
-    db = ((spread[:, None] + spread[None]) / between).max(axis=1).mean()
-    inside = sum(((x[index == c] - centres[c]) ** 2).sum() for c in range(len(names)))
-    across = (size * ((centres - x.mean(axis=0)) ** 2).sum(axis=1)).sum()
-    ch = across / (len(names) - 1) / (inside / (len(x) - len(names))) if inside > 0 else np.inf
-    return float(silhouette.mean()), float(db), float(ch)
+    rows = df.select(by, F.col(cluster).alias("c"), F.col(vector).alias("v")).withColumn("sq", dot("v", "v"))
+    kept = rows.where("c >= 0")
+    centres = mean_vector(kept, [by, "c"], "v", size, "m").withColumnRenamed("n_vectors", "n")
+    centres = small(centres.join(kept.groupBy(by, "c").agg(F.avg("sq").alias("mean_sq")), [by, "c"]).withColumn("spread", F.greatest(F.col("mean_sq") - dot("m", "m"), F.lit(0.0))))
+    far = kept.withColumnRenamed("c", "own").join(centres, by)
+    square = F.greatest(F.col("sq") - 2 * dot("v", "m") + dot("m", "m"), F.lit(0.0))
+    toward = F.when(F.col("c") == F.col("own"), F.when(F.col("n") > 1, (square + F.col("spread")) * F.col("n") / (F.col("n") - 1))).otherwise(square + F.col("spread"))
+    rows_id = ["own", "v"]
+    met = far.withColumns({"toward": toward, "square": square}).groupBy(by, *rows_id).agg(
+        F.max(F.when(F.col("c") == F.col("own"), F.col("toward"))).alias("inside"), F.min(F.when(F.col("c") != F.col("own"), F.col("toward"))).alias("outside"),
+        F.max(F.when(F.col("c") == F.col("own"), F.sqrt("square"))).alias("radius"), F.max(F.when(F.col("c") == F.col("own"), F.col("square"))).alias("within"), (F.count(F.lit(1)) / F.countDistinct("c")).alias("copies"),
+    )
+    each = F.when(F.col("inside").isNull(), 0.0).otherwise((F.col("outside") - F.col("inside")) / F.greatest("outside", "inside", F.lit(1e-300)))
+    sums = met.groupBy(by).agg((F.sum(each * F.col("copies")) / F.sum("copies")).alias("silhouette"), F.sum(F.col("within") * F.col("copies")).alias("within"))
+    radius = met.groupBy(by, F.col("own").alias("c")).agg((F.sum(F.col("radius") * F.col("copies")) / F.sum("copies")).alias("radius"))
+    sized = small(centres.select(by, "c", "n", "m").join(radius, [by, "c"]))
+    other = sized.select(by, F.col("c").alias("c2"), F.col("m").alias("m2"), F.col("radius").alias("radius2"))
+    apart = F.sqrt(dot("m", "m") - 2 * dot("m", "m2") + dot("m2", "m2"))
+    worst = sized.join(other, by).where("c <> c2").withColumn("r", (F.col("radius") + F.col("radius2")) / apart).groupBy(by, "c").agg(F.max("r").alias("r"))
+    bouldin = worst.groupBy(by).agg(F.avg("r").alias("davies_bouldin"))
+    whole = mean_vector(kept, [by], "v", size, "g").withColumnRenamed("n_vectors", "total")
+    across = sized.join(small(whole), by).groupBy(by).agg(
+        F.sum(F.col("n") * (dot("m", "m") - 2 * dot("m", "g") + dot("g", "g"))).alias("across"), F.count(F.lit(1)).cast("int").alias("n_clusters"), F.max("total").alias("total")
+    )
+    noise = rows.groupBy(by).agg(F.avg((F.col("c") < 0).cast("double")).alias("noise_share"))
+    joined = noise.join(across, by, "left").join(sums, by, "left").join(bouldin, by, "left")
+    some = (F.col("n_clusters") > 1) & (F.col("n_clusters") < F.col("total"))
+    harabasz = F.col("across") / (F.col("n_clusters") - 1) / F.nullif(F.col("within") / (F.col("total") - F.col("n_clusters")), F.lit(0.0))
+    measures = {"silhouette": F.col("silhouette"), "davies_bouldin": F.col("davies_bouldin"), "calinski_harabasz": harabasz}
+    return joined.select(by, *[F.when(some, m).alias(name) for name, m in measures.items()], F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), "noise_share")
 
 
 def average_linkage(u: np.ndarray, threshold: float) -> np.ndarray:
@@ -129,66 +127,6 @@ def average_linkage(u: np.ndarray, threshold: float) -> np.ndarray:
     return labels
 
 
-def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
-    """Hierarchical density clustering (mutual reachability, condensed tree, excess of mass); -1 is noise."""
-    n = len(x)
-    if n < 2 * least:
-        return np.full(n, -1)
-    distance = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
-    core = np.sort(distance, axis=1)[:, min(least, n - 1)]
-    reach = np.maximum(distance, np.maximum(core[:, None], core[None]))
-    inside, best, link = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
-    edges, at = [], 0
-    for _ in range(n - 1):  # Prim's minimum spanning tree
-        inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[at], link[at], at))
-    parent, members, tree = list(range(2 * n)), {i: [i] for i in range(n)}, {}
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for number, (d, a, b) in enumerate(sorted(edges), start=n):
-        a, b = top(a), top(b)
-        parent[a] = parent[b] = number
-        members[number] = members[a] + members[b]
-        tree[number] = (d, a, b)
-    labels, chosen = np.full(n, -1), []
-
-    def walk(node: int, birth: float) -> tuple[float, list[list[int]]]:
-        """(stability, best clusters) of the condensed cluster that starts at this node."""
-        stability, start = 0.0, node
-        while True:
-            if node < n:
-                return stability, [members[start]]
-            d, a, b = tree[node]
-            now = 1 / max(d, 1e-12)
-            big = [c for c in (a, b) if len(members[c]) >= least]
-            if len(big) == 2:
-                stability += (now - birth) * len(members[node])
-                parts = [walk(c, now) for c in big]
-                below = sum(p[0] for p in parts)
-                return (stability, [members[start]]) if stability >= below else (below, [m for p in parts for m in p[1]])
-            gone = len(members[node]) - (len(members[big[0]]) if big else 0)
-            stability += (now - birth) * gone
-            if not big:
-                return stability, [members[start]]
-            node = big[0]
-
-    root = 2 * n - 2
-    d, a, b = tree[root]
-    for child in (a, b):
-        if len(members[child]) >= least:
-            chosen += walk(child, 1 / max(d, 1e-12))[1]
-    for number, group in enumerate(chosen):
-        labels[group] = number
-    return labels
-
-
 def cluster_groups(df: DataFrame, by: list[str], key: str, vector: str, method: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """``by``, ``key``, ``cluster`` by a method of this module on each group; groups are pools or dimension tables, capped by the caller."""
     kinds = dict(df.dtypes)

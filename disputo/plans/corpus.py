@@ -61,7 +61,7 @@ def corpus_policy_stance_counts(spark: SparkSession, d: str) -> DataFrame:
   round(quantile_cont(n_args, 0.25), 6) AS q25, round(quantile_cont(n_args, 0.5), 6) AS median, round(quantile_cont(n_args, 0.75), 6) AS q75, max(n_args) AS high FROM c""")
 def corpus_policy_size_describe(spark: SparkSession, d: str) -> DataFrame:
     sizes = arguments(spark, d, "policy").groupBy("policy").agg(F.count(F.lit(1)).alias("n_args"))
-    return rounded(sizes.agg(*corpus.describe_columns("n_args")))
+    return rounded(corpus.describe(sizes, [], "n_args"))
 
 
 @query("""SELECT policy, count(stance_confidence) AS n, round(avg(stance_confidence), 6) AS mean, round(stddev_samp(stance_confidence), 6) AS std, round(min(stance_confidence), 6) AS low, round(quantile_cont(stance_confidence, 0.25), 6) AS q25,

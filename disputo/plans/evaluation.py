@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disputo.functions.scalars import strip
 from disputo.functions.vectors import mean_vector
-from disputo.operators import corpus, metrics
+from disputo.operators import corpus, metrics, ml
 from disputo.plans._views import ARGS, EDGES, PV, VECS, Registry, arguments, edges, pool, rounded, stripped, vectors
 from disputo.plans.judged import _CONSENSUS, graded
 from disputo.runtime import cut, table
@@ -91,6 +93,24 @@ def eval_subtopic_recall(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.subtopic_recall(matched(items), clusters, BY, K))
 
 
+@query()
+def eval_subtopic_recall_linked(spark: SparkSession, d: str) -> DataFrame:
+    """The same with subtopics by average linkage of the relevant arguments of each judged pool (its first 200, the size that is judged; tested against plain loops)."""
+    items = judged_items(spark, d)
+    judged = corpus.positional_ids(items.where("grade >= 2 AND u IS NOT NULL").select(*BY, "text", "u", "pos", "item_id"), ["pos", "item_id"], "place", by=BY).where("place < 200")
+    once = judged.withColumn("text", strip("text")).groupBy(*BY, "text").agg(F.min_by("u", "item_id").alias("u"))
+    clusters = ml.cluster_groups(once, BY, "text", "u", partial(ml.average_linkage, threshold=0.15))
+    return rounded(metrics.subtopic_recall(matched(items), clusters, BY, K))
+
+
+@query(f"WITH {_LISTS} SELECT policy, stance, arg_id, rank FROM m WHERE {stripped('text')} IN (SELECT g.text FROM gt g WHERE g.policy = m.policy AND g.stance = m.stance AND g.grade >= 2)")
+def eval_relevant_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Listed arguments whose text is among the relevant ones of their pool."""
+    items = judged_items(spark, d)
+    relevant = truth_texts(items).where("grade >= 2").select(*BY, F.col("text").alias("key"))
+    return given_lists(items).withColumn("key", strip("text")).join(relevant, [*BY, "key"], "left_semi").select(*BY, "arg_id", "rank")
+
+
 _PAIRS = "SELECT a.policy, a.stance, avg(list_dot_product(a.u, b.u)) AS c FROM {0} a JOIN {0} b ON a.policy = b.policy AND a.stance = b.stance AND a.arg_id < b.arg_id GROUP BY ALL"
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disputo.functions.vectors import cosine
-from disputo.operators import graph, metrics, retrieval
-from disputo.plans._views import EDGES, POOL, PV, Registry, arguments, edges, pool, pool_vectors, rounded, vectors
-from disputo.runtime import table
+from disputo.operators import corpus, graph, retrieval
+from disputo.plans._views import EDGES, POOL, PV, Registry, arguments, edges, policy_table, pool, pool_vectors, rounded, vectors
+from disputo.runtime import cut
 from disputo.schema import Settings
 
 query = Registry()
@@ -92,10 +92,24 @@ def graph_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(graph.spearman(joined, "rank", "degree", "id"))
 
 
-@query("""SELECT count(*) AS n, count(stance_confidence) AS n_with, round(count(stance_confidence) / count(*)::DOUBLE, 6) AS share_with, round(min(stance_confidence), 6) AS low, round(quantile_cont(stance_confidence, 0.5), 6) AS median,
-  round(max(stance_confidence), 6) AS high, round(avg((stance_confidence = 0)::INTEGER), 6) AS zero_share FROM arguments_clean""")
+@query(f"""WITH RECURSIVE {POOL}, {_RANKS}, x AS (SELECT round(r.rank, 8) AS s FROM args a LEFT JOIN r ON r.id = a.arg_id) SELECT count(*) AS n, count(s) AS n_with, round(count(s) / count(*)::DOUBLE, 6) AS share_with, min(s) AS low, round(quantile_cont(s, 0.5), 8) AS median,
+  max(s) AS high, round(avg((s = 0)::INTEGER), 6) AS zero_share FROM x""")
 def graph_property_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(graph.coverage(table(spark, d, "arguments_clean"), "stance_confidence"))
+    """How many arguments have a rank, and its range."""
+    scored = arguments(spark, d).select(F.col("arg_id").alias("id")).join(ranks(spark, d), "id", "left").withColumn("rank", F.round("rank", 8))
+    found = graph.coverage(cut(scored), "rank")
+    return found.withColumns({"share_with": F.round("share_with", 6), "median": F.round("median", 8), "zero_share": F.round("zero_share", 6)})
+
+
+@query(f"""WITH {POOL}, {EDGES}, e AS (SELECT CASE WHEN stance = 1 THEN 'SUPPORTS' ELSE 'ATTACKS' END AS rel FROM args JOIN (SELECT DISTINCT policy FROM policies) p USING (policy) WHERE stance IN (1, -1)
+ UNION ALL SELECT rel FROM edges WHERE a IS NOT NULL AND rel IS NOT NULL UNION ALL SELECT 'IN_METAPOLICY' FROM (SELECT DISTINCT policy FROM policies WHERE metapolicy_id IS NOT NULL)) SELECT rel, count(*) AS n FROM e GROUP BY 1""")
+def graph_relationship_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Relationships of the graph by kind: stances, mined relations, and policies in metapolicies."""
+    policies = policy_table(spark, d)
+    kinds = corpus.stance_edges(arguments(spark, d, "policy", "stance", "stance_confidence"), policies).select("rel")
+    mined = edges(spark, d).where("a IS NOT NULL AND rel IS NOT NULL").select("rel")
+    inside = policies.where("metapolicy_id IS NOT NULL").select(F.lit("IN_METAPOLICY").alias("rel"))
+    return corpus.value_counts(kinds.union(mined).union(inside), "rel")
 
 
 _CENTROID = """cen AS (SELECT policy, stance, list(m ORDER BY i) AS c FROM (SELECT policy, stance, i, avg(x) AS m FROM (SELECT policy, stance, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM pvp) GROUP BY ALL) GROUP BY ALL),

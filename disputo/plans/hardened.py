@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from disputo.operators import distractors, ml
 from disputo.plans._views import ARGS, EDGES, POOL, PV, VECS, Registry, arguments, edges, policy_table, pool, pool_vectors, rounded, stripped, vectors
+from disputo.plans.graphs import _RANKS, ranks
 from disputo.runtime import cut
 from disputo.schema import Settings
 
@@ -90,12 +91,19 @@ def hard_tightness(spark: SparkSession, d: str) -> DataFrame:
     return rounded(distractors.tightness(rows, ["metapolicy_id"]))
 
 
-@query(f"""WITH {POOL} SELECT p.arg_id, round(coalesce(CASE WHEN p.is_distractor THEN NULL ELSE a.stance_confidence END, min(CASE WHEN NOT p.is_distractor THEN a.stance_confidence END) OVER (PARTITION BY p.policy, p.stance)), 6) AS pagerank_score FROM pool p JOIN args a USING (arg_id)""")
+@query(f"""WITH RECURSIVE {POOL}, {_RANKS}, x AS (SELECT p.*, CASE WHEN NOT p.is_distractor THEN round(r.rank, 8) END AS own FROM pool p LEFT JOIN r ON r.id = p.arg_id) SELECT arg_id, round(coalesce(own, min(own) OVER (PARTITION BY policy, stance)), 8) AS pagerank_score FROM x""")
 def hard_rank_floor(spark: SparkSession, d: str) -> DataFrame:
-    """Missing scores of distractors set to the smallest native score of their pool (confidence stands for PageRank here)."""
-    rows = pool(spark, d).join(arguments(spark, d, "stance_confidence").select("arg_id", "stance_confidence"), "arg_id")
-    rows = rows.withColumn("pagerank_score", F.when(~F.col("is_distractor"), F.col("stance_confidence")))
-    return rounded(distractors.rank_floor(rows).select("arg_id", "pagerank_score"))
+    """Ranks of distractors set to the smallest native rank of their pool."""
+    scores = ranks(spark, d).select(F.col("id").alias("arg_id"), F.round("rank", 8).alias("score"))
+    rows = pool(spark, d).join(scores, "arg_id", "left").withColumn("pagerank_score", F.when(~F.col("is_distractor"), F.col("score")))
+    return distractors.rank_floor(rows).select("arg_id", "pagerank_score")
+
+
+@query(f"""WITH {PV}, {_DIM}, {_CENT}, {_CAND} SELECT policy, stance, arg_id AS distractor_source_id, row_number() OVER (PARTITION BY policy, stance ORDER BY md5('42|' || policy || '|' || stance || '|' || arg_id), arg_id)::INTEGER AS rank FROM cand QUALIFY rank <= 50""")
+def hard_random_distractors(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty candidates of each policy and stance, drawn instead of chosen by closeness."""
+    rows, siblings, _ = hard_parts(spark, d)
+    return distractors.drawn(distractors.candidates(rows, siblings), 50).select("policy", "stance", F.col("arg_id").alias("distractor_source_id"), "rank")
 
 
 def reduced_policies(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, list[float]]:
@@ -113,14 +121,13 @@ def ml_policy_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ml_cluster_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Quality of k-means for several k and of density clustering for several sizes, on reduced centroids of the policies."""
+    """Quality of k-means for several k on reduced centroids of the policies, and of the metapolicies themselves."""
     reduced, _ = reduced_policies(spark, d)
+    reduced = cut(reduced)
     means = ml.k_means(reduced, "reduced", [5, 8, 10]).select(F.format_string("kmeans_%d", "k").alias("method"), "reduced", "cluster")
-    everything = reduced.withColumn("all", F.lit(1))
-    for size in (3, 4):
-        found = ml.cluster_groups(everything, ["all"], "policy", "reduced", partial(ml.density_clusters, least=size))
-        means = means.union(found.join(reduced, "policy").select(F.lit(f"density_{size}").alias("method"), "reduced", "cluster"))
-    return rounded(ml.cluster_report(means, ["method"], "reduced"))
+    given = policy_table(spark, d).select("policy", F.coalesce("metapolicy_id", F.lit(-1)).alias("cluster"))
+    named = reduced.join(given, "policy").select(F.lit("metapolicies").alias("method"), "reduced", "cluster")
+    return rounded(ml.cluster_report(cut(means.union(named)), "method", "reduced", 20))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from disputo.functions import parsing, scalars
 from disputo.operators import corpus, judgments
-from disputo.plans._views import ARGS, RATED, Registry, arguments, raters, rounded
+from disputo.plans._views import ARGS, POOL, RATED, Registry, arguments, pool, raters, rounded
 from disputo.runtime import table
 from disputo.sources import files
 
@@ -48,9 +48,9 @@ def judged_percentages(spark: SparkSession, d: str) -> DataFrame:
     return h.select("policy", scalars.percent("n_relevant", "n_graded").alias("relevant"))
 
 
-def _agree_sql(key: str) -> str:
+def _agree_sql(key: str, join: str = "") -> str:
     """Agreement of all pairs of raters per ``key``, as a table ``agree``: every pair counts once in either order, alpha weighs it by 1 / (raters - 1)."""
-    return f"""{RATED}, vk AS (SELECT v.item_id, annotator_id, grade, {key} AS k, len(r.grades) AS m FROM votes v JOIN (SELECT item_id, policy, stance, grades FROM rated) r USING (item_id) WHERE len(r.grades) > 1),
+    return f"""{RATED}, vk AS (SELECT v.item_id, annotator_id, grade, {key} AS k, len(r.grades) AS m FROM votes v JOIN (SELECT item_id, arg_id AS about, policy, stance, grades FROM rated) r USING (item_id) {join} WHERE len(r.grades) > 1),
 pr AS (SELECT x.k, x.grade AS a, y.grade AS b, 1.0::DOUBLE / (x.m - 1) AS w FROM vk x JOIN vk y ON x.item_id = y.item_id AND x.annotator_id <> y.annotator_id),
 obs AS (SELECT k, count(*)::DOUBLE AS n2, avg((a - b) * (a - b) / 9.0::DOUBLE) AS o, avg(((a >= 2) = (b >= 2))::INTEGER) AS po, avg((a >= 2)::INTEGER) AS pa, avg((b >= 2)::INTEGER) AS pb FROM pr GROUP BY 1),
 ca AS (SELECT k, a AS g, count(*)::DOUBLE AS c FROM pr GROUP BY ALL), ex AS (SELECT x.k, sum(x.c * y.c * (x.g - y.g) * (x.g - y.g) / 9.0::DOUBLE) AS e FROM ca x JOIN ca y USING (k) GROUP BY 1),
@@ -70,6 +70,23 @@ def judged_agreement(spark: SparkSession, d: str) -> DataFrame:
     return rounded(judgments.agreement_of_all(raters(spark, d), ["policy"]))
 
 
+@query(f"""WITH {ARGS}, {_agree_sql("coalesce(g.is_distractor, false)", "LEFT JOIN args g ON g.arg_id = r.about")} SELECT k AS is_distractor, n_pairs, round(qwk, 6) + 0.0 AS qwk, round(binary_kappa, 6) + 0.0 AS binary_kappa, round(alpha_ordinal, 6) + 0.0 AS alpha_ordinal FROM agree""")
+def judged_kappa_split(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement over native and over distractor arguments."""
+    flags = arguments(spark, d, "is_distractor").select("arg_id", "is_distractor")
+    rows = raters(spark, d).join(flags, "arg_id", "left").withColumn("is_distractor", F.coalesce("is_distractor", F.lit(False)))
+    return rounded(judgments.agreement_of_all(rows, ["is_distractor"]))
+
+
+_SHARES = ", ".join(f"CASE WHEN n_graded = 0 THEN '(no data)' ELSE printf('%.1f', n_{g} * 100.0::DOUBLE / n_graded) || '%' END AS share_{g}" for g in range(4))
+
+
+@query(f"""WITH {_CONSENSUS}, h AS (SELECT policy, {_HIST} FROM cons GROUP BY 1) SELECT policy, {_SHARES} FROM h""")
+def judged_grade_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of all four grades per policy."""
+    return judgments.grade_shares(judgments.histogram(graded(spark, d), ["policy"], "grade"), ["policy"])
+
+
 @query(f"""WITH {_AGREE}, p AS (SELECT DISTINCT policy FROM rated), f AS (SELECT CASE WHEN qwk IS NULL THEN 'SINGLE_ANNOTATOR' WHEN round(qwk, 9) >= 0.6 THEN 'HIGH' WHEN round(qwk, 9) >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS flag FROM p LEFT JOIN agree ON agree.k = p.policy) SELECT flag, count(*) AS n FROM f GROUP BY 1""")
 def judged_flags(spark: SparkSession, d: str) -> DataFrame:
     rows = graded(spark, d)
@@ -140,6 +157,19 @@ def judged_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return judgments.bootstrap(agree, ["statistic"], "qwk")
 
 
+@query(f"SELECT DISTINCT policy, stance, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM ({query.oracles["judged_merged"]}) WHERE grade >= 2")
+def judged_relevant(spark: SparkSession, d: str) -> DataFrame:
+    """The relevant texts of each pool, native and added, each once."""
+    return judgments.relevant_texts(judged_merged(spark, d))
+
+
+@query(f"""WITH {POOL} SELECT policy, stance, arg_id, rn - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY policy, stance ORDER BY pool_pos) AS rn FROM pool WHERE trim(text) <> '') WHERE rn <= 200""")
+def judged_pool(spark: SparkSession, d: str) -> DataFrame:
+    """What raters are shown: the first 200 texts of each pool that are not empty (the cap comes after the filter)."""
+    rows = pool(spark, d, text=True).where(scalars.strip("text") != "").select("policy", "stance", "arg_id", "pool_pos")
+    return corpus.positional_ids(rows, ["pool_pos"], "pos", by=["policy", "stance"]).where("pos < 200").select("policy", "stance", "arg_id", "pos")
+
+
 @query("""WITH j AS (SELECT annotator_id, grade, row_number() OVER (PARTITION BY annotator_id ORDER BY item_id, judged_at, loaded_at) - 1 AS place FROM graded_judgments), w AS (SELECT annotator_id, (place // 30)::INTEGER AS batch, place % 30 + 1 AS rn, grade FROM j),
 n AS (SELECT annotator_id, batch, count(*) AS expected FROM w GROUP BY ALL), ok AS (SELECT annotator_id, batch, rn, grade FROM w WHERE grade BETWEEN 0 AND 3), c AS (SELECT annotator_id, batch, expected FROM n JOIN (SELECT annotator_id, batch, count(*) AS k FROM ok GROUP BY ALL) USING (annotator_id, batch) WHERE k >= expected * 0.9)
 SELECT c.annotator_id, c.batch, i.id::INTEGER AS id, ok.grade FROM c, LATERAL (SELECT unnest(range(1, expected + 1)) AS id) i LEFT JOIN ok ON ok.annotator_id = c.annotator_id AND ok.batch = c.batch AND ok.rn = i.id""")

@@ -33,7 +33,7 @@ def test_parsing(spark):
     ab = [parsing.parse_ab(F.lit(x)) for x in ("Answer\nB. because", "A", "Although", "")]
     assert list(one(spark, **{f"x{i}": c for i, c in enumerate(ab)})) == ["B", "A", None, None]
     texts = ('x {"grades":[{"id":1,"grade":2}', '{"id": 1', "no braces", '```json\n{"id": 3, "grades": []}```')
-    parsed = [parsing.parse_json_object(F.lit(x), "id int, grades array<struct<id:int,grade:int>>") for x in texts]
+    parsed = [parsing.parse_json_object(F.lit(x), "id int, grades array<struct<id:int,grade:int>>", list_recovery=True) for x in texts]
     got = list(one(spark, **{f"x{i}": c for i, c in enumerate(parsed)}))
     assert got[0].grades[0].grade == 2 and got[1] is None and got[2] is None and got[3].id == 3
 

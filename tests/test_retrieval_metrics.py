@@ -87,15 +87,10 @@ def test_winners_and_faithfulness(spark):
     assert {r.k: r.faithfulness for r in metrics.faithfulness(claims, spark.createDataFrame([("a",), ("b",)], "k string"), ["k"]).collect()} == {"a": 0.5, "b": 0.0}
 
 
-def test_linkage_and_density():
+def test_linkage():
     u = np.array([[1, 0], [0.999, math.sqrt(1 - 0.999**2)], [0, 1], [0.01, 1]], float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     assert list(ml.average_linkage(u, 0.15)) == [0, 0, 1, 1] and list(ml.average_linkage(u[:1], 0.15)) == [0]
-    rng = np.random.default_rng(0)
-    x = np.r_[rng.normal(0, 0.1, (15, 2)), rng.normal(5, 0.1, (15, 2)), [[100, 100]]]
-    labels = ml.density_clusters(x, 4)
-    assert len(set(labels[:15])) == 1 and len(set(labels[15:30])) == 1 and labels[0] != labels[20] and labels[30] == -1
-    assert set(ml.density_clusters(x[:3], 4)) == {-1}
 
 
 def test_pca_against_numpy(spark):
