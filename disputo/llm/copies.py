@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from disputo.functions.scalars import SUMMARY_FIELDS
 from disputo.llm.forms import consistent_form
-from disputo.runtime import cut, hot_join
+from disputo.runtime import cut, hot_join, remove, store
 
 LABELS = SUMMARY_FIELDS
 
@@ -85,9 +85,11 @@ def copy_groups(df: DataFrame, key: str, text: str, labels: tuple[str, ...] = LA
     members = hot_join(records, groups, ["fp_1", "fp_2"], "n_copies")
     if verify:
         several = members.where("n_copies > 1").select(F.col("key").alias(key)).distinct()
-        differing = _differing(fingerprints(df.select(key, text).join(several, key, "left_semi"), key, text, labels), groups)
+        # the fields of records with copies are made once and read twice
+        fields, path = store(fingerprints(df.select(key, text).join(several, key, "left_semi"), key, text, labels))
         # empty unless two contents share 128 bits: they leave the group and form groups by a third fingerprint
-        moved = cut(differing)
+        moved = cut(_differing(fields, groups))
+        remove(df.sparkSession, path)
         if not moved.isEmpty():
             left = moved.groupBy("fp_1", "fp_2").agg(F.count(F.lit(1)).alias("gone"))
             own = moved.groupBy("fp_1", "fp_2", "fp_3").agg(F.min("key").alias("group_key"), F.count(F.lit(1)).alias("n_copies"))
