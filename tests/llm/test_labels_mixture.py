@@ -109,3 +109,24 @@ def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("a b " * 50_000,), ("<|endoftext|>",)], "t string")
     n = [r.tokens for r in mixing.token_counts(df, "t").collect()]
     assert n[0] == 2 and n[1] == n[2] == 0 and n[3] >= 100_000 and n[4] > 1
+
+
+def test_swinging_labels_settle(spark):
+    import pytest
+
+    from disputo.llm import consensus
+
+    start = spark.createDataFrame([(1, 2), (2, 0)], "item long, consensus int")
+    swing = lambda labels: labels.withColumn("consensus", F.when(F.col("item") == 1, 3 - F.col("consensus")).otherwise(F.col("consensus")))
+    assert {r.item: r.consensus for r in consensus._settled(start, swing, 10).collect()} == {1: 1, 2: 0}
+    with pytest.raises(RuntimeError, match="settle"):
+        consensus._settled(start, lambda labels: labels.withColumn("consensus", F.col("consensus") + 1), 4)
+
+
+def test_repeated_keys_are_one_document(spark):
+    from disputo.llm import mixing
+
+    docs = spark.createDataFrame([(1, "a", "some words here"), (1, "a", "some words here and more"), (2, "b", "others")], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    kept, report = mixing.mixture(docs, targets, total_tokens=1000.0)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and {r.source: r.n_docs for r in report.collect()} == {"a": 1, "b": 1}

@@ -165,3 +165,48 @@ def test_leaks_without_the_seed_filter(spark, monkeypatch):
     monkeypatch.setattr(leakage, "SEED_FILTER", 0)
     r = leakage.leaks(documents, items).collect()
     assert [(x.doc_id, x.item_id, x.longest, x.coverage) for x in r] == [(1, 7, 20, 1.0)]
+
+
+def test_colliding_contents_regroup(spark, monkeypatch):
+    from disputo.llm import copies
+
+    real = copies.fingerprint
+    monkeypatch.setattr(copies, "fingerprint", lambda fields, seed: real(fields, seed) if seed == 37 else F.lit(1).cast("long"))
+    df = spark.createDataFrame([("a", "one"), ("b", "One!"), ("c", "two"), ("d", "TWO"), ("e", "three")], "k string, t string")
+    got = {r.key: (r.group_key, r.n_copies) for r in copies.copy_groups(df, "k", "t").collect()}
+    assert got == {"a": ("a", 2), "b": ("a", 2), "c": ("c", 2), "d": ("c", 2), "e": ("e", 1)}
+
+
+def test_groups_and_counts_of_versions(spark):
+    from disputo.llm import neardup
+
+    base = " ".join(f"w{i}" for i in range(20))
+    rows = [("s", "a", base), ("s", "b", base + " extra"), ("s", "c", base.upper() + "!"), ("s", "d", "quite other words"), ("s", "e", " ".join(reversed(base.split()))), ("t", "f", base), ("s", "g", None)]
+    df = spark.createDataFrame(rows, "src string, key string, text string").withColumn("set_id", F.lit(1))
+    pairs, classes, members = neardup.similar_contents(df, "src", "key", "text", 0.75, 1)
+    groups = {(r.src, r.key): (r.group_key, r.n_records) for r in neardup.near_groups(pairs, members).collect()}
+    assert groups == {("s", k): ("a", 4) for k in "abce"}
+    links, members2 = neardup.near_duplicates(df, "src", "key", "text", 0.75, 1)
+    want = {(r.src, r.key): r.n_links for r in neardup.link_counts(links, members2).collect()}
+    assert {(r.src, r.key): r.n_links for r in neardup.class_link_counts(pairs, classes, members).collect()} == want
+    assert want[("s", "a")] == 2 and want[("s", "d")] == 0
+
+
+def test_form_is_a_longest_match(spark):
+    from disputo.llm import forms
+
+    assert forms.form("é e‍́ е́clair") == "é é éclair"  # marks join what stands before them, also across hidden characters
+    assert forms.form("ｶﾞ 한") == "ガ 한"
+    assert forms.form("привет рay") == "привет pay"  # only words that show a Latin letter change
+    for text in ("ﬁne Ｆull wid​th", "Ä̧́ ́", "½ №", "Ꮯat σne"):
+        assert forms.form(forms.form(text)) == forms.form(text)
+
+
+def test_look_alikes_that_conflict_are_refused(monkeypatch):
+    import pytest
+
+    from disputo.llm import forms
+
+    monkeypatch.setitem(forms._LETTERS, 0xFF21, "A")  # full-width A has a rule already
+    with pytest.raises(ValueError, match="conflicts"):
+        forms.compile_table()
