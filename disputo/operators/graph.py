@@ -36,8 +36,8 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAUL
     Mass that returns to the teleport only scales the ranks, so it is left out of the steps and put back by the norm at the end: the ranks solve
     x = b + A x.  ``adjacency`` is symmetric (see :func:`symmetric`), so A has real eigenvalues within the damping and Chebyshev's iteration solves this in a third of
     the steps of plain powers.  A step is one join with the links (every node also has one to itself, which carries its own state) and one combined
-    aggregate.  ``every`` steps are one plan, in which the links are shuffled once; then the state is stored.  Ends when ``every`` steps change
-    less than the tolerance (L1, of the worst group), or after ``iterations``.
+    aggregate.  ``every`` steps are one plan, in which the links are shuffled once; then the state is stored.  Ends when a step changes
+    less than the tolerance (L1, of the worst group; looked at once a plan), or after ``iterations``.
     """
     keys = [*([by] if by else []), "id"]
     limit = iterations if iterations is not None else settings.iterations
@@ -54,17 +54,16 @@ def pagerank(nodes: DataFrame, adjacency: DataFrame, settings: Settings = DEFAUL
     links = cut(links.union(state.select(*keys, F.col("id").alias("dst"), F.lit(None).cast("double"))))
     step, weight = 0, 1.0
     while step < limit:
-        former, until = state, min(step + every, limit)
-        for _ in range(step, until):
-            own, weight = F.col("share").isNull(), 1.0 if step == 0 and state is former else (1 / (1 - d * d / 2) if weight == 1.0 else 1 / (1 - d * d * weight / 4))
+        until = min(step + every, limit)
+        for number in range(step, until):
+            own, weight = F.col("share").isNull(), 1.0 if number == 0 else 1 / (1 - d * d / 2) if number == 1 else 1 / (1 - d * d * weight / 4)
             moved = F.when(own, weight * F.col("b") + (1 - weight) * F.col("before")).otherwise(weight * F.col("share") * F.col("x"))
             sent = links.join(state, keys).select(
                 *keys[:-1], F.col("dst").alias("id"), F.when(own, F.col("b")).otherwise(0.0).alias("b"), moved.alias("x"), F.when(own, F.col("x")).otherwise(0.0).alias("before")
             )
             state = sent.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("b", "x", "before")])
         state, step = cut(state), until
-        both = state.join(former.select(*keys, F.col("x").alias("y")), keys)
-        change = both.groupBy(*keys[:-1]).agg((F.sum(F.abs(F.col("x") - F.col("y"))) / F.sum("x")).alias("l1")).agg(F.max("l1")).first()[0]
+        change = state.groupBy(*keys[:-1]).agg((F.sum(F.abs(F.col("x") - F.col("before"))) / F.sum("x")).alias("l1")).agg(F.max("l1")).first()[0]
         if change is None or change < settings.tolerance:
             break
     mass = state.groupBy(*keys[:-1]).agg(F.sum("x").alias("mass"))
