@@ -101,6 +101,13 @@ def corpus_unmapped(spark: SparkSession, d: str) -> DataFrame:
     return joined.where("metapolicy_id IS NULL").select("arg_id", "policy")
 
 
+@query("""SELECT doc_id, policy FROM documents d WHERE policy IS NULL OR NOT EXISTS (SELECT 1 FROM policies p WHERE p.policy = d.policy AND p.metapolicy_id IS NOT NULL)""")
+def corpus_unmapped_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that belong to no metapolicy, as their policy is missing or unknown."""
+    joined = corpus.with_taxonomy(table(spark, d, "documents").select("doc_id", "policy"), policy_table(spark, d), table(spark, d, "taxonomy"))
+    return joined.where("metapolicy_id IS NULL").select("doc_id", "policy")
+
+
 @query("""SELECT CASE WHEN metapolicy_id = 9 THEN 7 ELSE metapolicy_id END AS metapolicy_id, CASE WHEN metapolicy_id = 9 THEN 'Folded' ELSE metapolicy_name END AS metapolicy_name, count(*) AS n_policies FROM policies GROUP BY ALL""")
 def corpus_folded_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """One metapolicy folded into another, then counted."""

@@ -21,8 +21,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """A CSV without index; with ``order`` range-sorted, so files read in name order are sorted."""
-    (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, header=True, escape='"')
+    """A CSV without index, space at the ends of texts kept; with ``order`` range-sorted, so files read in name order are sorted."""
+    ordered = df.orderBy(*order) if order else df
+    ordered.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
