@@ -161,7 +161,17 @@ _VECS = """v AS (SELECT arg_id, any_value(list_transform(embedding, lambda x: x:
   WHERE arg_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
 p AS (SELECT a.arg_id AS a, b.arg_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.arg_id <> b.arg_id WHERE list_cosine_similarity(a.e, b.e) >= 0.8)"""
 _CLUSTER = "l AS (SELECT a AS arg_id, least(a, min(b)) AS cluster_key FROM p GROUP BY a)"
+_PAIRS = [(g, h) for g in range(4) for h in range(g + 1, 4)]
+_ORDINAL = {(g, h): "(" + " + ".join([f"(n{g} + n{h}) / 2", *[f"n{k}" for k in range(g + 1, h)]]) + ")" for g, h in _PAIRS}
+_AGREEMENT = f"""WITH v AS (SELECT item_id, annotator_id, arg_max(grade, (judged_at, grade)) AS grade FROM graded_judgments WHERE grade BETWEEN 0 AND 3 AND item_id IS NOT NULL AND annotator_id IS NOT NULL GROUP BY ALL),
+g AS (SELECT item_id, min(policy) AS policy FROM graded_judgments WHERE item_id IS NOT NULL AND policy IS NOT NULL GROUP BY 1), i AS (SELECT item_id, {", ".join(f"count(*) FILTER (grade = {g}) AS c{g}" for g in range(4))}, count(*) AS m FROM v GROUP BY 1 HAVING count(*) > 1),
+s AS (SELECT policy, count(*) AS n_items, {", ".join(f"sum(c{g})::DOUBLE AS n{g}" for g in range(4))}, sum(m)::DOUBLE AS t, {", ".join(f"sum(2.0::DOUBLE * c{g} * c{h} / (m - 1)) AS o{g}{h}" for g, h in _PAIRS)} FROM i JOIN g USING (item_id) GROUP BY 1),
+x AS (SELECT policy, n_items, t, ({" + ".join(f"o{g}{h} * {(g - h) ** 2}" for g, h in _PAIRS)}) / t AS d1, {" + ".join(f"2 * n{g} * n{h} * {(g - h) ** 2}" for g, h in _PAIRS)} AS e1,
+ ({" + ".join(f"o{g}{h} * power({_ORDINAL[g, h]}, 2)" for g, h in _PAIRS)}) / t AS d2, {" + ".join(f"2 * n{g} * n{h} * power({_ORDINAL[g, h]}, 2)" for g, h in _PAIRS)} AS e2 FROM s),
+a AS (SELECT policy, n_items, CASE WHEN e1 = 0 THEN 1.0 ELSE 1 - d1 / (e1 / (t * t)) END AS k, CASE WHEN e2 = 0 THEN 1.0 ELSE 1 - d2 / (e2 / (t * (t - 1))) END AS al FROM x)
+SELECT policy, n_items, round(k, 6) AS kappa_mean, round(al, 6) AS alpha_ordinal_mean FROM a UNION ALL SELECT NULL, sum(n_items)::BIGINT, round(avg(k), 6), round(avg(al), 6) FROM a"""
 ORACLES: dict[str, str] = {
+    "p7_agreement": _AGREEMENT,
     "p2_found": """WITH RECURSIVE n AS (SELECT lower(trim(rel)) AS rel, nullif(lower(trim(source)), '') AS s, nullif(lower(trim(target)), '') AS t, nullif(lower(trim(arg1_id)), '') AS x, nullif(lower(trim(arg2_id)), '') AS y FROM relations_generated),
 e AS (SELECT CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN s ELSE x END AS a, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN t ELSE y END AS b FROM n WHERE rel = 'equivalent' AND ((s IS NOT NULL AND t IS NOT NULL) OR (x IS NOT NULL AND y IS NOT NULL))),
 l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
