@@ -45,7 +45,7 @@ def store_vectors(spark: SparkSession, d: str) -> DataFrame:
     return files.vector_check(back, "embedding", 64).select("n", "n_wrong_size").join(back.agg(F.round(F.sum(F.when(finite, sums)), 2).alias("total")))
 
 
-@query(f"""WITH {POOL} SELECT policy, count(*) AS n FROM pool WHERE pool_pos < 20 AND stance = 1 GROUP BY 1""")
+@query(f"""WITH {POOL} SELECT policy, least(count(*), 20) AS n FROM pool WHERE stance = 1 GROUP BY 1""")
 def store_lists(spark: SparkSession, d: str) -> DataFrame:
     """Lists of two configurations in a partitioned store, of which one is read back by its configuration alone."""
     path = scratch(spark)
