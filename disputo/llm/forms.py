@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from disputo.runtime import cut
+from disputo.runtime import cut, small
 
 # Letters of other alphabets and the Latin letters they look like.
 LOOKALIKES = {
@@ -216,9 +216,11 @@ def same_form_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     NULL, empty and letterless texts give no pair; ties and repeated rows give each pair once.
     """
     classes = form_classes(df, key, text)
+    # forms with more than one text, found by one combined aggregate; only their records go on
+    ends = classes.groupBy("form_1", "form_2").agg(*[f(c).alias(f"{n}_{c}") for c in ("text_1", "text_2") for n, f in (("low", F.min), ("high", F.max))])
+    several = ends.where("low_text_1 <> high_text_1 OR low_text_2 <> high_text_2").select("form_1", "form_2")
+    classes = cut(classes.join(small(several), ["form_1", "form_2"]))
     texts = classes.select("form_1", "form_2", "text_1", "text_2").distinct()
-    several = texts.groupBy("form_1", "form_2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    texts = texts.join(several, ["form_1", "form_2"])
     a = texts.select("form_1", "form_2", F.col("text_1").alias("a1"), F.col("text_2").alias("a2"))
     b = texts.select("form_1", "form_2", F.col("text_1").alias("b1"), F.col("text_2").alias("b2"))
     variants = a.join(b, ["form_1", "form_2"]).where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
