@@ -7,9 +7,11 @@ their hash with the threshold.  Nothing is sorted, and the selections of growing
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,13 +26,18 @@ LEVELS = 3
 
 
 def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``df`` with ``tokens``, the number of tokens of the whole text; NULL and empty texts have 0."""
+    """``df`` with ``tokens``, the number of tokens of the whole text; NULL and empty texts have 0.
+
+    The tokenizer's file is read where the job starts and goes to the executors with it, so they need no copy of their own.
+    """
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
+        model = Tokenizer.from_file(SparkFiles.get(name))
         model.encode_special_tokens = True
         for texts in batches:
             encoded = model.encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)
