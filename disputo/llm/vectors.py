@@ -1,4 +1,4 @@
-"""What the vector operators share: usable vectors, their principal axes, grids of single-axis buckets."""
+"""What the vector operators share: usable vectors, their principal axes, the chance to share a bucket."""
 
 from __future__ import annotations
 
@@ -61,40 +61,3 @@ def same_bucket(variance: float, width: float) -> float:
     s = sqrt(2 * variance)
     z = width / s
     return erf(z / sqrt(2)) - sqrt(2 / np.pi) / z * (1 - np.exp(-z * z / 2))
-
-
-class Grid:
-    """Tables of buckets: each table reads some axes, cuts each into buckets of one width at a random offset.
-
-    The number of axes per table follows from the number of rows: the smallest at which two unrelated rows meet
-    with a chance below ``bucket`` / rows.  The same rule holds at every size.
-    """
-
-    def __init__(self, rows: int, mean: np.ndarray, axes: np.ndarray, variances: np.ndarray, width: float, tables: int, bucket: float, seed: int):
-        random = np.random.default_rng(seed)
-        usable = max(int((variances > (width / 20) ** 2).sum()), 1)
-        self.mean, self.width, self.tables = mean, width, tables
-        self.axes, self.offsets = [], []
-        for _ in range(tables):
-            # wide axes separate best; which of them a table reads is drawn
-            order = np.argsort(-variances[:usable] * random.uniform(0.3, 1.0, usable))
-            chance, take = 1.0, []
-            for axis in order:
-                if chance * rows <= bucket:
-                    break
-                chance *= same_bucket(float(variances[axis]), width)
-                take.append(axis)
-            self.axes.append(axes[:, take])
-            self.offsets.append(random.uniform(0, width, len(take)))
-
-    def keys(self, x: np.ndarray, table: int) -> np.ndarray:
-        """A 64-bit hash of the row's buckets in ``table``."""
-        if not self.axes[table].shape[1]:
-            return np.zeros(len(x), dtype=np.int64)
-        cells = np.floor(((x - self.mean) @ self.axes[table] + self.offsets[table]) / self.width).astype(np.int64).view(np.uint64)
-        out = np.full(len(x), table + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for column in cells.T:
-                out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(32)
-        return out.view(np.int64)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from disputo.llm import clusters, components, similar
-from disputo.llm.vectors import Grid, usable_vectors
+from disputo.llm.vectors import usable_vectors
 
 
 def unions(pairs):
@@ -157,13 +157,6 @@ def test_queries_get_all_their_partners(spark):
     assert got == {p for p in truth(u, 5, -1) if p[0] in ("v000", "v012")}
 
 
-def test_grid_follows_one_rule():
-    v = np.full(64, 0.01)
-    few = [len(a.T) for a in Grid(100, np.zeros(64), np.eye(64), v, 0.2, 3, 16, 0).axes]
-    many = [len(a.T) for a in Grid(10**6, np.zeros(64), np.eye(64), v, 0.2, 3, 16, 0).axes]
-    assert all(a < b for a, b in zip(few, many))
-
-
 def test_many_equal_vectors(spark):
     n = 50_000
     near, far = [1.0, 0.1] + [0.0] * 62, [0.0] * 63 + [1.0]
