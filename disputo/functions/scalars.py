@@ -132,9 +132,17 @@ def fmt(value: Column | str, digits: int = 3) -> Column:
 
 
 def percent(part: Column | str, whole: Column | str) -> Column:
-    """'12.5%'; '(no data)' where the whole is 0 or NULL."""
-    share = _col(part) / F.nullif(_col(whole), F.lit(0)) * 100
-    return F.when(share.isNull(), "(no data)").otherwise(F.concat(F.format_string("%.1f", share), F.lit("%")))
+    """'12.5%' of two counts; '(no data)' where the whole is 0 or NULL.
+
+    Rounded as C does: the double 100 * part / whole by its exact value, and exact halves to the even digit.  ``format_string`` rounds its shortest
+    decimal form, halves up, and so differs at 6.25 and 0.15.  The digits behind the point are taken in units of 2^-57, in which doubles from 1/32 on are whole.
+    """
+    share = _col(part) * F.lit(100.0) / F.nullif(_col(whole), F.lit(0))
+    ten = ((share - F.floor(share)) * F.lit(2.0**57)).cast("long") * 10
+    tenth, rest, half = F.shiftright(ten, 57), ten.bitwiseAND(F.lit((1 << 57) - 1)), F.lit(1 << 56)
+    up = (rest > half) | ((rest == half) & (tenth % 2 == 1))
+    tenths = F.floor(share) * 10 + tenth + up.cast("int")
+    return F.when(share.isNull(), "(no data)").otherwise(F.format_string("%d.%d%%", F.floor(tenths / 10), tenths % 10))
 
 
 def range_label(low: Column | str, high: Column | str) -> Column:

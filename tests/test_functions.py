@@ -23,6 +23,12 @@ def test_labels_and_formats(spark):
     assert (r.pro, r.odd, r.fmt, r.dash, r.half, r.pool, r.k, r.pct, r.empty, r.label, r.weight, r.listed, r.g) == ("PRO", None, "0.123", "-", 3, 100, 5, "12.5%", "(no data)", "3–9 args", 1.0, "1. x\n2. y", 7.0)
 
 
+def test_percent_rounds_as_printf(spark):
+    pairs = [(a, b) for b in (*range(1, 65), 400, 2000) for a in range(b + 1)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", scalars.percent("a", "b").alias("p")).collect()
+    assert [r for r in rows if r.p != f"{r.a * 100.0 / r.b:.1f}%"] == []  # halves such as 6.25 and 31.25 go to the even digit, 0.15 and 0.35 by their exact value
+
+
 def test_summary_round_trip(spark):
     rendered = scalars.render_summary({"STRONGEST_PRO": F.lit("a\nb"), "KEY_TENSION": F.lit("t")})
     r = one(spark, pro=scalars.summary_field(rendered, "STRONGEST_PRO"), con=scalars.summary_field(rendered, "STRONGEST_CON"), key=scalars.summary_field(rendered, "KEY_TENSION"))
