@@ -1,6 +1,7 @@
 """Components, clusters and neighbours, against brute force and on odd tables."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -180,6 +181,17 @@ def test_search_alone_finds_nearly_all(spark, monkeypatch):
     assert {(r.q, r.o) for r in both} == want and sum(r.searched for r in both) >= 0.98 * len(want)
 
 
+def test_disk_does_not_grow_with_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 64)  # 25 blocks and more
+    x, _ = cloud([40] * 30 + [1] * 400, size=64, seed=8, noise=0.06)
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f: f.stat().st_size for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+    before = shuffled()
+    best = similar.most_similar(frame(spark, x), "id", "v", 64, 5, least=0.8)
+    assert best.count() == len(truth(x / np.linalg.norm(x.astype(float), axis=1, keepdims=True), 5, 0.8))
+    assert sum(n for f, n in shuffled().items() if f not in before) < 4 * x.nbytes  # of the steps before the last nothing stays
+
+
 def test_search_that_falls_short_says_so(spark, monkeypatch):
     monkeypatch.setattr(similar, "RECALL", 1.01)  # more than can be found
     x, _ = cloud([5, 3], size=64, seed=7)
